@@ -2,6 +2,7 @@
 
 from .bpe import op4_byte_bpe
 from .chat import OP9_SQL, op9_chat_format
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .token_counts import OP10_SQL, op10_token_counts
 from .toxicity import op1_toxicity
@@ -9,6 +10,7 @@ from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_line_dedup": op7_line_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {
+    "op2_decontaminate": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op9_chat_format": OP9_SQL,
