@@ -4,6 +4,7 @@ from .bpe import op4_byte_bpe
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .near_dedup import op6_minhash
 from .token_counts import OP10_SQL, op10_token_counts
 from .toxicity import op1_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_minhash": op6_minhash,
     "op7_line_dedup": op7_line_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
