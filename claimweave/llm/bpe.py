@@ -266,5 +266,16 @@ def round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", path: s
     return _apply(docs, digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", fields, keep, text_col, path, pattern)
 
 
+def _checked(encoder: ByteBPE, text: str) -> tuple[int, list[int], bool]:
+    ids = encoder.encode(text)
+    return len(ids), ids, encoder.decode(ids) == text.encode()
+
+
+def tokenize(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``keep`` columns, n_tokens, ids, and whether the ids decode to the text."""
+    fields = [pa.field("n_tokens", pa.int64()), pa.field("ids", pa.list_(pa.int32())), pa.field("round_trip", pa.bool_())]
+    return _apply(docs, _checked, "n_tokens bigint, ids array<int>, round_trip boolean", fields, keep, text_col, path, pattern)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])

@@ -51,3 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str, max_broadcast: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id isn't among ``ids``; those are broadcast only up to a counted bound.
+
+    A null id among ``ids`` takes away the rows with a null id.
+    """
+    ids = written(ids.select(F.col(id_col).alias("_id")).distinct(), "ids")
+    if ids.count() <= max_broadcast:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")

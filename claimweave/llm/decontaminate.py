@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, table, words
+from .common import WORD_SEPARATORS, table, without, words
 
 SPAN, K = 10, 5
 
@@ -94,6 +94,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return per_doc.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The documents that share no window with an item."""
+    found = contamination(docs, benchmark, id_col=id_col, **how).where("contaminated")
+    return without(docs, found.withColumnRenamed("doc_id", id_col), id_col)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))

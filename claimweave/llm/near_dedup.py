@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import table, without, words, written
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -169,5 +169,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, that of the least id; rows with a null id stay. Rows that share an
+    id and a text are one document."""
+    found = written(near_duplicates(docs, k, percent, id_col, text_col), "near-duplicates").where(F.col(id_col).isNotNull())
+    left = without(docs, found.where("not kept"), id_col)
+    repeated = found.where("kept").groupBy(id_col).count().where("count > 1")
+    if repeated.limit(1).count():
+        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=2)

@@ -223,6 +223,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents whose score stays under the threshold."""
+    return score(docs, lexicon, text_col, threshold).where("predicted = 0").select(*docs.columns)
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """Labels outside the held-out fold."""
     return labels.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
