@@ -1,0 +1 @@
+"""Queries by name; importing a module registers its queries."""
