@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import prepare, strip_edges
+from .text import let, prepare, strip_edges
 
 PIVOT = 70
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -39,7 +39,10 @@ def month_number(name: Column) -> Column:
 
 def normalize_date(text: Column) -> Column:
     text = F.trim(F.regexp_replace(prepare(text), CLOCK, ""))
-    text = strip_edges(F.regexp_replace(text, ORDINAL, "$1"), " .,")
+    return let(strip_edges(F.regexp_replace(text, ORDINAL, "$1"), " .,"), _first_form)
+
+
+def _first_form(text: Column) -> Column:
     out = F.lit(None).cast("date")
     for form, year, month, day in reversed(FORMS):
         part = lambda i, form=form: F.regexp_extract(text, form, i)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_identifier
+from .text import let, normalize_identifier
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHAPE = r"^\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
@@ -22,12 +22,15 @@ def _term(body: Column, i: Column) -> Column:
 
 def check_digit(first_fourteen: Column) -> Column:
     """Weights alternate 2, 1 from the right; products count by quotient and remainder of 36."""
-    body = F.upper(first_fourteen)
+    return let(F.upper(first_fourteen), _digit)
+
+
+def _digit(body: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.lit(0), lambda t, i: t + _term(body, i))
     digit = F.substring(F.lit(ALPHABET), (F.lit(36) - total % 36) % 36 + 1, F.lit(1))
     return F.when(F.regexp_like(body, F.lit("^[0-9A-Z]{14}$")), digit)
 
 
 def is_valid_gstin(text: Column) -> Column:
-    code = normalize_gstin(text)
-    return F.coalesce(F.regexp_like(code, F.lit(SHAPE)) & (check_digit(F.substring(code, 1, 14)) == F.substring(code, 15, 1)), F.lit(False))
+    sound = lambda code: F.regexp_like(code, F.lit(SHAPE)) & (check_digit(F.substring(code, 1, 14)) == F.substring(code, 15, 1))
+    return F.coalesce(let(normalize_gstin(text), sound), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import CATEGORIES
-from .text import prepare
+from .text import let, prepare
 
 #: Wards and ordered patterns of wards and categories; the first that fits wins.
 WARDS = ("general", "semi_private", "private", "deluxe", "suite", "icu", "iccu", "nicu", "picu", "hdu", "day_care", "emergency", "other")
@@ -51,7 +51,10 @@ def first_pattern(text: Column, patterns, otherwise: Column) -> Column:
 
 def normalize_age(text: Column) -> Column:
     """Whole years; ages in months, weeks or days are zero."""
-    t = F.lower(prepare(text))
+    return let(F.lower(prepare(text)), _years)
+
+
+def _years(t: Column) -> Column:
     found = r"(\d+)\s*(?:\.\d+)?\s*(years|year|yrs|yr|y)?"
     value, unit = F.regexp_extract(t, found, 1), F.regexp_extract(t, found, 2)
     young = F.regexp_like(t, F.lit(r"\b(m|mon|month|months|d|day|days|w|week|weeks)\b|^\d+\s*(m|d|w)\b"))
@@ -59,22 +62,34 @@ def normalize_age(text: Column) -> Column:
 
 
 def normalize_sex(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(prepare(text)), "[^a-z]", "")
+    return let(F.regexp_replace(F.lower(prepare(text)), "[^a-z]", ""), _sex)
+
+
+def _sex(t: Column) -> Column:
     return F.when(t.isin("m", "male"), "male").when(t.isin("f", "female"), "female").when(t.isin("o", "other", "t", "ts", "transgender"), "other")
 
 
 def normalize_ward_type(text: Column) -> Column:
-    t = F.lower(prepare(text))
+    return let(F.lower(prepare(text)), _ward)
+
+
+def _ward(t: Column) -> Column:
     exact = F.translate(t, " -", "__")
     return F.when(t.isNotNull(), F.when(exact.isin(*WARDS), exact).otherwise(first_pattern(t, WARD_PATTERNS, F.lit("other"))))
 
 
 def normalize_category(text: Column) -> Column:
-    t = F.lower(prepare(text))
+    return let(F.lower(prepare(text)), _category)
+
+
+def _category(t: Column) -> Column:
     exact = F.regexp_replace(t, r"[\s-]+", "_")
     return F.when(t.isNotNull(), F.when(exact.isin(*CATEGORIES), exact).otherwise(first_pattern(t, CATEGORY_PATTERNS, F.lit("other"))))
 
 
 def normalize_bool(text: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(F.lower(prepare(text)), r"[\s-]+", "_"), "^_+|_+$", "")
+    return let(F.regexp_replace(F.regexp_replace(F.lower(prepare(text)), r"[\s-]+", "_"), "^_+|_+$", ""), _flag)
+
+
+def _flag(t: Column) -> Column:
     return F.when(t.isin(*YES), True).when(t.isin(*NO) | F.replace(t, F.lit("_"), F.lit("")).isin(*NO), False)

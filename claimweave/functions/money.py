@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse_whitespace, prepare, strip_edges
+from .text import collapse_whitespace, let, prepare, strip_edges
 
 #: What prints as zero, and marks of the currency.
 ZEROS = ("nil", "nill", "none", "-", "--", "---")
@@ -21,16 +21,24 @@ def _without_currency(text: Column) -> Column:
 def parse_decimal(text: Column, currency: bool) -> Column:
     """The number that a printed string stands for, or null: grouped, negative by
     parentheses or sign, with a trailing slash or dash."""
-    whole = prepare(text)
-    body = _without_currency(whole) if currency else whole
+    return let(prepare(text), lambda whole: let(_without_currency(whole) if currency else whole, lambda body: _number(whole, body, currency)))
+
+
+def _number(whole: Column, body: Column, currency: bool) -> Column:
     bracketed = F.startswith(body, F.lit("(")) & F.endswith(body, F.lit(")")) & (F.char_length(body) >= 1)
     inner = F.trim(F.regexp_replace(body, r"^\(|\)$", ""))
     body = F.when(bracketed, _without_currency(inner) if currency else inner).otherwise(body)
     body = F.trim(F.regexp_replace(body, r"/-*\s*$", ""))
     body = F.trim(F.regexp_replace(body, r"-\s*$", ""))
     body = F.trim(F.regexp_replace(strip_edges(body, "=* "), r"^\+", ""))
-    negative = bracketed | F.startswith(body, F.lit("-"))
-    body = F.trim(F.regexp_replace(body, "^-", ""))
+    return let(body, lambda body: _signed(whole, body, bracketed | F.startswith(body, F.lit("-"))))
+
+
+def _signed(whole: Column, body: Column, negative: Column) -> Column:
+    return let(F.trim(F.regexp_replace(body, "^-", "")), lambda body: _plain_number(whole, body, negative))
+
+
+def _plain_number(whole: Column, body: Column, negative: Column) -> Column:
     digits = F.regexp_replace(body, r"(?<=\d)[,\s](?=\d)", "")
     value = F.when(F.regexp_like(digits, F.lit(r"^(?:\d*\.?\d+|\d+\.)$")), F.regexp_replace(digits, r"\.$", "").try_cast(PARSED))
     zero = F.lower(whole).isin(*ZEROS) | F.lower(body).isin(*ZEROS)

@@ -30,6 +30,12 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used; without it, trees of
+    expressions that use their input twice double at every step."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
@@ -76,7 +82,7 @@ def as_text(value: Column) -> Column:
 def mask(text: Column, keep: int = 2) -> Column:
     """All but the first and last characters hidden; short values wholly."""
     n = F.char_length(text)
-    inside = F.concat(F.substring(text, 1, keep), F.repeat(F.lit("*"), n - 2 * keep), F.substring(text, -keep, keep))
+    inside = F.concat(F.substring(text, 1, keep), F.repeat(F.lit("*"), F.greatest(n - 2 * keep, F.lit(0))), F.substring(text, -keep, keep))
     return F.when(n <= 2 * keep, F.repeat(F.lit("*"), n)).otherwise(inside)
 
 
