@@ -88,7 +88,7 @@ def parse_head_b(text: Column) -> Column:
 def tag_pairs(text: Column) -> Column:
     """(tag, value) of every opening tag, in order; the value runs to the next tag."""
     found = r"(?s)<s_([a-z_0-9-]+)>([^<]*)(?=<)"
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(found), 1).alias("tag"), F.transform(F.regexp_extract_all(text, F.lit(found), 2), F.trim).alias("value"))
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(found), 1).alias("tag"), F.transform(F.regexp_extract_all(text, F.lit(found), 2), lambda v: F.trim(v)).alias("value"))
     return F.filter(both, lambda p: p["value"] != "")
 
 

@@ -19,17 +19,23 @@ HONORIFICS = ("baby of", "b/o", "master", "mstr", "shri", "smt", "sri", "mrs", "
 SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; ASCII passes through."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf(StringType())
-def nfkc_casefold(text: pd.Series) -> pd.Series:
+def _casefolded(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition; ASCII passes through."""
+    return F.pandas_udf(_composed, StringType())(text)
+
+
+def nfkc_casefold(text: Column) -> Column:
+    return F.pandas_udf(_casefolded, StringType())(text)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used; without it, trees of
     expressions that use their input twice double at every step."""
@@ -97,7 +103,7 @@ def tokens(text: Column) -> Column:
 
 def split_cells(text: Column) -> Column:
     """Cells of a printed row: parted by bars if there are any, else by two spaces or more."""
-    bars = F.transform(F.split(text, r"\|"), F.trim)
+    bars = F.transform(F.split(text, r"\|"), lambda c: F.trim(c))
     gaps = F.split(F.trim(text), r"\s{2,}")
     return F.filter(F.when(F.contains(text, F.lit("|")), bars).otherwise(gaps), lambda c: c != "")
 

@@ -54,13 +54,18 @@ def fold_pages(pages: Column, kind: str) -> Column:
     return F.aggregate(pages, F.array().cast(kind), _joiner())
 
 
+def _getter(name: str):
+    return lambda record: record[name]
+
+
 def _conflicts(blocks: Column, name: str) -> list[Column]:
     """Paths at which a later page's block says something else than the first."""
     first = F.element_at(blocks, 1)
     out = []
     for field in RAW_SCHEMA[name].dataType.fieldNames():
         chosen = first[field]
-        other = F.exists(blocks, lambda b, f=field, c=chosen: (c != "") & (b[f] != "") & (text.normalize_text(c) != text.normalize_text(b[f])))
+        differs = lambda v: (chosen != "") & (v != "") & (text.normalize_text(chosen) != text.normalize_text(v))  # noqa: B023, E731
+        other = F.exists(F.transform(blocks, _getter(field)), differs)
         out.append(F.when(F.size(blocks) > 1, F.when(F.coalesce(other, F.lit(False)), F.lit(f"{name}.{field}"))))
     return out
 
@@ -71,7 +76,7 @@ def assemble(fragments: DataFrame) -> DataFrame:
     docs = fragments.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     docs = docs.withColumn("rows", fold_pages(F.col("pages"), KEYED))
     for b in BLOCKS:
-        docs = docs.withColumn(f"_{b}", F.filter(F.transform("pages", lambda p, b=b: p[b]), lambda x: x.isNotNull()))
+        docs = docs.withColumn(f"_{b}", F.filter(F.transform("pages", _getter(b)), lambda x: x.isNotNull()))
     blocks = {b: F.try_element_at(F.col(f"_{b}"), F.lit(1)) for b in BLOCKS}
     items = F.transform("rows", lambda r: r["item"])
     document = F.struct(*((items if n == "line_items" else blocks[n]).alias(n) for n in RAW_SCHEMA.fieldNames()))

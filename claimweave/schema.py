@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
 
 #: Field names and types of a bill.
 BLOCKS = {
@@ -28,10 +28,18 @@ CATEGORIES = (
 )
 
 
+#: Leaves by name; Spark's own parser asks for a running session, which importing a schema must not.
+LEAVES = {"string": StringType(), "int": IntegerType(), "date": DateType(), "boolean": BooleanType(), "decimal(18,2)": DecimalType(18, 2), "decimal(18,4)": DecimalType(18, 4)}
+
+
+def record(fields: str) -> StructType:
+    return StructType([StructField(name, LEAVES[kind]) for name, kind in (f.split() for f in fields.split(", "))])
+
+
 def _typed() -> StructType:
-    blocks = {name: StructType.fromDDL(ddl) for name, ddl in BLOCKS.items()}
+    blocks = {name: record(fields) for name, fields in BLOCKS.items()}
     order = ["hospital", "patient", "insurance", "line_items", "totals"]
-    items = ArrayType(StructType.fromDDL(LINE_ITEM))
+    items = ArrayType(record(LINE_ITEM))
     return StructType([StructField(n, blocks.get(n, items)) for n in order])
 
 
