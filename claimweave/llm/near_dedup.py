@@ -7,10 +7,11 @@ candidates: two sets of similarity 0.8 share no band with a probability under 1e
 Every link is then confirmed on the full sets.
 
 Equal sets form a class first, so copies cost one row. In each bucket the members
-are compared with the least class of it; then, of what is left, only members that
-are not in the component of that class are compared with the bucket's
-members of other components. That loses no link that matters for a component, and a
-bucket of near copies costs its size, not its square.
+are compared with the least class of it, its hub. Those that don't end up in the hub's
+component are then compared with all others that met this component in a bucket, in
+blocks through an inverted index. That loses no link that matters for a component:
+of two candidates in different components, one isn't in their hub's. A group of near
+copies costs its size; only what of it stays unlinked is compared more widely.
 
 Sets are 64-bit hashes of shingles; buckets, classes and hubs are found by partial
 aggregates and joins that adaptive execution splits; nothing but counts reaches the driver.
@@ -36,6 +37,7 @@ from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 MAX_BROADCAST_IDS = 2_000_000
+BLOCK_ROWS = 512
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +106,18 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return _word_hashes(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (hub, id) whose full sets are similar enough."""
-    ids = written(pairs.select("id").unionAll(pairs.select(F.col("hub").alias("id"))).distinct(), "candidates")
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h): the word hashes of the documents named, written; the ids are broadcast up to a counted bound."""
+    ids = written(ids.distinct(), "candidates")
     if ids.count() <= MAX_BROADCAST_IDS:
         ids = F.broadcast(ids)
     asked = docs.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-    sets = written(_word_hashes(asked, id_col, text_col).dropDuplicates(["id"]), "candidate-words")
+    return written(_word_hashes(asked, id_col, text_col).dropDuplicates(["id"]), "candidate-words")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Those of the pairs (hub, id) whose full sets are similar enough."""
+    sets = _sets(pairs.select("id").unionAll(pairs.select(F.col("hub").alias("id"))), docs, id_col, text_col)
     first = pairs.join(sets, "id")
     both = first.join(sets.select(F.col("id").alias("hub"), F.col("h").alias("hub_h")), "hub").select("hub", "id", "hub_h", "h")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -135,6 +142,87 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col:
     return both.mapInArrow(run, f"hub {kind}, id {kind}")
 
 
+def _rest_against_all(named: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between members of a neighbourhood that aren't in its own component and its other members.
+
+    ``named`` is (around, id, n, component): those that met the component ``around`` in a bucket. Both sides of a
+    neighbourhood are cut into blocks of ``BLOCK_ROWS``, and each block of one meets each of the other in an
+    inverted index, so a task holds two blocks, and what goes in and out grows with rows, not with pairs. None if
+    there is nothing to compare.
+    """
+    shape = named.groupBy("around").agg(F.count("*").alias("members"), F.count_if(F.col("component") != F.col("around")).alias("rest"))
+    shape = shape.where("rest > 0 and members > 1")
+    cut = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    shape = shape.select("around", cut("members").alias("m_blocks"), cut("rest").alias("r_blocks"))
+    here = written(named.join(shape, "around"), "neighbourhoods")
+    if not here.limit(1).count():
+        return None
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["around", "m_block", "r_block", "side", "id", "component"]
+    members = here.select("*", block("m_blocks").alias("m_block"), every("r_blocks").alias("r_block"), F.lit(0).alias("side")).select(*columns)
+    rest = here.where("component <> around").select("*", block("r_blocks").alias("r_block"), every("m_blocks").alias("m_block"), F.lit(1).alias("side")).select(*columns)
+    sets = _sets(here.select("id"), docs, id_col, text_col)
+    rows = members.unionAll(rest).join(sets, "id")
+    keys = ["around", "m_block", "r_block"]
+    dealt = rows.select(F.xxhash64(*keys).alias("task"), *columns, "h").repartition("task").sortWithinPartitions(*keys, "side")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(dealt.mapInArrow(_compare_blocks(k, percent), f"hub {kind}, id {kind}"), "confirmed")
+
+
+def _compare_blocks(k: int, percent: int):
+    def links(ids, comps, sets, first: int) -> list[tuple]:
+        """Links of rows from ``first`` on to those before it, one for each component met."""
+        if not first or first == len(ids):
+            return []
+        sizes = np.array([len(s) for s in sets[:first]])
+        tokens = np.concatenate(sets[:first])
+        order = np.argsort(tokens, kind="stable")
+        owner = np.repeat(np.arange(first), sizes)[order]
+        words, start = np.unique(tokens[order], return_index=True)
+        ends = np.append(start[1:], len(tokens))
+        out = []
+        for i in range(first, len(ids)):
+            s = sets[i]
+            at = np.searchsorted(words, s)
+            at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == s)]
+            runs = ends[at] - start[at]
+            places = np.arange(runs.sum()) + np.repeat(start[at] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
+            inter = np.bincount(owner[places], minlength=first)
+            met = {}
+            for j in np.flatnonzero(100 * inter >= percent * (len(s) + sizes - inter)).tolist():
+                if comps[j] != comps[i] and ids[j] != ids[i]:
+                    met[comps[j]] = ids[j]
+            out += [(min(ids[i], y), max(ids[i], y)) for y in met.values()]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, comps, sets, first, kind = None, [], [], [], 0, None
+
+        def done() -> pa.RecordBatch:
+            found = links(ids, comps, sets, first if any_rest else len(ids))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i in (0, 1)], names=["hub", "id"])
+
+        any_rest = False
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            names = ("around", "m_block", "r_block", "side", "id", "component")
+            for around, m, r, side, id_, comp, h in zip(*(batch.column(c).to_pylist() for c in names), _lists(batch.column("h")), strict=True):
+                if (around, m, r) != key:
+                    if key is not None:
+                        yield done()
+                    key, ids, comps, sets, first, any_rest = (around, m, r), [], [], [], 0, False
+                if side and not any_rest:
+                    first, any_rest = len(ids), True
+                ids.append(id_)
+                comps.append(comp)
+                sets.append(shingles(h, k))
+        if key is not None:
+            yield done()
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (least id reachable) and kept for every row."""
     sig = written(signatures(docs, k, id_col, text_col), "signatures")
@@ -148,19 +236,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = written(_confirmed(first, docs, k, percent, id_col, text_col), "confirmed")
     found = written(components(links, "hub", "id"), "components")
 
-    # What isn't in the component of its bucket's hub, against members of other components.
+    # What isn't in the component of its bucket's hub, against all that shares a bucket with that component.
     named = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = named.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    named = written(named.withColumn("hub_component", F.coalesce("hub_component", "hub")).where("id <> hub"), "named")
-    rest = named.where("component <> hub_component").select("bucket", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
-    others = named.select("bucket", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"), (F.col("component") != F.col("hub_component")).alias("b_rest"))
-    open_ = rest.join(others, "bucket").where("a_component <> b_component and (not b_rest or a < b)").where(alike("a_n", "b_n"))
-    second = written(open_.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("id")).distinct(), "second-pairs")
-    if second.limit(1).count():
-        more = written(_confirmed(second, docs, k, percent, id_col, text_col), "confirmed")
-        if more.limit(1).count():
-            stars = found.select(F.col("node").alias("hub"), F.col("component").alias("id"))
-            found = written(components(more.unionAll(stars), "hub", "id"), "components")
+    named = named.join(found.select(F.col("node").alias("hub"), F.col("component").alias("around")), "hub", "left")
+    named = named.withColumn("around", F.coalesce("around", "hub")).where("id <> hub").select("around", "id", "n", "component").distinct()
+    named = written(named, "named")
+    more = _rest_against_all(named, docs, k, percent, id_col, text_col)
+    if more is not None:
+        stars = found.select(F.col("node").alias("hub"), F.col("component").alias("id"))
+        found = written(components(more.unionAll(stars), "hub", "id"), "components")
 
     owner = classes.select("set_key", F.col("id").alias("node")).join(found, "node", "left")
     owner = owner.select("set_key", F.coalesce("component", "node").alias("component_id"))
