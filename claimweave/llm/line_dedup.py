@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 RATIO, MIN_PAGES = 0.1, 3
+#: The pipeline's ratio, from shares measured on the tables (see README); RATIO is the one that OP7_SQL states.
+SHARE = 0.005
 
 
 def _lines(text: Column) -> Column:
@@ -44,9 +46,13 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RAT
 
 
 def drop_boilerplate(
-    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = 200_000, salts: int = 64
+    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = 200_000, salts: int = 64, whole: bool = False
 ) -> DataFrame:
-    """All columns of ``pages``, the text without boilerplate, and n_lines and n_dropped."""
+    """All columns of ``pages``, the text without boilerplate, and n_lines and n_dropped.
+
+    With ``whole`` a page of which nothing would be left stays as it is: it is one of many copies, which
+    are for near-dedup to take, and their content would be gone with all of them.
+    """
     found = written(boilerplate(pages, site, F.col(text_col), ratio, min_pages), "boilerplate")
     lists = found.groupBy("site").agg(F.collect_list("key").alias("_drop"))
     rows = pages.withColumn("_site", F.struct(site.alias("site")))
@@ -59,6 +65,9 @@ def drop_boilerplate(
     keep = lambda line: F.coalesce(~F.array_contains(F.col("_drop"), _key(line)), F.lit(True))
     kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", keep))
     out = joined.withColumn("_lines", _lines(F.col(text_col))).withColumn("_kept", kept)
+    if whole:
+        left = F.exists("_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+        out = out.withColumn("_kept", F.when(left, F.col("_kept")).otherwise(F.col("_lines")))
     nothing = F.col(text_col).isNull()
     return (
         out.withColumn("n_lines", F.when(nothing, 0).otherwise(F.size("_lines")).cast("long"))

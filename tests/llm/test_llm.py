@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from claimweave.llm import ann, bpe, chat, common, decontaminate, line_dedup, lm, near_dedup, token_counts, toxicity, url_filter
 from claimweave.llm.components import components
 
@@ -176,6 +177,19 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(df.limit(0), F.col("site")).count() == 0
 
 
+def test_lines_of_large_source(spark):
+    """A long passage on 1 % of a source's pages goes; a line on two pages, copied pages and the small source stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    few = "this line stands on two pages of the source"
+    texts = [f"own {i}\n{long}\nend {i}" if i % 100 == 0 else f"own {i}\n{few}" if i % 300 == 1 else f"own {i}\nend {i}" for i in range(600)]
+    texts[50:58] = ["copied as a whole\nwith each line"] * 8
+    rows = [(i, "large", t) for i, t in enumerate(texts)] + [(1000 + i, "small", f"own {i}\n{few}") for i in range(2)]
+    df = frame(spark, rows, "doc_id bigint, source string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_boilerplate_lines(spark, df, "").collect()}
+    want = {i: t.replace(f"\n{long}", "") for i, _, t in rows}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 # 2: decontamination
 
 
