@@ -113,15 +113,18 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What a reader of the output finds: turns from the strings, replies from the loss masks."""
-    loss = F.array_join(
-        F.transform("examples", lambda e: unescape(F.substring(F.col("formatted"), e["loss_start"] + 1, e["loss_end"] - e["loss_start"]))), ""
-    )
-    read = formatted.select(id_col, read_turns(F.col("formatted")).alias("turns"), loss.alias("loss"), F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["prefix_end"]).alias("formatted_chars"))
+    """What a reader of the output finds: turns from the strings; replies and lengths from each example's own text."""
+    reply = unescape(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    examples = expand(formatted).select(F.col(id_col).alias("_id"), F.struct("turn_no", reply.alias("reply")).alias("r"), F.char_length("text").cast("long").alias("n"))
+    found = examples.groupBy("_id").agg(F.sort_array(F.collect_list("r")).alias("replies"), F.sum("n").alias("n"))
+    read = formatted.select(id_col, read_turns(F.col("formatted")).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select(
-        id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
-        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    turns = read.select(id_col, F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"))
+    loss = F.coalesce(F.array_join(F.transform("replies", lambda r: r["reply"]), ""), F.lit(""))
+    both = turns.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("loss", loss)
+    return both.select(
+        id_col, "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("formatted_chars"),
     )
 
 

@@ -327,6 +327,25 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), queries).count() == 0 and ann.nearest(df, queries.limit(0)).count() == 0
 
 
+# 9: chat formatting, from expanded examples
+
+
+def test_chat_digests_read_examples(spark, monkeypatch):
+    """Each example's own text is what is digested, so a wrong one shows; conversations without examples stay."""
+    rows = [(1, 0, "user", "a </s> b"), (1, 1, "assistant", "one <s>"), (1, 2, "user", "c"), (1, 3, "assistant", "two"), (None, 0, "assistant", "three"), (2, 0, "user", "alone")]
+    df = chat.format_conversations(frame(spark, rows, "conv_id bigint, turn bigint, role string, text string"))
+    texts = collections.Counter()
+    for r in chat.expand(df).collect():
+        texts[r["conv_id"]] += len(r["text"])
+    got = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {k: (r["loss_sha256"], r["formatted_chars"]) for k, r in got.items()} == {k: (sha(s), texts[k]) for k, s in ((1, "one <s>two"), (None, "three"), (2, ""))}
+    expand = chat.expand
+    monkeypatch.setattr(chat, "expand", lambda f: expand(f).withColumn("text", F.expr("substring(text, 2)")))
+    bad = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    assert all(bad[k]["loss_sha256"] != got[k]["loss_sha256"] and bad[k]["formatted_chars"] < got[k]["formatted_chars"] for k in (1, None))
+
+
 # The whole
 
 
