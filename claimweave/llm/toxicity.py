@@ -48,7 +48,10 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 ZERO_WIDTH = "​‌‍⁠﻿­"
 
-_FOLD = str.maketrans(LOOK_ALIKES | DIGITS | dict.fromkeys(ZERO_WIDTH) | {chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)})
+#: 1, | and ! stand for i and l alike, so l is one letter with i on both sides, lexicon and text.
+_LETTERS = LOOK_ALIKES | DIGITS | {"l": "i"}
+_WIDE = {chr(0xFF01 + i): _LETTERS.get(c := chr(0x21 + i).lower(), c) for i in range(94)}
+_FOLD = str.maketrans(_LETTERS | dict.fromkeys(ZERO_WIDTH) | _WIDE)
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W_])")
 _GAP = re.compile(r"[\W_]+")
 
@@ -73,7 +76,7 @@ class Lexicon:
 
         automaton = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            automaton.add_word(f" {entry}", weight)
+            automaton.add_word(f" {folded(entry).strip()}", weight)
         for phrase in self.exceptions:
             if words := folded(phrase).split():
                 automaton.add_word(" " + "  ".join(words) + " ", 0.0)

@@ -157,6 +157,13 @@ def test_exceptions_cover_entries():
     assert weigh("Clown fish, clown-fish") == (0.0, 4) and weigh("the cl0wn fishes clowns") == (6.0, 4) and weigh(None)[0] == 0
 
 
+def test_signs_for_i_and_l():
+    """1, | and ! are read as i and as l, in narrow and wide letters."""
+    weigh = toxicity.Lexicon({"clown": 1.0, "loser": 2.0, "worthless": 4.0, "idiot": 8.0}).matcher()
+    for text, weight in (("1oser", 2), ("c1own c|own c!own", 3), ("wor7h1ess", 4), ("1d1ot id!ot", 16), ("ｌｏｓｅｒ １oser loser", 6), ("crown poser", 0)):
+        assert weigh(text)[0] == weight, text
+
+
 # 7: line dedup
 
 
