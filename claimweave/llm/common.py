@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+#: What may be broadcast, measured before it is.
+MAX_BROADCAST_BYTES = 64 << 20
 #: Fixed values of the contracts: separators between words.
 SPACES = r"[\x20\x09-\x0D]"
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -37,9 +41,11 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. A temporary one is made only where both are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="claimweave-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,15 +56,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Rows of ``docs`` whose id isn't among ``ids``; those are broadcast only up to a counted bound.
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-    A null id among ``ids`` takes away the rows with a null id.
+
+def fits(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether the rows take at most ``max_bytes`` as text and numbers, counted exactly: then they may be broadcast."""
+    size = [F.coalesce(F.octet_length(F.to_json(F.struct(c)) if _nested(df, c) else F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns]
+    total = df.agg(F.sum(sum(size[1:], size[0]))).first()[0]
+    return (total or 0) <= max_bytes
+
+
+def _nested(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, ArrayType | StructType)
+
+
+def private(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null for null."""
+    return F.when(text.isNotNull(), F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose keys aren't among the rows of ``gone``, null being equal to null.
+
+    ``keys`` gives each column of ``gone`` as an expression of ``docs``. ``gone`` is broadcast only within
+    ``MAX_BROADCAST_BYTES``; beyond that both sides are shuffled.
     """
-    ids = written(ids.select(F.col(id_col).alias("_id")).distinct(), "ids")
-    if ids.count() <= max_broadcast:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    gone = written(gone.select(*keys).distinct(), "gone")
+    ours = {c: private(f"_own_{c}", docs) for c in keys}
+    theirs = gone.select(*(F.col(c).alias(private(f"_gone_{c}", docs)) for c in keys))
+    same = [F.col(ours[c]).eqNullSafe(F.col(private(f"_gone_{c}", docs))) for c in keys]
+    test = same[0]
+    for s in same[1:]:
+        test &= s
+    if fits(gone):
+        theirs = F.broadcast(theirs)
+    return docs.withColumns({ours[c]: e for c, e in keys.items()}).join(theirs, test, "left_anti").select(*docs.columns)
