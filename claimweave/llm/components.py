@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _nearest(both: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
-        edges = written(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), "links")
+        last, edges = edges, written(_small_star(_large_star(edges).where("u <> v").distinct()).where("u <> v").distinct(), "links")
+        forget(last)
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
