@@ -1,103 +1,149 @@
 """Benchmark decontamination by winnowing.
 
-Every window of ``span`` words keeps the least of its k-gram hashes, in documents and
-in benchmark items alike, so a span that both share keeps the same hash on both sides.
-Fingerprints are joined, and a hit is extended from the k-gram to its whole window by
-comparing words; windows that follow each other make up longer passages. All
-shared spans of ``span`` words or more are found, and nothing else. Items of fewer
-words are one window each and are looked for by their whole hash.
-
-Documents are turned into windows, joined and compared in one pass without a shuffle
-while the benchmark has at most ``max_broadcast`` windows (they are counted);
-beyond that, window hashes of both sides are shuffled and joined. What is shuffled
-otherwise is one row a document and one a hit window.
-
-Defined cases: null or empty texts have no words; items without words are never found;
-rows that share a doc_id (null, too) are one document, whose words are the most of any of
-those rows and whose hits are taken together; items with a null id make hits but are
-not listed; items that share an id are listed once.
+Every window of ``span`` words keeps the least of its k-gram hashes, the rightmost of equal ones, in documents and
+in benchmark items alike. Neighbouring windows mostly keep the same k-gram, which is one fingerprint: about
+2 of ``span - k + 2`` positions are left. A span of ``span`` words that both sides share keeps the same k-gram on
+both. Fingerprints are joined, and a hit is extended word by word from the k-gram to the left and to the right,
+as far as a window can reach; extensions of ``span`` words or more are hits. All shared spans of ``span`` words
+or more are found, and nothing else. Items of fewer words are one window each and are looked for by their whole
+hash, then compared.
+
+Of items only distinct surroundings of fingerprints are joined, each with the set of items that have it, so a
+passage that many items hold is one row, and a document gets sets of items, not a row for each. They
+are broadcast if they fit within ``max_broadcast`` bytes, measured; then documents are turned into
+fingerprints, joined and compared in one pass, and only one row a document and one a hit are shuffled. Beyond that
+fingerprints are shuffled with the words around them and compared in the same way.
+
+Defined cases: null or empty texts have no words; items without words are never found; every row gets its own
+result, rows that share an id too; rows that repeat id and text get equal ones; items with a null id make hits but are
+not listed; items that share an id are listed once; texts of any length go in whole; other columns of documents
+and items are neither needed nor returned (``drop_contaminated`` returns those of documents).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SEPARATORS, table, without, words
+from .common import MAX_BROADCAST_BYTES, WORD_SEPARATORS, fits, table, text_key, without, words, written
 
 SPAN, K = 10, 5
 
 
-def _windows(rows: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
-    """A row for each word position: pos, size, fp and whole of the windows that begin there
-    (an array when short items ask for more lengths), beside the columns of ``rows``."""
-    hashes = rows.withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
-    shifted = F.arrays_zip(*(F.slice("_h", F.lit(i + 1), F.greatest(F.size("_h") - i, F.lit(0))).alias(f"h{i}") for i in range(span)))
-    at = hashes.select(*rows.columns, F.posexplode_outer(shifted).alias("pos", "z"))
-    h = [F.col(f"z.h{i}") for i in range(span)]
-    gram = [F.xxhash64(*h[i : i + k]) for i in range(span - k + 1)]
-    full = F.when(h[-1].isNotNull(), F.least(*gram))
-    out = at.withColumn("fp", full).withColumn("size", F.lit(span))
+def _rightmost(value: Column, grams: list[Column], first: int) -> Column:
+    """The offset of the last of ``grams`` that is ``value``; the first one's offset is ``first``."""
+    out = F.lit(first)
+    for i, gram in enumerate(grams[1:], first + 1):
+        out = F.when(gram == value, i).otherwise(out)
+    return out
+
+
+def fingerprints(rows: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
+    """The columns of ``rows``, with at, size, fp and last: a row for each fingerprint of the words w, and for each place
+    of windows of ``short`` lengths. One more row for each text has no fingerprint and ``last``."""
+    hashes = rows.withColumn("_h", F.concat(F.array(F.lit(None).cast("long")), F.transform("w", lambda x: F.xxhash64(x))))
+    # Place by place: the word before, and the words of the window that begins here.
+    shifted = F.arrays_zip(*(F.slice("_h", F.lit(i + 1), F.greatest(F.size("_h") - i, F.lit(0))).alias(f"h{i}") for i in range(span + 1)))
+    placed = hashes.select(*rows.columns, F.posexplode(shifted).alias("_pos", "_z"))
+    h = [F.col(f"_z.h{i}") for i in range(span + 1)]
+    n_grams = span - k + 2  # of the window before and of this one
+    g = [F.col(f"_g{i}") for i in range(n_grams)]
+    hashed = placed.select(
+        *rows.columns, "_pos", h[1].isNull().alias("last"), h[span].isNotNull().alias("_full"), *(F.xxhash64(*h[i : i + k]).alias(f"_g{i}") for i in range(n_grams)),
+        *(F.when(h[n].isNotNull(), F.xxhash64(F.lit(n), *h[1 : n + 1])).alias(f"_short{n}") for n in short),
+    )
+    least = hashed.withColumns({"_least": F.least(*g[1:]), "_before": F.least(*g[:-1])})
+    offset, before = _rightmost(F.col("_least"), g[1:], 0), _rightmost(F.col("_before"), g[:-1], -1)
+    new = F.col("_full") & ((F.col("_pos") == 0) | (offset != before))
+    out = least.withColumns({"fp": F.when(new, F.col("_least")), "at": F.col("_pos") + offset, "size": F.lit(span)})
     if short:
-        one = lambda n: F.struct(F.when(h[n - 1].isNotNull(), F.xxhash64(F.lit(n), *h[:n])).alias("fp"), F.lit(n).alias("size"))
-        kinds = F.array(F.struct("fp", "size"), *(one(n) for n in short))
-        out = out.withColumn("_kind", F.explode(kinds)).withColumn("fp", F.col("_kind.fp")).withColumn("size", F.col("_kind.size")).drop("_kind")
-    return out.drop("z")
-
-
-def _item_windows(items: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
-    """Distinct (item_id, fp, size, item_words): the windows of items, whole items where they are short."""
-    rows = items.withColumn("n", F.size("w")).where("n > 0")
-    wins = _windows(rows, span, k, short).where(F.col("fp").isNotNull())
-    fits = F.when(F.col("n") >= span, F.col("size") == span).otherwise((F.col("size") == F.col("n")) & (F.col("pos") == 0))
-    return wins.where(fits).select("item_id", "fp", F.col("size").alias("item_size"), F.slice("w", F.col("pos") + 1, F.col("size")).alias("item_words")).distinct()
+        kinds = F.array(F.struct("fp", "at", "size", "last"), *(F.struct(F.col(f"_short{n}").alias("fp"), F.col("_pos").alias("at"), F.lit(n).alias("size"), F.lit(False).alias("last")) for n in short))
+        out = out.select(*rows.columns, F.explode(kinds).alias("_kind")).select(*rows.columns, "_kind.*")
+    return out.where(F.col("fp").isNotNull() | F.col("last")).select(*rows.columns, "at", "size", "fp", "last")
 
 
-def _same(w: Column) -> Column:
-    return F.slice(w, F.col("pos") + 1, F.col("size")) == F.col("item_words")
+def _around(w: Column, at: Column, size: Column, n: Column, span: int, k: int) -> tuple[Column, Column]:
+    """The words that a window through the k-gram at ``at`` can reach, and how many of them precede it."""
+    low = F.when(size == span, F.greatest(at - (span - k), F.lit(0))).otherwise(at)
+    high = F.when(size == span, F.least(at + span, n)).otherwise(at + size)
+    return F.slice(w, low + 1, high - low), at - low
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, max_broadcast: int = 500_000) -> DataFrame:
-    """(doc_id, n_words, pos, size, item_id): a row for each document with null pos, and one for each
-    window of words that an item has too."""
+def item_windows(items: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
+    """Distinct (fp, size, around, lead) of all items, with those that have it (ids as text) and a key of that set."""
+    rows = items.withColumn("n", F.size("w")).where("n > 0")
+    marks = fingerprints(rows, span, k, short).where("not last")
+    marks = marks.where(F.when(F.col("n") >= span, F.col("size") == span).otherwise((F.col("size") == F.col("n")) & (F.col("at") == 0)))
+    around, lead = _around(F.col("w"), F.col("at"), F.col("size"), F.col("n"), span, k)
+    groups = marks.select("fp", "size", around.alias("around"), lead.alias("lead"), F.col("item_id").cast("string").alias("item"))
+    groups = groups.groupBy("fp", "size", "around", "lead").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return groups.withColumn("set", F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit(1), "items").alias("b")))
+
+
+def _extended(w: Column, here: Column, span: int, k: int) -> tuple[Column, Column, Column]:
+    """Of the document's words ``w`` with the k-gram at ``here``: whether they match ``around``, and by how many
+    words the match goes on to the left and to the right of the k-gram."""
+    same = {d: F.coalesce(F.get(w, here + d) == F.get(F.col("around"), F.col("lead") + d), F.lit(False)) for d in range(k - span, span)}
+    left = right = F.lit(span - k)
+    for d in reversed(range(span - k)):
+        left = F.when(~same[-1 - d], d).otherwise(left)
+        right = F.when(~same[k + d], d).otherwise(right)
+    core = same[0]
+    for d in range(1, k):
+        core &= same[d]
+    return core, left, right
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """A row for each id and text: doc_id, key, copies, n_words, n_hit and item_ids."""
     items = benchmark.select("item_id", words(F.col("text"), WORD_SEPARATORS).alias("w"))
     lengths = items.select(F.size("w").alias("n")).where(f"n > 0 and n < {span}").distinct()
     short = sorted(r["n"] for r in lengths.collect())  # fewer than span numbers
-    wins = _item_windows(items, span, k, short)
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col), WORD_SEPARATORS).alias("w")).withColumn("n_words", F.size("w").cast("long"))
-    here = _windows(rows, span, k, short)
-    if wins.count() <= max_broadcast:
-        near = F.broadcast(wins.withColumnRenamed("fp", "_fp"))
-        joined = here.join(near, (F.col("fp") == F.col("_fp")) & (F.col("size") == F.col("item_size")) & _same(F.col("w")), "left")
-        # A document's first position stands for the document.
-        kept = joined.where(F.col("item_words").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
-        hit = F.col("item_words").isNotNull()
-        return kept.select("doc_id", "n_words", F.when(hit, F.col("pos")).alias("pos"), F.when(hit, F.col("size")).alias("size"), "item_id")
-    key = F.xxhash64(F.lit("window"), F.slice("w", F.col("pos") + 1, F.col("size")))
-    far = wins.select("item_id", "fp", F.col("item_size").alias("size"), F.xxhash64(F.lit("window"), "item_words").alias("whole"))
-    found = here.where(F.col("fp").isNotNull()).select("doc_id", "pos", "size", "fp", key.alias("whole")).join(far, ["fp", "size", "whole"])
-    every = rows.select("doc_id", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("size", "int"))), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"))
-    return every.unionByName(found.select("doc_id", F.lit(None).cast("long").alias("n_words"), "pos", "size", "item_id"))
+    wins = written(item_windows(items, span, k, short), "windows")
+    near = wins.drop("items")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col), WORD_SEPARATORS).alias("w")).withColumn("n", F.size("w"))
+    marks = fingerprints(rows, span, k, short)
+    near = near.select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "around", "lead", "set")
+    met = (F.col("fp") == F.col("_fp")) & (F.col("size") == F.col("_size"))
+    if fits(near, max_broadcast):
+        joined, w, here = marks.join(F.broadcast(near), met, "left"), F.col("w"), F.col("at")
+    else:
+        window, before = _around(F.col("w"), F.col("at"), F.col("size"), F.col("n"), span, k)
+        carried = marks.where("not last").select("doc_id", "key", "n", "at", "size", "fp", "last", window.alias("w"), before.alias("_here")).join(near, met)
+        ends = rows.select("doc_id", "key", "n", F.lit(True).alias("last"))
+        joined, w, here = carried.unionByName(ends, allowMissingColumns=True), F.col("w"), F.col("_here")
+    core, left, right = _extended(w, here, span, k)
+    begin, end = F.col("at") - left, F.col("at") + k + right
+    whole = (F.col("size") < span) & (F.slice(w, here + 1, F.col("size")) == F.col("around"))
+    found = F.when(whole, F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"))).when(
+        (F.col("size") == span) & core & (left + right >= span - k), F.struct(begin.alias("begin"), end.alias("end"))
+    )
+    # No row but one that meets a window is compared.
+    hits = joined.where(F.col("last") | F.col("around").isNotNull()).withColumn("found", F.when(~F.col("last"), found)).where(F.col("last") | F.col("found").isNotNull())
+    per_doc = hits.groupBy("doc_id", "key").agg(
+        F.count_if("last").alias("copies"), F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("found")).alias("spans"),
+        F.collect_set(F.when(F.col("found").isNotNull(), F.col("set"))).alias("sets"),
+    )
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("spans", start, lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["begin"]))).alias("n")), lambda acc: acc["n"])
+    per_doc = per_doc.withColumn("n_hit", covered).drop("spans")
+    sets = wins.select(F.col("set").alias("_set"), "items").dropDuplicates(["_set"])
+    sets = F.broadcast(sets) if fits(wins.select("set", "items"), max_broadcast) else sets
+    one = per_doc.withColumn("_set", F.explode_outer("sets")).join(sets, "_set", "left")
+    keys = ["doc_id", "key", "copies", "n_words", "n_hit"]
+    return one.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated."""
-    hits = find_hits(docs, benchmark, **how)
-    before = Window.partitionBy("doc_id").orderBy("pos", "size").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("pos") + F.col("size")
-    fresh = F.greatest(F.lit(0), end - F.greatest(F.col("pos"), F.coalesce(F.max(end).over(before), F.lit(0))))
-    per_doc = hits.withColumn("fresh", F.when(F.col("pos").isNotNull(), fresh)).groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.coalesce(F.sum("fresh"), F.lit(0)).cast("long").alias("n_hit"),
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
-    )
-    return per_doc.withColumn("contaminated", F.col("n_hit") > 0)
+    """doc_id, n_words, n_hit, item_ids (sorted as strings) and contaminated, for every row."""
+    every = _judged(docs, benchmark, **how).withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    return every.select("doc_id", "n_words", "n_hit", "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that share no window with an item."""
-    found = contamination(docs, benchmark, id_col=id_col, **how).where("contaminated")
-    return without(docs, found.withColumnRenamed("doc_id", id_col), id_col)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows that share no window with an item."""
+    found = _judged(docs, benchmark, id_col, text_col, **how).where("n_hit > 0")
+    return without(docs, found.select(F.col("doc_id").alias("id"), "key"), {"id": F.col(id_col), "key": text_key(F.col(text_col))})
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
