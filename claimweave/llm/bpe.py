@@ -12,7 +12,8 @@ Each match of the pattern is encoded separately. A match that is a token is that
 token. Encodings of short matches are remembered in a table of bounded size.
 
 Defined cases: null is the empty text; an empty text has no ids and decodes to
-no bytes; every row gives one row; texts are never cut.
+no bytes; every row gives one row; texts are never cut, and one match of millions of bytes takes time in proportion;
+columns that are kept, and have the name of a result, are replaced by it.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ class ByteBPE:
         for t, r in ranks.items():
             self.token[r] = t
         self.length = [len(t) for t in self.token]
+        self.longest = max(self.length)
         self.decimal = [str(r) for r in range(len(self.token))]
         self.pieces = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
@@ -114,10 +116,11 @@ class ByteBPE:
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        size, length, longest_at = len(data), self.length, self.automaton.iter_long
+        size, length, reach, matches = len(data), self.length, self.longest, self.automaton.iter_long
         text = data.decode("latin-1")
         fits, dead, out, at = self.fits, None, [], 0
-        token = next(longest_at(text, 0), (0, -1))[1]
+        # A look at each place sees no more than the longest token, so a match of any length takes linear time.
+        token = next(matches(text[:reach]), (0, -1))[1]
         while at < size:
             if token >= 0:
                 end = at + length[token]
@@ -129,7 +132,7 @@ class ByteBPE:
                     if good:
                         out.append(token)
                         at = end
-                        token = next(longest_at(text, at), (0, -1))[1] if at < size else -1
+                        token = next(matches(text[at : at + reach]), (0, -1))[1] if at < size else -1
                         continue
                 token = self.next_shorter(token)
             while token < 0:
@@ -232,6 +235,7 @@ def _apply(docs: DataFrame, work, added: str, fields: list[pa.Field], keep: list
     import public_tokenizers
 
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    keep = [c for c in dict.fromkeys(keep) if c not in {f.name for f in fields}]
     run = _mapper(data, pattern or public_tokenizers.PATTERN, work, fields, keep, text_col)
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
