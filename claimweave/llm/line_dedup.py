@@ -1,18 +1,20 @@
 """Line dedup by site-relative frequency.
 
 A line (white space at its ends apart) is boilerplate of a site if more than ``ratio`` of
-the site's pages hold it, and at least ``min_pages``. Such lines are dropped from the
+the site's pages hold it, and at least ``min_pages``: on a site of one page every line is on all of its pages,
+so a share says something only of lines that repeat. Such lines are dropped from the
 pages of that site; all others stay as they are.
 
 Every page gives each of its lines once, as a 128-bit hash; counts are combined in
 the tasks before the shuffle, so neither a hot site nor a line on all pages meets in one
 task. A site has at most (lines of a page / ratio) boilerplate lines, so the
-list of each site is short; lists are broadcast up to ``max_broadcast`` lines in all, and
-beyond that joined by site and salt.
+list of each site is short; lists are broadcast if they fit within ``max_broadcast`` bytes, measured, and
+beyond that joined by site and salt. A page's lines are intersected with its site's list, by hash.
 
 Defined cases: a null text stays null; blank lines stay and don't count; pages with a null
 site are a site of their own; a line twice on a page counts once and is dropped
-at both places; repeated rows are pages each; a page may become empty and stays.
+at both places; repeated rows are pages each; a page may become empty and stays; texts of any length go in
+whole; columns of pages keep their values, and counts get another name (a ``_`` more) if theirs is taken.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import MAX_BROADCAST_BYTES, fits, private, table, written
 
 RATIO, MIN_PAGES = 0.1, 3
 #: The pipeline's ratio, from shares measured on the tables (see README); RATIO is the one that OP7_SQL states.
@@ -32,7 +34,7 @@ def _lines(text: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
 
 
@@ -46,35 +48,36 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RAT
 
 
 def drop_boilerplate(
-    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = 200_000, salts: int = 64, whole: bool = False
+    pages: DataFrame, site: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_broadcast: int = MAX_BROADCAST_BYTES, salts: int = 64, whole: bool = False
 ) -> DataFrame:
     """All columns of ``pages``, the text without boilerplate, and n_lines and n_dropped.
 
     With ``whole`` a page of which nothing would be left stays as it is: it is one of many copies, which
     are for near-dedup to take, and their content would be gone with all of them.
     """
+    own = {n: private(f"_{n}", pages) for n in ("site", "drop", "salt", "lines", "near", "kept")}
+    counts = [private(n, pages) for n in ("n_lines", "n_dropped")]
     found = written(boilerplate(pages, site, F.col(text_col), ratio, min_pages), "boilerplate")
-    lists = found.groupBy("site").agg(F.collect_list("key").alias("_drop"))
-    rows = pages.withColumn("_site", F.struct(site.alias("site")))
-    if found.count() <= max_broadcast:
-        joined = rows.join(F.broadcast(lists.withColumnRenamed("site", "_site")), "_site", "left")
+    lists = found.groupBy("site").agg(F.collect_list("key").alias("drop")).select(F.col("site").alias(own["site"]), F.col("drop").alias(own["drop"]))
+    rows = pages.withColumn(own["site"], F.struct(site.alias("site")))
+    if fits(found.select("site", "key"), max_broadcast):
+        joined = rows.join(F.broadcast(lists), own["site"], "left")
     else:
-        dealt = lists.select(F.col("site").alias("_site"), "_drop", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(text_col), F.lit(salts)).cast("int"))
-        joined = salted.join(dealt, ["_site", "_salt"], "left").drop("_salt")
-    keep = lambda line: F.coalesce(~F.array_contains(F.col("_drop"), _key(line)), F.lit(True))
-    kept = F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(F.filter("_lines", keep))
-    out = joined.withColumn("_lines", _lines(F.col(text_col))).withColumn("_kept", kept)
+        dealt = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(own["salt"]))
+        salted = rows.withColumn(own["salt"], F.pmod(F.xxhash64(text_col, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+        joined = salted.join(dealt, [own["site"], own["salt"]], "left")
+    lines, drop, near, kept = (F.col(own[n]) for n in ("lines", "drop", "near", "kept"))
+    hits = F.array_intersect(F.transform(lines, lambda line: _key(line)["a"]), F.transform(drop, lambda k: k["a"]))
+    out = joined.withColumn(own["lines"], _lines(F.col(text_col)))
+    out = out.withColumn(own["near"], F.when(drop.isNotNull(), hits)).withColumn(own["near"], F.when(F.size(near) > 0, F.filter(drop, lambda k: F.array_contains(near, k["a"]))))
+    keep = lambda line: F.coalesce(~F.array_contains(near, _key(line)), F.lit(True))
+    out = out.withColumn(own["kept"], F.when(near.isNull(), lines).otherwise(F.filter(lines, keep)))
     if whole:
-        left = F.exists("_kept", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-        out = out.withColumn("_kept", F.when(left, F.col("_kept")).otherwise(F.col("_lines")))
+        left = F.exists(kept, lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "")
+        out = out.withColumn(own["kept"], F.when(left, kept).otherwise(lines))
     nothing = F.col(text_col).isNull()
-    return (
-        out.withColumn("n_lines", F.when(nothing, 0).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("n_dropped", F.when(nothing, 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long"))
-        .withColumn(text_col, F.when(~nothing, F.array_join("_kept", "\n")))
-        .select(*(c for c in pages.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
-    )
+    made = {counts[0]: F.when(nothing, 0).otherwise(F.size(lines)).cast("long"), counts[1]: F.when(nothing, 0).otherwise(F.size(lines) - F.size(kept)).cast("long")}
+    return out.withColumns(made).withColumn(text_col, F.when(~nothing, F.array_join(kept, "\n"))).select(*pages.columns, *counts)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
