@@ -2,19 +2,25 @@
 
 Texts are folded (case, look-alike letters of other scripts, digits and signs that
 stand for letters, zero-width characters, punctuation) and matched by one
-Aho-Corasick automaton, longest match first. An entry is a beginning of a word with a
-weight; an exception phrase is a longer match of weight zero, so it covers the entry
-inside it. A text's weight and its weight for each thousand words go through a
-logistic curve to a score from 0 to 1.
-
-Lexicon, exceptions and curve are learned from a sample of at most ``MAX_SAMPLE``
-labelled rows, the bound of all that is gathered in learning: word beginnings that are
-at least ``MIN_ODDS`` times as frequent among toxic rows as among others, in as few
-letters as that takes and as many as nearly all toxic uses share.
+Aho-Corasick automaton, longest match first. An entry is a beginning of a word, or a whole word
+(written with a space after it), with a weight; an exception is a word or a phrase of several words and
+of weight zero: as a longer match it covers the entry inside it. A text's weight and its weight for each
+thousand words go through a logistic curve to a score from 0 to 1.
+
+Lexicon, exceptions and curve are learned from a sample of at most ``most`` labelled rows (``MAX_SAMPLE``),
+the bound of all that is gathered in learning: word beginnings, and whole words that are shorter or longer
+than those, which are at least ``MIN_ODDS`` times as frequent among toxic rows as among others, in as few
+letters as that takes and as many as nearly all toxic uses share. Words with such a beginning that are mainly
+used in other rows become exceptions, and so do they with the word before or after them. An
+entry stands in ``MIN_DOCS`` toxic rows of the sample at least and an exception in as many others, for a share
+of fewer rows says nothing. ``max_features`` bounds what the driver holds of the sample's features: of more
+candidates, the most frequent ones are looked at.
 
 Defined cases: null is the empty text; without words there is no match, so the score
 is the curve's at zero; without labelled rows of both kinds every score is 0; of labels for
-one id the greatest counts, null labels don't; repeated rows give a row each.
+one id the greatest counts, null labels don't; rows that share an id are sample rows each; repeated rows give
+a row each; texts of any length are scored whole; ``score`` replaces columns that have the name of a result,
+``drop_toxic`` returns the columns as they are.
 """
 
 from __future__ import annotations
@@ -30,13 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table, written
+from .common import fold, private, table, written
 
 MAX_SAMPLE = 20_000
 MIN_ODDS = 12.0
 MIN_DOCS = 5
 PREFIX = (3, 14)
-MAX_ENTRIES = 20_000
+MAX_FEATURES = 200_000
 
 #: Look-alike letters and digits that stand for letters.
 LOOK_ALIKES = {
@@ -66,7 +72,7 @@ def folded(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    weights: dict[str, float] = field(default_factory=dict)  # word beginning -> weight
+    weights: dict[str, float] = field(default_factory=dict)  # word beginning, or whole word and a space -> weight
     exceptions: list[str] = field(default_factory=list)  # whole words or phrases
     curve: tuple[float, float, float] | None = None
 
@@ -76,7 +82,7 @@ class Lexicon:
 
         automaton = ahocorasick.Automaton()
         for entry, weight in self.weights.items():
-            automaton.add_word(f" {folded(entry).strip()}", weight)
+            automaton.add_word(f" {folded(entry).strip()}" + " " * entry.endswith(" "), weight)
         for phrase in self.exceptions:
             if words := folded(phrase).split():
                 automaton.add_word(" " + "  ".join(words) + " ", 0.0)
@@ -114,8 +120,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 
 
 def _beginnings(text: str | None) -> set[str]:
+    """Beginnings of words, and with a space after them whole words that are no such beginning."""
     low, high = PREFIX
-    return {w[:n] for w in set(folded(text).split()) for n in range(low, min(high, len(w)) + 1)}
+    words = set(folded(text).split())
+    return {w[:n] for w in words for n in range(low, min(high, len(w)) + 1)} | {f"{w} " for w in words if not low <= len(w) <= high}
 
 
 def _counted(count, wanted_label: int | None):
@@ -145,14 +153,16 @@ def _totals(sample: DataFrame, count, wanted_label: int | None = None) -> DataFr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MAX_SAMPLE) -> DataFrame:
-    """text and toxic of at most ``most`` labelled rows, chosen by hash; the ids are broadcast within that bound."""
+    """text and toxic of at most ``most`` labelled rows, chosen by hash. At most as many ids are broadcast, and of their
+    rows, which may be more, as many are taken."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    return written(rows.select("_id", "text", "toxic"), "toxicity-sample")
+    place = F.xxhash64("_id", "text")
+    return written(rows.select("_id", "text", "toxic").orderBy(place, "_id", "text").limit(most), "toxicity-sample")
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_SAMPLE, max_features: int = MAX_FEATURES) -> Lexicon:
     """A lexicon from the rows of ``docs`` that ``labels`` (id, toxic) covers."""
     sample = labelled_sample(docs, labels, id_col, text_col, most)
     lexical = sample.where(F.pmod(F.xxhash64(F.lit("lexicon"), "_id"), F.lit(4)) != 0)
@@ -160,18 +170,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n.get(True) or not n.get(False):
         return Lexicon()
     toxic_rows, clean_rows = n[True], n[False]
-    seen = _totals(lexical, _beginnings, wanted_label=1).where(F.col("toxic") >= MIN_DOCS)
-    candidates = {r["feature"]: r["toxic"] for r in seen.collect()}  # of a bounded sample
+    seen = _totals(lexical, _beginnings, wanted_label=1).where(F.col("toxic") >= MIN_DOCS).orderBy(F.desc("toxic"), "feature").limit(max_features)
+    candidates = {r["feature"]: r["toxic"] for r in seen.collect()}
     of = lambda text: _beginnings(text) & candidates.keys()
     clean = {r["feature"]: r["clean"] for r in _totals(lexical, of, wanted_label=0).collect()}
     odds = {f: ((t + 0.5) / (toxic_rows + 1)) / ((clean.get(f, 0) + 0.5) / (clean_rows + 1)) for f, t in candidates.items()}
-    entries = _entries(candidates, odds)
-    entries = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:MAX_ENTRIES])
-    first = Lexicon(entries)
-    matched = _totals(lexical, _matched_words(entries))
+    first = Lexicon(_entries(candidates, odds))
+    matched = _totals(lexical, _matched_phrases(first.weights))
     ratio = clean_rows / toxic_rows
-    rows = matched.where((F.col("clean") >= 2) & (F.col("clean") > F.col("toxic") * ratio)).orderBy(F.desc("clean"), "feature").limit(MAX_ENTRIES).collect()
-    first.exceptions = [r["feature"] for r in rows]
+    harmless = matched.where((F.col("clean") >= MIN_DOCS) & (F.col("clean") > F.col("toxic") * ratio))
+    first.exceptions = [r["feature"] for r in harmless.orderBy(F.desc("clean"), "feature").limit(max_features).collect()]
     weigh = first.matcher
 
     def weights(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,9 +197,10 @@ def _entries(docs: dict[str, int], odds: dict[str, float]) -> dict[str, float]:
     """Shortest beginnings that are telling, lengthened while nearly all toxic uses share a letter more."""
     children: dict[str, list[str]] = {}
     for f in docs:
-        children.setdefault(f[:-1], []).append(f)
-    out: dict[str, float] = {}
-    todo = sorted(f for f in docs if len(f) == PREFIX[0])
+        if not f.endswith(" "):
+            children.setdefault(f[:-1], []).append(f)
+    out: dict[str, float] = {f: math.log(odds[f]) for f in docs if f.endswith(" ") and odds[f] >= MIN_ODDS}
+    todo = sorted(f for f in docs if len(f) == PREFIX[0] and not f.endswith(" "))
     while todo:
         f = todo.pop()
         if odds[f] < MIN_ODDS:
@@ -203,17 +212,28 @@ def _entries(docs: dict[str, int], odds: dict[str, float]) -> dict[str, float]:
     return out
 
 
-def _matched_words(entries: dict[str, float]):
-    lengths = sorted({len(e) for e in entries})
+def _matched_phrases(entries: dict[str, float]):
+    """text -> words that an entry matches, each alone, with the word before it and with the word after it."""
+    lengths = sorted({len(e) for e in entries if not e.endswith(" ")})
 
     def count(text: str | None) -> set[str]:
-        return {w for w in set(folded(text).split()) if any(w[:n] in entries for n in lengths)}
+        words = folded(text).split()
+        known = {w: any(w[:n] in entries for n in lengths if n <= len(w)) or f"{w} " in entries for w in set(words)}
+        out: set[str] = set()
+        for i, w in enumerate(words):
+            if known[w]:
+                out.add(w)
+                if i:
+                    out.add(f"{words[i - 1]} {w}")
+                if i + 1 < len(words):
+                    out.add(f"{w} {words[i + 1]}")
+        return out
 
     return count
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs``, with score and predicted (names that clash are replaced)."""
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs``, with score and predicted (columns of these names are replaced)."""
     from pyspark.sql.types import DoubleType
 
     @F.pandas_udf(DoubleType())
@@ -223,12 +243,13 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
             found = [weigh(t) for t in texts]
             yield pd.Series(lexicon.score(np.array([a for a, _ in found], float), np.array([b for _, b in found], float)))
 
-    return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn(into[0], scored(F.col(text_col))).withColumn(into[1], (F.col(into[0]) >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The documents whose score stays under the threshold."""
-    return score(docs, lexicon, text_col, threshold).where("predicted = 0").select(*docs.columns)
+    into = private("_score", docs), private("_predicted", docs)
+    return score(docs, lexicon, text_col, threshold, into).where(F.col(into[1]) == 0).select(*docs.columns)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
