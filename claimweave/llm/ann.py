@@ -7,20 +7,25 @@ vector nearer to the query than max(low - d, d - high). Subtrees are skipped whe
 ``factor`` times that bound exceeds the query's 20th nearest so far; factor 1
 skips nothing that counts, so results are exact; a greater one skips more.
 
-Rows are dealt into shards by hash of the id, queries into blocks; each shard meets
+Rows are dealt into shards by hash, queries into blocks; each shard meets
 each block once, and gives that block's 20 nearest of that shard, from which the nearest
-of all are taken. Shards and blocks have a bounded number of rows.
+of all are taken. Shards and blocks have a bounded number of rows. Queries are a twentieth of the rows, so it
+is blocks that are sent to every shard. Each shard's tree is descended: every query goes to the leaf it falls in first,
+then down again through all that the bound leaves.
+
+Vectors of different lengths have no inner product, so each length is a space of its own, with shards, blocks
+and norms of its own.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, as queries or candidates, nor do those whose length isn't
-the most frequent one (the shorter, on a tie); rows that share an id are candidates each,
+components take no part, as queries or candidates; a query's candidates are the vectors of its own
+length; rows that share an id are candidates each,
 and none is a candidate of a query of that id; rows with a null id take no part; queries with
-no candidate give no rows; ties go to the smaller id.
+no candidate give no rows; ties go to the smaller id; other columns are neither needed nor returned, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fits, table, written
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 4096, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 32768, 4096, 256
 TOP = 20
 
 
 def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
+    """vec_id, v (array<double>) and its length n, of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
-    usual = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (usual["n"] if usual else 0))
+    return good.withColumn("n", F.size("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -49,46 +53,44 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].reshape(len(lists), -1)
 
 
-def build(x: np.ndarray, leaf_rows: int) -> tuple[list[np.ndarray], list[list[tuple[int, float, float]]], list[int]]:
-    """Leaves (row numbers), each leaf's path of (vantage number, low, high), and the vantage rows."""
-    leaves, paths, vantage = [], [], []
-    todo = [(np.arange(len(x)), [])]
-    while todo:
-        rows, path = todo.pop()
-        if len(rows) > leaf_rows:
-            far = x[rows] - x[rows].mean(axis=0)
-            pick = rows[int((far * far).sum(axis=1).argmax())]
-            gap = x[rows] - x[pick]
+class Tree:
+    """A vantage-point tree over the rows of x. A node is a leaf's number, or a vantage row with its two sides
+    as (low, high, node), the distances from the vantage point that the side's rows lie in."""
+
+    def __init__(self, x: np.ndarray, leaf_rows: int):
+        self.x, self.leaf_rows, self.leaves = x, leaf_rows, []
+        self.root = self._node(np.arange(len(x)))
+
+    def _node(self, rows: np.ndarray):
+        if len(rows) > self.leaf_rows:
+            far = self.x[rows] - self.x[rows].mean(axis=0)
+            pick = int(rows[int((far * far).sum(axis=1).argmax())])
+            gap = self.x[rows] - self.x[pick]
             d = np.sqrt((gap * gap).sum(axis=1))
             near = d <= np.median(d)
             if near.all():
                 near = d < d.max()
             if near.any() and not near.all():
-                vantage.append(int(pick))
-                for side in (near, ~near):
-                    todo.append((rows[side], [*path, (len(vantage) - 1, float(d[side].min()), float(d[side].max()))]))
-                continue
-        leaves.append(rows)
-        paths.append(path)
-    return leaves, paths, vantage
+                return pick, [(float(d[side].min()), float(d[side].max()), self._node(rows[side])) for side in (near, ~near)]
+        self.leaves.append(rows)
+        return len(self.leaves) - 1
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top_norm: float, factor: float, k: int, leaf_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of each query's nearest; exact scores, ties by id."""
     lift = np.sqrt(np.maximum(0, top_norm**2 - (x * x).sum(axis=1)))
-    leaves, paths, vantage = build(np.hstack([x, lift[:, None]]), leaf_rows)
+    tree = Tree(np.hstack([x, lift[:, None]]), leaf_rows)
     q2 = (q * q).sum(axis=1)
     slack = 1e-9 * (np.sqrt(q2) * top_norm + 1)
-    away = np.sqrt(np.maximum(0, q2[:, None] + top_norm**2 - 2 * q @ x[vantage].T)) if vantage else np.zeros((len(q), 0))
-    bound = np.zeros((len(q), len(leaves)))
-    for i, path in enumerate(paths):
-        for node, low, high in path:
-            np.maximum(bound[:, i], np.maximum(low - away[:, node], away[:, node] - high), out=bound[:, i])
     best = np.full((len(q), k), -np.inf)
+    home = np.full(len(q), -1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def away(some: np.ndarray, vantage: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0, q2[some] + top_norm**2 - 2 * q[some] @ x[vantage]))
+
     def visit(leaf: int, some: np.ndarray) -> None:
-        rows = leaves[leaf]
+        rows = tree.leaves[leaf]
         near = q[some] @ x[rows].T
         near[q_ids[some][:, None] == ids[rows][None, :]] = -np.inf
         a, b = np.nonzero(near >= (best[some, 0] - slack[some])[:, None])
@@ -98,15 +100,38 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top
         both.partition(both.shape[1] - k, axis=1)
         best[some] = np.sort(both[:, -k:], axis=1)
 
-    home = bound.argmin(axis=1)
-    for leaf in range(len(leaves)):
-        if len(some := np.flatnonzero(home == leaf)):
-            visit(leaf, some)
-    for leaf in np.argsort(bound.mean(axis=0)):
-        reach = np.sqrt(np.maximum(0, q2 + top_norm**2 - 2 * (best[:, 0] - slack)))  # infinite until k are found
-        some = np.flatnonzero((home != leaf) & (factor * bound[:, leaf] <= reach))
-        if len(some):
-            visit(int(leaf), some)
+    def settle(node, some: np.ndarray) -> None:
+        """Each query to the leaf on its own side of every vantage point."""
+        if not len(some):
+            return
+        if isinstance(node, int):
+            home[some] = node
+            visit(node, some)
+            return
+        d = away(some, node[0])
+        one, other = (np.maximum(low - d, d - high) for low, high, _ in node[1])
+        settle(node[1][0][2], some[one <= other])
+        settle(node[1][1][2], some[one > other])
+
+    def descend(node, some: np.ndarray, bound: np.ndarray) -> None:
+        """All other leaves that may hold one of the k nearest."""
+        reach = np.sqrt(np.maximum(0, q2[some] + top_norm**2 - 2 * (best[some, 0] - slack[some])))  # infinite until k are found
+        some, bound = some[keep := factor * bound <= reach], bound[keep]
+        if isinstance(node, int):
+            some = some[home[some] != node]
+            if len(some):
+                visit(node, some)
+            return
+        if not len(some):
+            return
+        d = away(some, node[0])
+        sides = [(np.maximum(bound, np.maximum(low - d, d - high)), child) for low, high, child in node[1]]
+        for low, child in sorted(sides, key=lambda s: float(s[0].mean())):
+            descend(child, some, low)
+
+    every = np.arange(len(q))
+    settle(tree.root, every)
+    descend(tree.root, every, np.zeros(len(q)))
     a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
     keep = s >= (best[a, 0] - slack[a])
     a, b, s = a[keep], b[keep], s[keep]
@@ -118,8 +143,16 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top
 
 
 def _packed(rows: pa.Table, key: str) -> pa.Table:
-    blob = pickle.dumps((np.asarray(rows.column("vec_id")), _matrix(rows.column("v"))))
-    return pa.table({key: rows.column(key).slice(0, 1), "data": pa.array([blob], pa.binary())})
+    """All rows of a group as one Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([rows.schema.field("vec_id"), rows.schema.field("v")])) as out:
+        out.write_table(rows.select(["vec_id", "v"]))
+    return pa.table({"n": rows.column("n").slice(0, 1), key: rows.column(key).slice(0, 1), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unpacked(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    rows = pa.ipc.open_stream(data.as_buffer()).read_all()
+    return np.asarray(rows.column("vec_id")), _matrix(rows.column("v"))
 
 
 def nearest(
@@ -129,24 +162,26 @@ def nearest(
     """query_id, rank, vec_id and score of the k nearest rows of each query."""
     good = valid_vectors(rows, id_col, vector_col)
     asked = valid_vectors(queries, id_col, vector_col)
-    shape = good.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    shards, norm = max(1, -(-shape[0] // shard_rows)), float(np.sqrt(shape[1] or 0.0)) * (1 + 1e-12)
-    blocks = max(1, -(-asked.count() // block_rows))
-    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(n)).cast("int")
-    index = good.withColumn("shard", deal("shard", shards)).groupBy("shard").applyInArrow(lambda t: _packed(t, "shard"), "shard int, data binary")
-    packs = asked.withColumn("block", deal("block", blocks)).groupBy("block").applyInArrow(lambda t: _packed(t, "block"), "block int, data binary")
-    pairs = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    parts = lambda n: F.ceil(F.count("*") / n).cast("int")
+    shape = good.groupBy("n").agg(parts(shard_rows).alias("shards"), (F.sqrt(F.max(square)) * (1 + 1e-12)).alias("norm"))
+    shape = written(shape.join(asked.groupBy("n").agg(parts(block_rows).alias("blocks")), "n"), "vector-shapes")  # a row for each length
+    shape = F.broadcast(shape) if fits(shape) else shape
+    deal = lambda name: F.pmod(F.xxhash64(F.lit(name), "vec_id", "v", F.spark_partition_id()), F.col(f"{name}s")).cast("int").alias(name)
+    index = good.join(shape, "n").select("n", deal("shard"), "vec_id", "v")
+    index = index.groupBy("n", "shard").applyInArrow(lambda t: _packed(t, "shard"), "n int, shard int, data binary")
+    packs = asked.join(shape, "n").select("n", deal("block"), "vec_id", "v")
+    packs = packs.groupBy("n", "block").applyInArrow(lambda t: _packed(t, "block"), "n int, block int, data binary")
+    pairs = packs.join(shape, "n").select("n", "norm", "data", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, block in zip(batch.column("index"), batch.column("data"), strict=True):
-                (ids, x), (q_ids, q) = pickle.loads(shard.as_py()), pickle.loads(block.as_py())
-                if q.shape[1] != x.shape[1]:
-                    continue
+            for shard, block, norm in zip(batch.column("index"), batch.column("data"), batch.column("norm").to_pylist(), strict=True):
+                (ids, x), (q_ids, q) = _unpacked(shard), _unpacked(block)
                 a, b, s = search(q_ids, q, ids, x, norm, factor, k, leaf_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    met = pairs.join(index.withColumnRenamed("data", "index"), "shard").select("index", "data")
+    met = pairs.join(index.withColumnRenamed("data", "index"), ["n", "shard"]).select("index", "data", "norm")
     kind = rows.schema[id_col].dataType.simpleString()
     found = met.mapInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
