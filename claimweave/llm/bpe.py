@@ -60,6 +60,8 @@ class ByteBPE:
         self.shorter: dict[int, int] = {}
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_memo: dict[str, bytes] = {}
         self.code = "H" if len(self.token) <= 1 << 16 else "I"
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -119,7 +121,8 @@ class ByteBPE:
         size, length, reach, matches = len(data), self.length, self.longest, self.automaton.iter_long
         text = data.decode("latin-1")
         fits, dead, out, at = self.fits, None, [], 0
-        # A look at each place sees no more than the longest token, so a match of any length takes linear time.
+        # A look at each place of a long match sees no more than the longest token, so that it takes linear time.
+        long = size > reach
         token = next(matches(text[:reach]), (0, -1))[1]
         while at < size:
             if token >= 0:
@@ -132,7 +135,7 @@ class ByteBPE:
                     if good:
                         out.append(token)
                         at = end
-                        token = next(matches(text[at : at + reach]), (0, -1))[1] if at < size else -1
+                        token = next(matches(text[at : at + reach]) if long else matches(text, at), (0, -1))[1] if at < size else -1
                         continue
                 token = self.next_shorter(token)
             while token < 0:
@@ -150,7 +153,7 @@ class ByteBPE:
         ids = []
         for piece in self.pieces(chunk):
             if (known := self.memo.get(piece)) is None:
-                known = array(self.code, self.encode_piece(piece.encode())).tobytes()
+                known = self.older_memo.get(piece) or array(self.code, self.encode_piece(piece.encode())).tobytes()
                 if len(piece) <= MEMO_LENGTH:
                     self.memo[piece] = known
             ids.append(known)
@@ -160,12 +163,15 @@ class ByteBPE:
         """A single space between two characters that aren't white space always begins a
         match, so what stands between such spaces is looked up as a whole."""
         first, *chunks = text.split(" ")
-        words = self.words
-        if len(words) > MEMO_ENTRIES:
-            words.clear()
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.words) > MEMO_ENTRIES:  # what is used goes on from the older half, the rest is forgotten
+            self.older, self.words = self.words, {}
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.older_memo, self.memo = self.memo, {}
+        words, older = self.words, self.older
         for chunk in set(chunks).difference(words):
+            if (known := older.get(chunk)) is not None:
+                words[chunk] = known
+                continue
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 return self._ids(self._remember(text))
             if len(chunk) <= 4 * MEMO_LENGTH:
