@@ -41,24 +41,26 @@ def _rightmost(value: Column, grams: list[Column], first: int) -> Column:
 def fingerprints(rows: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
     """The columns of ``rows``, with at, size, fp and last: a row for each fingerprint of the words w, and for each place
     of windows of ``short`` lengths. One more row for each text has no fingerprint and ``last``."""
-    hashes = rows.withColumn("_h", F.concat(F.array(F.lit(None).cast("long")), F.transform("w", lambda x: F.xxhash64(x))))
-    # Place by place: the word before, and the words of the window that begins here.
-    shifted = F.arrays_zip(*(F.slice("_h", F.lit(i + 1), F.greatest(F.size("_h") - i, F.lit(0))).alias(f"h{i}") for i in range(span + 1)))
-    placed = hashes.select(*rows.columns, F.posexplode(shifted).alias("_pos", "_z"))
-    h = [F.col(f"_z.h{i}") for i in range(span + 1)]
+    hashed = rows.withColumn("_h", F.transform("w", lambda x: F.xxhash64(x)))
+    # What follows runs once a word, as compiled code: functions of arrays would be interpreted.
+    placed = hashed.withColumn("_pos", F.explode(F.sequence(F.lit(0), F.size("w"))))
+    h = {i: F.get("_h", F.col("_pos") + i) for i in range(-1, span)}  # the word before, and those of the window that begins here
+    placed = placed.withColumns({f"_h{i}": x for i, x in h.items()})
+    h = {i: F.col(f"_h{i}") for i in h}
     n_grams = span - k + 2  # of the window before and of this one
-    g = [F.col(f"_g{i}") for i in range(n_grams)]
-    hashed = placed.select(
-        *rows.columns, "_pos", h[1].isNull().alias("last"), h[span].isNotNull().alias("_full"), *(F.xxhash64(*h[i : i + k]).alias(f"_g{i}") for i in range(n_grams)),
-        *(F.when(h[n].isNotNull(), F.xxhash64(F.lit(n), *h[1 : n + 1])).alias(f"_short{n}") for n in short),
+    placed = placed.select(
+        *rows.columns, "_pos", *(F.xxhash64(*(h[i + j] for j in range(k))).alias(f"_g{i + 1}") for i in range(-1, n_grams - 1)),
+        *(F.when(F.col("_pos") + n <= F.size("w"), F.xxhash64(F.lit(n), *(h[j] for j in range(n)))).alias(f"_short{n}") for n in short),
     )
-    least = hashed.withColumns({"_least": F.least(*g[1:]), "_before": F.least(*g[:-1])})
+    g = [F.col(f"_g{i}") for i in range(n_grams)]
+    least = placed.withColumns({"_least": F.least(*g[1:]), "_before": F.least(*g[:-1])})
     offset, before = _rightmost(F.col("_least"), g[1:], 0), _rightmost(F.col("_before"), g[:-1], -1)
-    new = F.col("_full") & ((F.col("_pos") == 0) | (offset != before))
-    out = least.withColumns({"fp": F.when(new, F.col("_least")), "at": F.col("_pos") + offset, "size": F.lit(span)})
-    if short:
-        kinds = F.array(F.struct("fp", "at", "size", "last"), *(F.struct(F.col(f"_short{n}").alias("fp"), F.col("_pos").alias("at"), F.lit(n).alias("size"), F.lit(False).alias("last")) for n in short))
-        out = out.select(*rows.columns, F.explode(kinds).alias("_kind")).select(*rows.columns, "_kind.*")
+    new = (F.col("_pos") + span <= F.size("w")) & ((F.col("_pos") == 0) | (offset != before))
+    mark = lambda fp, at, size, last: F.struct(fp.alias("fp"), at.alias("at"), F.lit(size).alias("size"), last.alias("last"))
+    marks = [mark(F.when(new, F.col("_least")), F.col("_pos") + offset, span, F.col("_pos") == F.size("w"))]
+    marks += [mark(F.col(f"_short{n}"), F.col("_pos"), n, F.lit(False)) for n in short]
+    # Rows of an array, not columns: a filter on columns would go below them and compute each again for every use.
+    out = least.select(*rows.columns, F.inline(F.array(*marks)))
     return out.where(F.col("fp").isNotNull() | F.col("last")).select(*rows.columns, "at", "size", "fp", "last")
 
 
@@ -80,10 +82,12 @@ def item_windows(items: DataFrame, span: int, k: int, short: list[int]) -> DataF
     return groups.withColumn("set", F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit(1), "items").alias("b")))
 
 
-def _extended(w: Column, here: Column, span: int, k: int) -> tuple[Column, Column, Column]:
-    """Of the document's words ``w`` with the k-gram at ``here``: whether they match ``around``, and by how many
-    words the match goes on to the left and to the right of the k-gram."""
-    same = {d: F.coalesce(F.get(w, here + d) == F.get(F.col("around"), F.col("lead") + d), F.lit(False)) for d in range(k - span, span)}
+def _extended(m: Column, span: int, k: int) -> Column:
+    """The span (begin, end) of the document that matches an item's window through the fingerprint, or null.
+
+    From the k-gram on, words are compared to the left and to the right, as far as a window can reach.
+    """
+    same = {d: F.coalesce(F.get(m["w"], m["here"] + d) == F.get(m["around"], m["lead"] + d), F.lit(False)) for d in range(k - span, span)}
     left = right = F.lit(span - k)
     for d in reversed(range(span - k)):
         left = F.when(~same[-1 - d], d).otherwise(left)
@@ -91,7 +95,10 @@ def _extended(w: Column, here: Column, span: int, k: int) -> tuple[Column, Colum
     core = same[0]
     for d in range(1, k):
         core &= same[d]
-    return core, left, right
+    whole = (m["size"] < span) & (F.slice(m["w"], m["here"] + 1, m["size"]) == m["around"])
+    long = (m["size"] == span) & core & (left + right >= span - k)
+    begin, end = F.when(whole, m["at"]).otherwise(m["at"] - left), F.when(whole, m["at"] + m["size"]).otherwise(m["at"] + k + right)
+    return F.when(whole | long, F.struct(begin.alias("begin"), end.alias("end")))
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K, max_broadcast: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -104,22 +111,19 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), words(F.col(text_col), WORD_SEPARATORS).alias("w")).withColumn("n", F.size("w"))
     marks = fingerprints(rows, span, k, short)
     near = near.select(F.col("fp").alias("_fp"), F.col("size").alias("_size"), "around", "lead", "set")
-    met = (F.col("fp") == F.col("_fp")) & (F.col("size") == F.col("_size"))
+    pair = (F.col("fp") == F.col("_fp")) & (F.col("size") == F.col("_size"))
     if fits(near, max_broadcast):
-        joined, w, here = marks.join(F.broadcast(near), met, "left"), F.col("w"), F.col("at")
+        joined, w, here = marks.join(F.broadcast(near), pair, "left"), F.col("w"), F.col("at")
     else:
         window, before = _around(F.col("w"), F.col("at"), F.col("size"), F.col("n"), span, k)
-        carried = marks.where("not last").select("doc_id", "key", "n", "at", "size", "fp", "last", window.alias("w"), before.alias("_here")).join(near, met)
+        carried = marks.where("not last").select("doc_id", "key", "n", "at", "size", "fp", "last", window.alias("w"), before.alias("_here")).join(near, pair)
         ends = rows.select("doc_id", "key", "n", F.lit(True).alias("last"))
         joined, w, here = carried.unionByName(ends, allowMissingColumns=True), F.col("w"), F.col("_here")
-    core, left, right = _extended(w, here, span, k)
-    begin, end = F.col("at") - left, F.col("at") + k + right
-    whole = (F.col("size") < span) & (F.slice(w, here + 1, F.col("size")) == F.col("around"))
-    found = F.when(whole, F.struct(F.col("at").alias("begin"), (F.col("at") + F.col("size")).alias("end"))).when(
-        (F.col("size") == span) & core & (left + right >= span - k), F.struct(begin.alias("begin"), end.alias("end"))
-    )
-    # No row but one that meets a window is compared.
-    hits = joined.where(F.col("last") | F.col("around").isNotNull()).withColumn("found", F.when(~F.col("last"), found)).where(F.col("last") | F.col("found").isNotNull())
+    # Only rows that meet a window are compared, in a step of its own: as a function of an array it stays outside
+    # the code that runs once a word.
+    met = joined.where(F.col("last") | F.col("around").isNotNull())
+    match = F.struct(w.alias("w"), here.alias("here"), "around", "lead", "size", "at")
+    hits = met.withColumn("found", F.get(F.transform(F.when(~F.col("last"), F.array(match)), lambda m: _extended(m, span, k)), F.lit(0)))
     per_doc = hits.groupBy("doc_id", "key").agg(
         F.count_if("last").alias("copies"), F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("found")).alias("spans"),
         F.collect_set(F.when(F.col("found").isNotNull(), F.col("set"))).alias("sets"),
