@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 #: What may be broadcast, measured before it is.
 MAX_BROADCAST_BYTES = 64 << 20
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Fixed values of the contracts: separators between words.
 SPACES = r"[\x20\x09-\x0D]"
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -55,7 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and sizes are known exactly."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # whole texts go to Python as these many rows at a time
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
