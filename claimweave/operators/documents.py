@@ -36,8 +36,14 @@ def normalize_document(raw: Column) -> Column:
     return F.struct(*((items if n == "line_items" else blocks[n]).alias(n) for n in TYPED_SCHEMA.fieldNames()))
 
 
-def field_pairs(pairs: DataFrame) -> DataFrame:
-    """(doc_id, path, pred, truth, npred, ntruth) for pairs (doc_id, pred, truth) of raw documents, as text."""
+def normalized(path: Column, value: Column, paths: tuple[str, ...] = FIELD_PATHS) -> Column:
+    """A value in the form that its path's normaliser gives it, as text; null for other paths than ``paths``."""
+    return F.coalesce(*(F.when(path == p, NORMALIZERS[p](value).cast("string")) for p in paths))
+
+
+def field_pairs(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataFrame:
+    """(doc_id, path, pred, truth, npred, ntruth) for pairs (doc_id, pred, truth) of raw documents, as text; only
+    ``paths`` are read and normalised."""
 
     def row(path: str) -> Column:
         block, name = path.split(".")
@@ -45,4 +51,4 @@ def field_pairs(pairs: DataFrame) -> DataFrame:
         typed = lambda side: NORMALIZERS[path](of(side)).cast("string")
         return F.struct(F.lit(path).alias("path"), of("pred").alias("pred"), of("truth").alias("truth"), typed("pred").alias("npred"), typed("truth").alias("ntruth"))
 
-    return pairs.select("doc_id", F.inline(F.array(*map(row, FIELD_PATHS))))
+    return pairs.select("doc_id", F.inline(F.array(*map(row, paths))))

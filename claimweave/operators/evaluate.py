@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import best_row_pairs, tree, tree_accuracy
-from ..schema import LINE_ITEM_FIELDS
-from .documents import normalize_document
+from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS
+from .documents import normalize_document, normalized
 
 MATCH_FLOOR = 0.60
 MATERIAL = "100"
@@ -180,17 +180,18 @@ def score_business(errors: DataFrame, material: str = MATERIAL) -> DataFrame:
     )
 
 
-def ensemble_confidence(values: DataFrame) -> DataFrame:
+def ensemble_confidence(values: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataFrame:
     """(doc_id, path, score) from (system, doc_id, path, value): 1 if all agree, 0.7 if some abstain, 0.3 if they
-    differ, 0 without a value."""
+    differ, 0 without a value. Values agree if their normalised forms do; one that can't be read abstains."""
+    said = values.withColumn("value", normalized(F.col("path"), F.col("value"), paths))
     kinds, present = F.count_distinct("value"), F.count("value")
     score = F.when(present == 0, 0.0).when(kinds > 1, 0.3).when(present == F.count("*"), 1.0).otherwise(0.7)
-    return values.groupBy("doc_id", "path").agg(score.alias("score"))
+    return said.groupBy("doc_id", "path").agg(score.alias("score"))
 
 
 def coverage_curve(fields: DataFrame, confidences: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(threshold, coverage, accuracy, document_rate) over (doc_id, path, npred, ntruth); a field without a confidence
-    is never answered. A field is counted once, at the highest threshold it clears, and sums run downwards."""
+    has confidence 0, so only the threshold 0 answers it. A field is counted once, at the highest threshold it clears, and sums run downwards."""
     from pyspark.sql import Window
 
     steps = F.array(*(F.lit(t) for t in thresholds))

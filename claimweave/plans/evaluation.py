@@ -58,11 +58,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+GROSS = ("totals.gross_amount",)
 PATHS = ("insurance.claim_number", "totals.gross_amount", "patient.admission_date")
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_pairs(_pairs(spark, sf_dir)).where(F.col("path").isin(*PATHS))
+def _fields(spark: SparkSession, sf_dir: str, paths: tuple[str, ...] = PATHS) -> DataFrame:
+    """The paths that these documents have; only what is asked for is normalised."""
+    return field_pairs(_pairs(spark, sf_dir), paths)
 
 
 _GROUPED = r"""(CASE WHEN length(d) <= 3 THEN d ELSE ltrim(reverse(regexp_replace(reverse(d[:length(d) - 3]), '(..)', '\1,', 'g')), ',') || ',' || right(d, 3) END)"""
@@ -162,11 +164,12 @@ _SYSTEMS = {"A": 7, "B": 11, "C": 13}
 
 
 def _system_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three systems that each miss, or misread, the gross of some orders."""
+    """Three systems that each miss, or misread, the gross of some orders; one prints it with its currency."""
     orders = td.table(spark, sf_dir, "orders").select(K, F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("v"))
     out = None
     for name, n in _SYSTEMS.items():
         value = F.when(F.col(K) % n == 0, None).when(F.col(K) % n == 1, F.concat("v", F.lit("9"))).otherwise(F.col("v"))
+        value = F.concat(F.lit("Rs. "), value) if name == "B" else value
         rows = orders.select(F.lit(name).alias("system"), F.col(K).alias("doc_id"), F.lit("totals.gross_amount").alias("path"), value.alias("value"))
         out = rows if out is None else out.unionAll(rows)
     return out
@@ -180,7 +183,7 @@ CONFIDENCE_SQL = "conf AS (SELECT k AS doc_id, " + _CONF + "::DOUBLE AS score FR
 
 @query("ensemble_confidence", f"WITH {CONFIDENCE_SQL} SELECT doc_id, 'totals.gross_amount' AS path, score FROM conf")
 def ensemble_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.ensemble_confidence(_system_values(spark, sf_dir))
+    return ev.ensemble_confidence(_system_values(spark, sf_dir), GROSS)
 
 
 CURVE_SQL = f"""{FIELDS_SQL}, {CONFIDENCE_SQL},
@@ -191,8 +194,8 @@ curve AS (SELECT threshold, count_if(s >= threshold) / count(*) AS coverage, CAS
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = _fields(spark, sf_dir).where("path = 'totals.gross_amount'")
-    return ev.coverage_curve(fields, ev.ensemble_confidence(_system_values(spark, sf_dir)))
+    fields = _fields(spark, sf_dir, GROSS)
+    return ev.coverage_curve(fields, ev.ensemble_confidence(_system_values(spark, sf_dir), GROSS))
 
 
 @query("coverage_curve", f"WITH {CURVE_SQL} SELECT threshold, round(coverage, 9) AS coverage, round(accuracy, 9) AS accuracy, round(document_rate, 9) AS document_rate FROM curve")
@@ -303,18 +306,23 @@ def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page_index", empty("hospital").alias("hospital"), patient.alias("patient"), empty("insurance").alias("insurance"), totals.alias("totals"), "line_items")
 
 
-# A reprint is dropped unless the page before it is missing, when nothing is printed again.
-ASSEMBLY_SQL = f"""{td.ITEMS_SQL}, pg AS (SELECT doc_id, page_index, count(*) AS n FROM items GROUP BY ALL)"""
+# Pages as printed, then folded in order: the longest overlap of the last rows so far with the first of the next page, three at most, goes.
+ASSEMBLY_SQL = f"""{td.ITEMS_SQL}, own AS (SELECT doc_id, page_index, list({{'d': description, 'a': amt}} ORDER BY line_index) AS rows FROM items GROUP BY ALL),
+pg AS (
+  SELECT doc_id, page_index, CASE WHEN doc_id % 8 = 0 AND before IS NOT NULL THEN before[-1:] || rows ELSE rows END AS rows
+  FROM (SELECT *, lag(rows) OVER (PARTITION BY doc_id ORDER BY page_index) AS before FROM own)),
+folded AS (
+  SELECT doc_id, count(*) AS n_pages, sum(len(rows)) AS n_rows_raw, bool_or(page_index = 7) AS has, list_reduce(list(rows ORDER BY page_index), lambda m, n: m || n[1 + CASE
+    WHEN len(m) >= 3 AND len(n) >= 3 AND m[-3:] = n[1:3] THEN 3 WHEN len(m) >= 2 AND len(n) >= 2 AND m[-2:] = n[1:2] THEN 2 WHEN m[-1:] = n[1:1] THEN 1 ELSE 0 END:]) AS merged
+  FROM pg GROUP BY doc_id)"""
 
 
 @query(
     "page_assembly",
-    f"""WITH {ASSEMBLY_SQL} SELECT doc_id, count(*)::INT AS n_pages, sum(n)::INT AS n_rows, (sum(n) + CASE WHEN doc_id % 8 = 0 THEN count(*) - 1 ELSE 0 END)::INT AS n_rows_raw FROM pg
-    WHERE doc_id NOT IN (SELECT a.doc_id FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.line_index + 1 = b.line_index AND a.page_index < b.page_index AND a.description = b.description AND a.amt = b.amt)
-    GROUP BY doc_id""",
+    f"WITH {ASSEMBLY_SQL} SELECT doc_id, n_pages::INT AS n_pages, len(merged)::INT AS n_rows, n_rows_raw::INT AS n_rows_raw FROM folded",
 )
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order; of those whose own lines repeat over a page break, which the SQL leaves out, the fold drops the overlap."""
+    """Every order; of those whose own lines repeat over a page break, the fold drops the overlap."""
     docs = asm.assemble(_fragments(spark, sf_dir))
     return docs.select("doc_id", "n_pages", "n_rows", "n_rows_raw")
 
@@ -331,10 +339,9 @@ def header_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reconcile_totals",
-    f"""WITH {ASSEMBLY_SQL}, s AS (SELECT doc_id, sum(amt) AS total, max(stated) AS stated, count_if(page_index = 7) > 0 AS has FROM items JOIN claims USING (doc_id) GROUP BY doc_id)
+    f"""WITH {ASSEMBLY_SQL}, s AS (SELECT doc_id, list_sum(list_transform(merged, lambda r: r.a)) AS total, stated, has FROM folded JOIN claims USING (doc_id))
     SELECT doc_id, CASE WHEN has THEN (total - stated)::BIGINT END AS gross_delta, CASE WHEN has THEN CASE WHEN doc_id % 2 = 0 THEN 1000 ELSE 0 END END::BIGINT AS net_delta,
-    NOT has OR (abs(total - stated) <= 100 AND doc_id % 2 = 1) AS balanced FROM s WHERE doc_id % 8 <> 0
-    AND doc_id NOT IN (SELECT a.doc_id FROM items a JOIN items b ON a.doc_id = b.doc_id AND a.line_index + 1 = b.line_index AND a.page_index < b.page_index AND a.description = b.description AND a.amt = b.amt)""",
+    NOT has OR (abs(total - stated) <= 100 AND doc_id % 2 = 1) AS balanced FROM s""",
 )
 def reconcile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = asm.reconcile(asm.assemble(_fragments(spark, sf_dir)))
