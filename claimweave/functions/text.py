@@ -1,17 +1,14 @@
 """Text, names and identifiers: null-safe, total, native.
 
-``nfkc`` is the one thing Spark has no function for. The others take what it gives, or
-plain text whose compatibility forms don't matter.
+Compatibility forms (full-width digits, ligatures, the rupee sign) are composed before anything
+else is read. That is the ICU library's work, which Spark ships for its collations, called within
+the plan; ASCII, as most values are, goes past it.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Dashes that count as a hyphen, and titles before personal names.
 DASHES = "‐‑‒–—―−"
@@ -19,21 +16,23 @@ HONORIFICS = ("baby of", "b/o", "master", "mstr", "shri", "smt", "sri", "mrs", "
 SPACE = r"(?U)\s+"
 
 
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _wide(text: Column) -> Column:
+    return F.octet_length(text) > F.char_length(text)
 
 
-def _casefolded(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+def nfkc(text: Column) -> Column:
+    """Unicode compatibility composition."""
+    text = text.cast("string")
+    return F.when(_wide(text), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
 
 
-def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition; ASCII passes through."""
-    return F.pandas_udf(_composed, StringType())(text)
+def casefold(text: Column) -> Column:
+    """Full case folding, by which a sharp s is two letters."""
+    return F.when(_wide(text), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))).otherwise(F.lower(text))
 
 
 def nfkc_casefold(text: Column) -> Column:
-    return F.pandas_udf(_casefolded, StringType())(text)
+    return let(nfkc(text), casefold)
 
 
 def let(value: Column, body) -> Column:
@@ -51,8 +50,8 @@ def blank_to_null(text: Column) -> Column:
 
 
 def prepare(text: Column) -> Column:
-    """Hyphens for all dashes, single spaces, null for blank."""
-    return blank_to_null(collapse_whitespace(F.translate(text, DASHES, "-" * len(DASHES))))
+    """Composed, with hyphens for all dashes and single spaces; null for blank."""
+    return blank_to_null(collapse_whitespace(F.translate(nfkc(text), DASHES, "-" * len(DASHES))))
 
 
 def strip_edges(text: Column, characters: str) -> Column:
@@ -61,18 +60,18 @@ def strip_edges(text: Column, characters: str) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    return F.lower(prepare(text))
+    return let(prepare(text), casefold)
 
 
 def normalize_org_name(text: Column) -> Column:
     """Punctuation at the edges goes; titles stay, as they belong to the name."""
-    return blank_to_null(F.lower(collapse_whitespace(strip_edges(prepare(text), r" .,:;\-_/\\|"))))
+    return blank_to_null(let(collapse_whitespace(strip_edges(prepare(text), r" .,:;\-_/\\|")), casefold))
 
 
 def normalize_name(text: Column) -> Column:
     """A person's name without titles, however many, and without the dots of initials."""
     title = "|".join(HONORIFICS)
-    name = F.regexp_replace(F.lower(prepare(text)), rf"^(?:[ .,]*(?:{title})(?=$|[\s.,]))+[ .,]*", "")
+    name = F.regexp_replace(let(prepare(text), casefold), rf"^(?:[ .,]*(?:{title})(?=$|[\s.,]))+[ .,]*", "")
     name = F.regexp_replace(F.regexp_replace(name, r"\b([a-z])\.", "$1 "), r"[.,;:]+", " ")
     return blank_to_null(collapse_whitespace(strip_edges(name, r" \-_/\\|")))
 

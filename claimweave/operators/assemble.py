@@ -73,7 +73,7 @@ def _conflicts(blocks: Column, name: str) -> list[Column]:
 def assemble(fragments: DataFrame) -> DataFrame:
     """doc_id, document (raw), n_pages, n_rows_raw, n_rows, missing_blocks, conflicts."""
     page = F.struct("page_index", *BLOCKS, _keyed(F.col("line_items")).alias("rows"))
-    docs = fragments.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    docs = fragments.select("doc_id", page.alias("page")).groupBy("doc_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
     docs = docs.withColumn("rows", fold_pages(F.col("pages"), KEYED))
     for b in BLOCKS:
         docs = docs.withColumn(f"_{b}", F.filter(F.transform("pages", _getter(b)), lambda x: x.isNotNull()))

@@ -64,6 +64,14 @@ def test_gstin(spark):
 def test_unicode(spark):
     check(spark, text.nfkc, [("ｆｕｌｌ", "full"), ("plain", "plain"), (None, None)])
     check(spark, text.nfkc_casefold, [("Straße", "strasse")])
+    check(spark, money.normalize_amount, [("１,２３４.００", Decimal(1234)), ("₨ 500", Decimal(500)), ("(₹ 2,500.00)", Decimal(-2500))])
+    check(spark, text.normalize_text, [("Straße  ﬁle", "strasse file"), ("Cafe\u0301", "café"), ("రోగి", "రోగి"), (None, None)])
+    check(spark, text.normalize_name, [("Ｄｒ. Ｒａｏ", "rao")])
+    check(spark, text.normalize_org_name, [("ＡＰＯＬＬＯ ﬂoor.", "apollo floor")])
+    check(spark, text.normalize_identifier, [("ＰＯＬ-１２", "POL12"), ("№ 5", "NO5")])
+    check(spark, dates.normalize_date, [("０５/０１/２０２５", date(2025, 1, 5))])
+    inside = spark.createDataFrame([(["ﬁ", "x", None],)], "v array<string>").select(F.transform("v", text.normalize_text).alias("v")).first()["v"]
+    assert inside == ["fi", "x", None]
 
 
 def test_printing(spark):

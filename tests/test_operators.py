@@ -1,12 +1,13 @@
 """Operators against worked cases."""
 
+import json
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import adjudicate as adj
-from claimweave.operators import assemble, evaluate, extract, images, redact, sampling, spans, taxonomy
+from claimweave.operators import adjudicate_json, assemble, evaluate, extract, images, redact, sampling, spans, taxonomy
 from claimweave.schema import RAW_SCHEMA
 from claimweave.sources.rules import load_policy, load_rules
 
@@ -52,6 +53,24 @@ def test_longest_needle_is_credited(spark):
     assert got == ["LIST_I_FOOD_BEVERAGE", None, None, None, "LIST_I_ADMIN_RECORDS", "LIST_I_ADMIN_RECORDS"]
 
 
+def test_json_in_json_out(spark):
+    items = [{"description": "Room", "category": "room_rent", "unit_rate": "10,000", "amount": "Rs. 10,000.00"}, {"description": "Attendant", "category": "non_medical", "amount": "800"}, {"description": "Surgeon", "category": "surgery", "amount": "５０,０００"}]
+    bills = [json.dumps({"patient": {"ward_type": "Private"}, "line_items": items}), json.dumps({"line_items": []}), "no json", json.dumps({"extra": 1}), None]
+    requests = spark.createDataFrame(list(enumerate(bills)), "doc_id int, document string")
+    got = {r["doc_id"]: r for r in adjudicate_json.adjudicate_json(requests, load_rules(), load_policy(), co_pay_percent=0, sum_insured=None).collect()}
+    one = json.loads(got[0]["result"])
+    assert (one["gross"], one["payable"], one["total_deducted"], one["notes"]) == ("60800.00", "30000.00", "30800.00", [])
+    assert [(d["rule_id"], d["line_index"], d["line_description"]) for d in one["deductions"]] == [(one["deductions"][0]["rule_id"], 1, "attendant"), ("ROOM_RENT_CAP", 0, "room"), ("ROOM_RENT_CAP", 2, "surgeon")]
+    assert sum(map(Decimal, one["by_rule"].values())) == Decimal("30800.00") and one["by_rule"]["ROOM_RENT_CAP"] == "30000.00"
+    trail = one["audit_trail"].split("\n")
+    assert trail[0] == "Gross considered: 60800.00" and trail[-1] == "Net payable: 30000.00" and trail[1].startswith("  -800.00  ") and trail[1].endswith(" [row 2: attendant]")
+    nothing = json.loads(got[1]["result"])
+    assert (nothing["gross"], nothing["payable"], nothing["deductions"], nothing["by_rule"]) == ("0.00", "0.00", [], {})
+    assert [(got[i]["result"], got[i]["error"]) for i in (2, 3, 4)] == [(None, "not a JSON object"), (None, "unknown blocks"), (None, "not a JSON object")]
+    with pytest.raises(ValueError):
+        adjudicate_json.adjudicate_json(requests, load_rules(), load_policy(), order="x")
+
+
 def raw(**given):
     out = {f.name: None if f.name != "line_items" else [] for f in RAW_SCHEMA}
     return out | given
