@@ -210,17 +210,20 @@ def auto_processing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of non-medical goods are not payable; a prediction loses the last line of every seventh order."""
-    lines = td.line_items(spark, sf_dir).select("doc_id", "line_index", "category", (F.col("amount") * 100).cast("bigint").alias("c"))
-    paid = F.col("category") != "non_medical"
-    lost = (F.col("doc_id") % 7 == 0) & (F.col("line_index") == 0)
-    total = lambda test: F.sum(F.when(test, F.col("c")))
-    sums = lines.groupBy("doc_id").agg(total(paid).alias("t"), total(paid & ~lost).alias("p"), F.coalesce(total(~paid), F.lit(0)).alias("true_deducted"), F.coalesce(total(~paid & ~lost), F.lit(0)).alias("pred_deducted"))
-    stated = td.claims(spark, sf_dir).select("doc_id", (F.col("stated_net") * 100).cast("bigint").alias("stated"))
-    both = stated.join(sums, "doc_id", "left")
-    return both.select(
-        "doc_id", F.coalesce("t", "stated").alias("true_payable"), F.when(F.col("doc_id") % 11 != 0, F.coalesce("p", "stated")).alias("pred_payable"),
-        F.coalesce("true_deducted", F.lit(0)).alias("true_deducted"), F.coalesce("pred_deducted", F.lit(0)).alias("pred_deducted"),
+    """Lines of non-medical goods are not payable; a prediction loses the first line of every seventh order,
+    and every eleventh order has no prediction."""
+    item = F.struct("line_index", "amount", (F.col("category") != "non_medical").alias("is_payable"))
+    lines = td.line_items(spark, sf_dir).select("doc_id", item.alias("item")).groupBy("doc_id").agg(F.collect_list("item").alias("items"))
+    both = td.claims(spark, sf_dir).select("doc_id", "stated_net").join(lines, "doc_id", "left")
+    items = F.coalesce("items", F.array().cast(lines.schema["items"].dataType))
+    left = F.filter(items, lambda i: (F.col("doc_id") % 7 != 0) | (i["line_index"] != 0))
+    document = lambda held: F.struct(held.alias("line_items"), F.struct(F.col("stated_net").alias("net_amount")).alias("totals"))
+    sides = both.select("doc_id", document(items).alias("truth"), document(left).alias("pred"))
+    cents = lambda c: (c * 100).cast("bigint")
+    truth, pred = F.col("truth"), F.col("pred")
+    return sides.select(
+        "doc_id", cents(ev.net_payable(truth)).alias("true_payable"), F.when(F.col("doc_id") % 11 != 0, cents(ev.net_payable(pred))).alias("pred_payable"),
+        cents(ev.deduction_total(truth)).alias("true_deducted"), cents(ev.deduction_total(pred)).alias("pred_deducted"),
     )
 
 
