@@ -60,10 +60,10 @@ PAGES = "doc_id string, page_index int, total_pages int, amount decimal(18,2)"
 
 
 def complete_documents(pages: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """(doc_id, n_pages, total): a document as soon as its last page is there, whatever the order of pages.
+    """(doc_id, n_pages, total_cents): a document as soon as its last page is there, whatever the order of pages.
 
-    A page that comes twice counts once; what is incomplete waits until the time is out, and is then given with the
-    pages it has.
+    A page that comes twice counts once, one without a number not at all; a null amount adds nothing, and a null number of
+    pages leaves what was known. What is incomplete waits until the time is out, and is then given with the pages it has.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,9 +74,11 @@ def complete_documents(pages: DataFrame, timeout: str = "1 hour") -> DataFrame:
         if not state.hasTimedOut:
             for f in frames:
                 for page, n, amount in f[["page_index", "total_pages", "amount"]].itertuples(index=False):
-                    if page not in seen:
-                        seen, cents, wanted = [*seen, int(page)], cents + int(amount * 100), int(n)
-        if state.hasTimedOut or len(seen) >= wanted:
+                    if pd.isna(page) or int(page) in seen:
+                        continue
+                    seen, cents = [*seen, int(page)], cents + (0 if pd.isna(amount) else int(amount * 100))
+                    wanted = wanted if pd.isna(n) else int(n)
+        if state.hasTimedOut or 0 < wanted <= len(seen):
             state.remove()
             yield pd.DataFrame({"doc_id": [key[0]], "n_pages": [len(seen)], "total_cents": [cents]})
         else:

@@ -1,6 +1,7 @@
 """Streams give what their batch forms give."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,20 @@ def test_corrections(spark, tmp_path):
     assert [r["corrected"] for r in spark.read.parquet(f"{tmp_path}/out/v{last}").collect()] == ["v1"]
 
 
+def test_complete_documents(spark, tmp_path):
+    pages = [("a", 2, 2, "1.50"), ("a", 1, 2, None), ("a", 1, 2, "9.00"), ("b", 1, None, "2.00"), ("b", None, 1, "7.00"), ("c", 1, 1, "0.29")]
+    rows = spark.createDataFrame(pages, "doc_id string, page_index int, total_pages int, amount string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    query = events.complete_documents(stream).writeStream.outputMode("append").format("memory").queryName("complete").trigger(processingTime="1 second").start()
+    # Waiting documents keep such a query running, so it is stopped once what is complete is out.
+    until = time.monotonic() + 60
+    while spark.table("complete").count() < 2 and query.isActive and time.monotonic() < until:
+        time.sleep(1)
+    query.stop()
+    assert sorted(map(tuple, spark.table("complete").collect())) == [("a", 2, 150), ("c", 1, 29)]
+
+
 def test_manifest(spark, tmp_path):
     rows = [{"page_id": f"p{i}", "doc_id": "d", "split": "val" if i else "train", "image": f"i{i}", "page": i} for i in (1, 0)]
     (tmp_path / "m.1.jsonl").write_text(json.dumps(rows[0]) + "\n\n")
