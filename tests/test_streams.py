@@ -36,7 +36,7 @@ def test_complete_documents(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     query = events.complete_documents(stream).writeStream.outputMode("append").format("memory").queryName("complete").trigger(processingTime="1 second").start()
-    # Waiting documents keep such a query running, so it is stopped once what is complete is out.
+    # The query doesn't end by itself, so it is stopped once what is complete is out.
     until = time.monotonic() + 60
     while spark.table("complete").count() < 2 and query.isActive and time.monotonic() < until:
         time.sleep(1)
