@@ -7,6 +7,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .lm import op5_lm_score
 from .near_dedup import op6_minhash
+from .quality import op13_quality
 from .token_counts import OP10_SQL, op10_token_counts
 from .toxicity import op1_toxicity
 from .url_filter import OP3_SQL, op3_url_filter
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_chat_format": op9_chat_format,
     "op10_token_counts": op10_token_counts,
+    "op13_quality": op13_quality,
 }
 ORACLE_SQL = {
     "op2_decontaminate": OP2_SQL,
