@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import MAX_BROADCAST_BYTES, fits, table, written
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-SLICE, POSITIONS, ENTRIES = 1 << 20, 1 << 21, 300_000
+SLICE, POSITIONS, ENTRIES = 1 << 19, 1 << 19, 100_000
 
 #: A-Z in lower case, ends of pieces as a line feed, a tab as a space.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
