@@ -250,7 +250,7 @@ def hard_negatives(
     asking = anchors.join(lists, "key").join(shape.select("n", "norm"), "n")
     real = F.filter("positives", lambda s: s >= 0)  # a negative score has no numbers between its parts
     away = lambda score: F.sqrt(F.greatest(F.lit(0.0), F.col("square") + F.col("norm") * F.col("norm") - 2 * score))
-    least, most = (lambda s: F.ceil(s.cast("double") * low / 100)), (lambda s: F.floor(s.cast("double") * high / 100))
+    least, most = (lambda s: s.cast("double") * low / 100), (lambda s: s.cast("double") * high / 100)  # rounding is left to the exact join
     asking = asking.withColumn("real", real).where(F.size("real") > 0)
     asking = asking.withColumns({
         "nearest": away(most(F.array_max("real"))), "farthest": away(least(F.array_min("real"))),
