@@ -9,7 +9,8 @@ Every page gives each of its lines once, as a 128-bit hash; counts are combined
 the tasks before the shuffle, so neither a hot site nor a line on all pages meets in one
 task. A site has at most (lines of a page / ratio) boilerplate lines, so the
 list of each site is short; lists are broadcast if they fit within ``max_broadcast`` bytes, measured, and
-beyond that joined by site and salt. A page's lines are intersected with its site's list, by hash.
+beyond that joined by site and salt. Lists are sorted, and each line of a page is looked up by halving, so a page's cost is its
+lines times the logarithm of its site's list.
 
 Defined cases: a null text stays null; blank lines stay and don't count; pages with a null
 site are a site of their own; a line twice on a page counts once and is dropped
@@ -22,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.functions.text import let
+
 from .common import MAX_BROADCAST_BYTES, fits, private, table, written
 
-RATIO, MIN_PAGES = 0.1, 3
-#: The pipeline's ratio, from shares measured on the tables (see README); RATIO is the one that OP7_SQL states.
-SHARE = 0.005
+#: From shares measured on the tables (see README).
+RATIO, MIN_PAGES = 0.005, 3
 
 
 def _lines(text: Column) -> Column:
@@ -38,11 +40,19 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
 
 
+def _holds(keys: Column, steps: Column, key: Column) -> Column:
+    """Whether the sorted array has the key. ``steps`` are the powers of two up to its size, the greatest first."""
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(keys, at + step - 1) <= key, at + step).otherwise(at))
+    return let(below, lambda at: F.coalesce(F.get(keys, at - 1) == key, F.lit(False)))
+
+
 def boilerplate(pages: DataFrame, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """site, line key and number of pages of each boilerplate line."""
     rows = pages.select(F.struct(site.alias("site")).alias("site"), text.alias("text"))
     totals = rows.groupBy("site").agg(F.count("*").alias("pages"))
-    keys = rows.select("site", F.explode(F.array_distinct(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: k.isNotNull()))).alias("key"))
+    keys = F.sort_array(F.filter(F.transform(_lines(F.col("text")), _key), lambda k: k.isNotNull()))
+    once = let(keys, lambda k: F.filter(k, lambda one, i: (i == 0) | (one != F.get(k, i - 1))))
+    keys = rows.select("site", F.explode(once).alias("key"))
     counts = keys.groupBy("site", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return counts.join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(ratio)).select("site", "key", "n")
 
@@ -55,10 +65,12 @@ def drop_boilerplate(
     With ``whole`` a page of which nothing would be left stays as it is: it is one of many copies, which
     are for near-dedup to take, and their content would be gone with all of them.
     """
-    own = {n: private(f"_{n}", pages) for n in ("site", "drop", "salt", "lines", "near", "kept")}
+    own = {n: private(f"_{n}", pages) for n in ("site", "drop", "steps", "salt", "lines", "kept")}
     counts = [private(n, pages) for n in ("n_lines", "n_dropped")]
     found = written(boilerplate(pages, site, F.col(text_col), ratio, min_pages), "boilerplate")
-    lists = found.groupBy("site").agg(F.collect_list("key").alias("drop")).select(F.col("site").alias(own["site"]), F.col("drop").alias(own["drop"]))
+    lists = found.groupBy("site").agg(F.sort_array(F.collect_list("key")).alias("drop"))
+    lists = lists.withColumn("steps", F.transform(F.sequence(F.floor(F.log2(F.size("drop"))).cast("int"), F.lit(0), F.lit(-1)), lambda b: F.lit(2).cast("int") ** b)).withColumn("steps", F.col("steps").cast("array<int>"))
+    lists = lists.select(*(F.col(n).alias(own[n]) for n in ("site", "drop", "steps")))
     rows = pages.withColumn(own["site"], F.struct(site.alias("site")))
     if fits(found.select("site", "key"), max_broadcast):
         joined = rows.join(F.broadcast(lists), own["site"], "left")
@@ -66,12 +78,10 @@ def drop_boilerplate(
         dealt = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(own["salt"]))
         salted = rows.withColumn(own["salt"], F.pmod(F.xxhash64(text_col, F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
         joined = salted.join(dealt, [own["site"], own["salt"]], "left")
-    lines, drop, near, kept = (F.col(own[n]) for n in ("lines", "drop", "near", "kept"))
-    hits = F.array_intersect(F.transform(lines, lambda line: _key(line)["a"]), F.transform(drop, lambda k: k["a"]))
+    lines, drop, steps, kept = (F.col(own[n]) for n in ("lines", "drop", "steps", "kept"))
+    keep = lambda line: ~let(_key(line), lambda k: F.when(k.isNull(), False).otherwise(_holds(drop, steps, k)))
     out = joined.withColumn(own["lines"], _lines(F.col(text_col)))
-    out = out.withColumn(own["near"], F.when(drop.isNotNull(), hits)).withColumn(own["near"], F.when(F.size(near) > 0, F.filter(drop, lambda k: F.array_contains(near, k["a"]))))
-    keep = lambda line: F.coalesce(~F.array_contains(near, _key(line)), F.lit(True))
-    out = out.withColumn(own["kept"], F.when(near.isNull(), lines).otherwise(F.filter(lines, keep)))
+    out = out.withColumn(own["kept"], F.when(drop.isNull(), lines).otherwise(F.filter(lines, keep)))
     if whole:
         left = F.exists(kept, lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "")
         out = out.withColumn(own["kept"], F.when(left, kept).otherwise(lines))
@@ -86,16 +96,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH l AS (
-  SELECT doc_id, source, text, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
-  FROM (SELECT doc_id, source, text, generate_subscripts(a, 1) AS pos, unnest(a) AS line
-    FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
-t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
+l AS (
+  SELECT page, doc_id, source, text, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare
+  FROM (SELECT page, doc_id, source, text, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+    FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS a FROM d))),
+t AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 b AS (
-  SELECT c.source, bare FROM (SELECT source, bare, count(DISTINCT doc_id) AS n FROM l WHERE bare <> '' GROUP BY ALL) c
-  JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > pages * 0.1),
+  SELECT c.source, bare FROM (SELECT source, bare, count(DISTINCT page) AS n FROM l WHERE bare <> '' GROUP BY ALL) c
+  JOIN t ON c.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > pages * 0.005),
 m AS (SELECT l.*, b.bare IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.bare = b.bare)
 SELECT doc_id, source, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
-FROM m GROUP BY doc_id, source
+FROM m GROUP BY page, doc_id, source
 """

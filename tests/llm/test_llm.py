@@ -321,17 +321,28 @@ def test_nearest(spark):
     rows += [(400 + i, rows[20][1]) for i in range(30)] + [(20, rows[21][1]), (500, None), (501, [0.0] * 6), (502, [float("nan")] * 6), (503, [1.0, None] * 3), (504, [1.0]), (None, rows[1][1]), (505, [float("inf")] * 6), (506, [])]
     df = frame(spark, rows, "vec_id bigint, embedding array<double>").withColumn("rank", F.lit(1))
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v)]
-    want = set()
-    for q, x in good:
+    want = collections.Counter()
+    for at, (q, x) in enumerate(good):
         if q % 20 == 0:
-            best = sorted((-float((x * y).sum()), i) for i, y in good if i != q)[:20]
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)} if q != 20 else set()
-    queries = df.where("vec_id % 20 = 0 and vec_id <> 20")
-    got = ann.nearest(df, queries, shard_rows=64, block_rows=5, leaf_rows=8)
-    assert {tuple(r) for r in got.collect()} == want
-    loose = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, queries, shard_rows=64, block_rows=5, leaf_rows=8, factor=1.3).collect()}
-    assert len(loose & {(q, i) for q, _, i, _ in want}) >= 0.9 * len(want)
-    assert ann.nearest(df.limit(0), queries).count() == 0 and ann.nearest(df, queries.limit(0)).count() == 0
+            best = sorted((-float((x * y).sum()), i) for other, (i, y) in enumerate(good) if other != at)[:20]
+            want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    asked = F.col("vec_id") % 20 == 0
+    got = ann.nearest(df, asked, shard_rows=64, block_rows=5, leaf_rows=8)
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+    loose = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, asked, shard_rows=64, block_rows=5, leaf_rows=8, factor=1.3).collect()}
+    exact = {(q, i) for q, _, i, _ in want}
+    assert len(loose & exact) >= 0.9 * len(exact)
+    small = ann.nearest(df, asked, pack_bytes=8 * 6 * 10)  # ten rows a pack
+    assert collections.Counter(tuple(r) for r in small.collect()) == want
+    assert ann.nearest(df.limit(0), asked).count() == 0 and ann.nearest(df, F.lit(False)).count() == 0
+
+
+def test_queries_that_share_an_id(spark):
+    """Each has a list of its own, in which the other row of that id is a candidate."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0])] + [(i, [float(i), 0.0] if i < 15 else [0.0, float(i)]) for i in range(1, 30) if i != 20]
+    got = ann.nearest(frame(spark, rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 20, k=5)
+    lists = sorted((r["rank"], r["vec_id"]) for r in got.collect())
+    assert lists == sorted([(n + 1, i) for n, i in enumerate([14, 13, 12, 11, 10])] + [(n + 1, i) for n, i in enumerate([29, 28, 27, 26, 25])])
 
 
 # 9: chat formatting, from expanded examples
