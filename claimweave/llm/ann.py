@@ -9,7 +9,7 @@ skips nothing that counts, so results are exact; a greater one skips more.
 
 Rows are dealt into shards by hash, queries into blocks; each shard meets
 each block once, and gives that block's 20 nearest of that shard, from which the nearest
-of all are taken. Shards and blocks have a bounded number of rows. Queries are a twentieth of the rows, so it
+of all are taken. Shards and blocks have a bounded number of rows and of bytes, however long the vectors. Queries are a twentieth of the rows, so it
 is blocks that are sent to every shard. Each shard's tree is descended: every query goes to the leaf it falls in first,
 then down again through all that the bound leaves.
 
@@ -18,8 +18,8 @@ and norms of its own.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, as queries or candidates; a query's candidates are the vectors of its own
-length; rows that share an id are candidates each,
-and none is a candidate of a query of that id; rows with a null id take no part; queries with
+length; rows are told apart by a private key, so of rows that share an id each is a candidate of the others, each query has
+a list of its own, and only the query's own row is left out; rows with a null id take no part; queries with
 no candidate give no rows; ties go to the smaller id; other columns are neither needed nor returned, whatever
 their names.
 """
@@ -30,20 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fits, table, written
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 32768, 4096, 256
+PACK_BYTES = 16 << 20  # of vectors in a shard or block
 TOP = 20
 
 
-def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array<double>) and its length n, of the rows that take part."""
+def valid_vectors(rows: DataFrame, id_col: str, vector_col: str, asked: Column) -> DataFrame:
+    """vec_id, v (array<double>), its length n and whether the row is a query, of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = rows.select(F.col(id_col).alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
+    good = rows.select(F.col(id_col).alias("vec_id"), v.alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where("vec_id is not null and v is not null").where(fine)
     return good.withColumn("n", F.size("v"))
 
 
@@ -76,7 +77,7 @@ class Tree:
         return len(self.leaves) - 1
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top_norm: float, factor: float, k: int, leaf_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(q_keys: np.ndarray, q: np.ndarray, keys: np.ndarray, ids: np.ndarray, x: np.ndarray, top_norm: float, factor: float, k: int, leaf_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of each query's nearest; exact scores, ties by id."""
     lift = np.sqrt(np.maximum(0, top_norm**2 - (x * x).sum(axis=1)))
     tree = Tree(np.hstack([x, lift[:, None]]), leaf_rows)
@@ -92,7 +93,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top
     def visit(leaf: int, some: np.ndarray) -> None:
         rows = tree.leaves[leaf]
         near = q[some] @ x[rows].T
-        near[q_ids[some][:, None] == ids[rows][None, :]] = -np.inf
+        near[q_keys[some][:, None] == keys[rows][None, :]] = -np.inf
         a, b = np.nonzero(near >= (best[some, 0] - slack[some])[:, None])
         a, b = a[ok := np.isfinite(near[a, b])], b[ok]
         found.append((some[a], rows[b], (q[some[a]] * x[rows[b]]).sum(axis=1)))
@@ -145,49 +146,51 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top
 def _packed(rows: pa.Table, key: str) -> pa.Table:
     """All rows of a group as one Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([rows.schema.field("vec_id"), rows.schema.field("v")])) as out:
-        out.write_table(rows.select(["vec_id", "v"]))
+    kept = rows.select(["key", "vec_id", "v"])
+    with pa.ipc.new_stream(sink, kept.schema) as out:
+        out.write_table(kept)
     return pa.table({"n": rows.column("n").slice(0, 1), key: rows.column(key).slice(0, 1), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-def _unpacked(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = pa.ipc.open_stream(data.as_buffer()).read_all()
-    return np.asarray(rows.column("vec_id")), _matrix(rows.column("v"))
+    return np.asarray(rows.column("key")), np.asarray(rows.column("vec_id")), _matrix(rows.column("v"))
 
 
 def nearest(
-    rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, factor: float = 1.0,
-    shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS,
+    rows: DataFrame, asked: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, factor: float = 1.0,
+    shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf_rows: int = LEAF_ROWS, pack_bytes: int = PACK_BYTES,
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows of each query."""
-    good = valid_vectors(rows, id_col, vector_col)
-    asked = valid_vectors(queries, id_col, vector_col)
+    """query_id, rank, vec_id and score of the k nearest other rows of each row for which ``asked`` holds."""
+    good = written(valid_vectors(rows, id_col, vector_col, asked).withColumn("key", F.monotonically_increasing_id()), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    parts = lambda n: F.ceil(F.count("*") / n).cast("int")
-    shape = good.groupBy("n").agg(parts(shard_rows).alias("shards"), (F.sqrt(F.max(square)) * (1 + 1e-12)).alias("norm"))
-    shape = written(shape.join(asked.groupBy("n").agg(parts(block_rows).alias("blocks")), "n"), "vector-shapes")  # a row for each length
+    held = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(pack_bytes) / (8 * F.col("n")))))
+    parts = lambda count, most: F.ceil(count / F.first(held(most))).cast("int")
+    shape = good.groupBy("n").agg(
+        parts(F.count("*"), shard_rows).alias("shards"), parts(F.count_if("asked"), block_rows).alias("blocks"), (F.sqrt(F.max(square)) * (1 + 1e-12)).alias("norm")
+    )
+    shape = written(shape.where("blocks > 0"), "vector-shapes")  # a row for each length
     shape = F.broadcast(shape) if fits(shape) else shape
-    deal = lambda name: F.pmod(F.xxhash64(F.lit(name), "vec_id", "v", F.spark_partition_id()), F.col(f"{name}s")).cast("int").alias(name)
-    index = good.join(shape, "n").select("n", deal("shard"), "vec_id", "v")
+    deal = lambda name: F.pmod(F.xxhash64(F.lit(name), "key"), F.col(f"{name}s")).cast("int").alias(name)
+    index = good.join(shape, "n").select("n", deal("shard"), "key", "vec_id", "v")
     index = index.groupBy("n", "shard").applyInArrow(lambda t: _packed(t, "shard"), "n int, shard int, data binary")
-    packs = asked.join(shape, "n").select("n", deal("block"), "vec_id", "v")
+    packs = good.where("asked").join(shape, "n").select("n", deal("block"), "key", "vec_id", "v")
     packs = packs.groupBy("n", "block").applyInArrow(lambda t: _packed(t, "block"), "n int, block int, data binary")
     pairs = packs.join(shape, "n").select("n", "norm", "data", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, block, norm in zip(batch.column("index"), batch.column("data"), batch.column("norm").to_pylist(), strict=True):
-                (ids, x), (q_ids, q) = _unpacked(shard), _unpacked(block)
-                a, b, s = search(q_ids, q, ids, x, norm, factor, k, leaf_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
+                (keys, ids, x), (q_keys, q_ids, q) = _unpacked(shard), _unpacked(block)
+                a, b, s = search(q_keys, q, keys, ids, x, norm, factor, k, leaf_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(q_keys[a]), pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query", "query_id", "vec_id", "score"])
 
     met = pairs.join(index.withColumnRenamed("data", "index"), ["n", "shard"]).select("index", "data", "norm")
     kind = rows.schema[id_col].dataType.simpleString()
-    found = met.mapInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(meet, f"query bigint, query_id {kind}, vec_id {kind}, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return nearest(rows, rows.where("vec_id % 20 = 0"))
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
