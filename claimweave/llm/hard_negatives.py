@@ -2,8 +2,9 @@
 
 Vectors get one component more, which makes all norms M; anchors get a zero there. Then the squared distance of an anchor
 and a row is |a|^2 + M^2 - 2 * (inner product), so large products are small distances. Pivots are a bounded
-sample of rows; every row belongs to the cell of its nearest pivot, with its distance to it, and anchors are grouped by cell
-as well, ``GROUP_ROWS`` at most in a group. Counts and least and greatest distances of each cell and label bound how far
+sample of rows; every row belongs to the cell of its nearest pivot, with its distance to it, and so do anchors. Neighbouring
+cells are put together to groups of up to ``GROUP_ROWS`` anchors, and a cell with more is split, so the copies of a row grow with the
+number of anchors and not with that of cells. Counts and least and greatest distances of each cell and label bound how far
 the rows that a group needs can be: for positives, as far as cells nearby surely hold enough rows of the label; for
 negatives, the distances between which 30 and 90 hundredths of the positive scores lie, and no farther than cells that surely lie
 between them hold enough rows. A row is sent to a group only if its distance to its own pivot doesn't exclude it by
@@ -34,7 +35,8 @@ from .common import fits, table, written
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256
 CELL_ROWS, MAX_PIVOTS, GROUP_ROWS, CHUNK_ROWS, CHUNK_BYTES = 2048, 1024, 512, 8192, 16 << 20
-GROUP = ["n", "home", "part"]  # vector length, the cell of the anchors, and a share of them
+HOME = ["n", "home", "part"]  # vector length, the cell of the anchors, and a share of them: what has bounds
+GROUP = ["n", "team"]  # the anchors that meet rows together
 
 
 def prepared(rows: DataFrame, vec_id: Column, label: Column, vector: Column, anchor: Column, scale: int = SCALE) -> DataFrame:
@@ -82,6 +84,26 @@ class Space:
                 more = [pa.array(c) for c in (cell.astype(np.int32), d, home.astype(np.int32), far, (x * x).sum(axis=1))]
                 yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*some.schema.names, "cell", "d", "home", "far", "square"])
 
+    def teams(self, counts: pd.DataFrame, most: int) -> pd.DataFrame:
+        """n, home, parts and team of cells with so many anchors (n, home, count): cells in the order of their pivots along the
+        axis of greatest spread fill a team up, a cell of more is shared out to teams of its own."""
+        out, team = [], -1
+        for n, of in counts.groupby("n"):
+            pivots = self.pivots[n] - self.pivots[n].mean(axis=0)
+            along = pivots @ np.linalg.svd(pivots, full_matrices=False)[2][0]
+            held = most + 1  # a length begins a team
+            for home, count in sorted(zip(of["home"], of["count"], strict=True), key=lambda c: (along[c[0]], c[0])):
+                parts = -(-count // most)
+                if parts > 1:
+                    out.append((n, home, parts, team + 1))
+                    team, held = team + parts, most + 1
+                    continue
+                if held + count > most:
+                    team, held = team + 1, 0
+                held += count
+                out.append((n, home, 1, team))
+        return pd.DataFrame(out, columns=["n", "home", "parts", "team"]).astype("int32")
+
     def gap(self) -> Callable[..., Column]:
         """The distance between two pivots of a length."""
 
@@ -214,7 +236,7 @@ def _pairs(groups: DataFrame, cells: DataFrame, shape: DataFrame, space: Space,
 
 def _enough(found: DataFrame, counts: Column, k: int) -> Column:
     """A distance within which a group (of a label) surely has k rows, null without one."""
-    by = Window.partitionBy(*GROUP, "label")
+    by = Window.partitionBy(*HOME, "label")
     running = F.sum(counts).over(by.orderBy("most", "cell", "theirs").rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("running", running)
     return found.withColumn("enough", F.min(F.when(F.col("running") >= k, F.col("most"))).over(by))
@@ -232,16 +254,21 @@ def hard_negatives(
     keyed = rows.select(F.monotonically_increasing_id().alias("key"), "vec_id", "label", "anchor", "v", "n")
     rows = written(keyed.mapInArrow(space.cells, made), "negatives-rows")
     cells = written(rows.groupBy("n", "cell", "label").agg(F.count("*").alias("rows"), F.min("d").alias("low"), F.max("d").alias("high")), "negatives-cells")
-    parts = rows.where("anchor").groupBy("n", "home").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    parts = F.broadcast(parts) if fits(parts) else parts
-    anchors = rows.where("anchor").join(parts, ["n", "home"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    anchors = written(anchors.select(*GROUP, "key", "vec_id", "label", "v", "far", "square"), "negatives-anchors")
-
-    groups = anchors.groupBy(*GROUP, "label").agg(F.max("far").alias("reach"))
+    counts = rows.where("anchor").groupBy("n", "home").count().toPandas()  # a row a cell, of which there are as many as pivots
+    teams = F.broadcast(rows.sparkSession.createDataFrame(space.teams(counts, group_rows), "n int, home int, parts int, team int"))
+    anchors = rows.where("anchor").join(teams, ["n", "home"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("team", F.col("team") + F.col("part"))
+    anchors = written(anchors.select(*HOME, "team", "key", "vec_id", "label", "v", "far", "square"), "negatives-anchors")
+
+    def routed(found: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        """What each group is sent: of each cell and label the rows between the widest bounds of its members."""
+        ways = found.select(*HOME, "cell", "theirs", "rows", "low", "high", (lo - F.col("slack")).alias("lo"), (hi + F.col("slack")).alias("hi")).where("low <= hi and high >= lo")
+        ways = ways.join(teams, ["n", "home"]).withColumn("team", F.col("team") + F.col("part"))
+        return ways.groupBy(*GROUP, "cell", F.col("theirs").alias("label")).agg(F.max("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    groups = anchors.groupBy(*HOME, "label").agg(F.max("far").alias("reach"))
     found = _enough(_pairs(groups, cells, shape, space, True), F.col("rows"), positives + 1)
     within = F.coalesce("enough", F.lit(float("inf")))
-    routes = found.select(*GROUP, "cell", "theirs", "rows", "low", "high", (F.col("gap") - F.col("reach") - within - F.col("slack")).alias("lo"), (F.col("gap") + F.col("reach") + within + F.col("slack")).alias("hi"))
-    routes = routes.where("low <= hi and high >= lo").drop("low", "high").withColumnRenamed("theirs", "label")
+    routes = routed(found, F.col("gap") - F.col("reach") - within, F.col("gap") + F.col("reach") + within)
     near = _met(anchors.select(*GROUP, "key", "label", "v"), rows, routes, _positives(positives), f"anchor bigint, key bigint, vec_id {kind}, score bigint")
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "vec_id", "key")
     near = written(near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= positives).select("anchor", "place", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
@@ -256,14 +283,13 @@ def hard_negatives(
         "nearest": away(most(F.array_max("real"))), "farthest": away(least(F.array_min("real"))),
         "sure_near": away(most(F.array_min("real"))), "sure_far": away(least(F.array_max("real"))),
     })
-    bounds = asking.groupBy(*GROUP, "label").agg(F.max("far").alias("reach"), F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.max("sure_near").alias("sure_near"), F.min("sure_far").alias("sure_far"))
+    bounds = asking.groupBy(*HOME, "label").agg(F.max("far").alias("reach"), F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"), F.max("sure_near").alias("sure_near"), F.min("sure_far").alias("sure_far"))
     found = _pairs(bounds, cells, shape, space, False)
     sure = (F.col("least") >= F.col("sure_near") + F.col("slack")) & (F.col("most") <= F.col("sure_far") - F.col("slack"))
     found = _enough(found, F.when(sure, F.col("rows")).otherwise(0), negatives)
     within = F.least("farthest", F.coalesce("enough", F.lit(float("inf"))))
-    lo = F.greatest(F.col("gap") - F.col("reach") - within, F.col("nearest") - F.col("gap") - F.col("reach")) - F.col("slack")
-    routes = found.select(*GROUP, "cell", "theirs", "rows", "low", "high", lo.alias("lo"), (F.col("gap") + F.col("reach") + within + F.col("slack")).alias("hi"))
-    routes = routes.where("low <= hi and high >= lo").groupBy(*GROUP, "cell", F.col("theirs").alias("label")).agg(F.max("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    lo = F.greatest(F.col("gap") - F.col("reach") - within, F.col("nearest") - F.col("gap") - F.col("reach"))
+    routes = routed(found, lo, F.col("gap") + F.col("reach") + within)
     hard = _met(asking.select(*GROUP, "key", "label", "v", "positives"), rows, routes, _negatives(negatives, low, high), f"anchor bigint, place int, vec_id {kind}, score bigint")
     best = Window.partitionBy("anchor", "place").orderBy(F.desc("score"), "vec_id")
     hard = hard.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= negatives)

@@ -152,14 +152,14 @@ def test_bounds_send_less_than_all(spark, monkeypatch):
     met = hard_negatives._met
 
     def seen(anchors, rows, routes, *more):
-        sent.append((routes.agg(F.sum("rows")).first()[0] or 0, anchors.select("n", "home", "part").distinct().count() * rows.count()))
+        sent.append((routes.agg(F.sum("rows")).first()[0] or 0, anchors.select("n", "team").distinct().count() * rows.count()))
         return met(anchors, rows, routes, *more)
 
     monkeypatch.setattr(hard_negatives, "_met", seen)
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(8, 4)) * 40
     rows = [(i, i % 8, [float(v) for v in (centres[i % 8] + rng.normal(size=4) * 0.1)], "k", 1, 2) for i in range(400)]
-    assert mined(spark.createDataFrame(rows, VECTORS), cell_rows=10) == brute_negatives(rows)
+    assert mined(spark.createDataFrame(rows, VECTORS), cell_rows=10, group_rows=8) == brute_negatives(rows)
     assert sent[0][0] < 0.5 * sent[0][1]
 
 
