@@ -94,4 +94,4 @@ def tag_pairs(text: Column) -> Column:
 
 def has_repetition_loop(text: Column) -> Column:
     """A phrase four times or more in a row."""
-    return F.regexp_like(text, F.lit(r"(?i)\b(\w[\w ]{3,30}?)\b(?:\s+\1\b){3,}"))
+    return F.regexp_like(text, F.lit(r"(?iU)\b(\w[\w ]{3,30}?)\b(?:\s+\1\b){3}"))

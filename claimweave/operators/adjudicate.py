@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, share_of
+from ..shared import maybe_broadcast
+from .needles import holding
 
 STAGES = ("non_payable", "sub_limits", "room_rent_cap", "deductible", "co_pay")
 ICU_WARDS = ("icu", "iccu", "nicu", "picu")
@@ -96,21 +98,25 @@ def match_rule(description: Column, category: Column, rules: list[Rule], pick=la
     for r in reversed([r for r in rules if r.category_hint]):
         hinted = F.when(category == r.category_hint, pick(r)).otherwise(hinted)
     out = F.when(text == "", hinted)
-    # One test of all needles first: most lines match none, and skip the chain.
     for needle, i in reversed(needles):
         out = F.when(F.contains(text, F.lit(needle)), pick(rules[i])).otherwise(out)
     return out
 
 
-def match_rule_joined(lines: DataFrame, needles: DataFrame) -> DataFrame:
-    """The same by a join, for rule tables too large to compile: ``needles`` is (ord, rule_id, needle).
+def match_rule_joined(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same by a join, for rule tables too large to compile: ``rules`` is (ord, rule_id, needle).
 
-    doc_id, line_index and rule_id of lines that match.
+    doc_id, line_index and rule_id of lines that match. Distinct descriptions meet needles by their rarest q-gram,
+    and lines meet their description's rule; an empty needle is in every line that has no other.
     """
-    text = F.lower(F.coalesce("description", F.lit("")))
-    hits = lines.join(F.broadcast(needles) if needles.count() < 10_000 else needles, F.contains(text, F.lower("needle")))
+    held = holding(lines, rules, "description")
+    of = rules.withColumn("needle", F.lower("needle"))
     best = F.max_by("rule_id", F.struct(F.char_length("needle"), -F.col("ord")))
-    return hits.groupBy("doc_id", "line_index").agg(best.alias("rule_id"))
+    told = held.join(of, "needle").groupBy("text").agg(best.alias("rule_id"))
+    every = of.where("needle = ''").agg(F.min_by("rule_id", "ord")).first()[0]
+    said = lines.select("doc_id", "line_index", F.lower(F.coalesce("description", F.lit(""))).alias("text"))
+    out = said.join(maybe_broadcast(told), "text", "left").select("doc_id", "line_index", F.coalesce("rule_id", F.lit(every)).alias("rule_id"))
+    return out.where("rule_id is not null")
 
 
 def _first(choices: list[tuple[Column, object]], otherwise: Column) -> Column:

@@ -41,9 +41,8 @@ def normalized(path: Column, value: Column, paths: tuple[str, ...] = FIELD_PATHS
     return F.coalesce(*(F.when(path == p, NORMALIZERS[p](value).cast("string")) for p in paths))
 
 
-def field_pairs(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataFrame:
-    """(doc_id, path, pred, truth, npred, ntruth) for pairs (doc_id, pred, truth) of raw documents, as text; only
-    ``paths`` are read and normalised."""
+def field_array(paths: tuple[str, ...] = FIELD_PATHS) -> Column:
+    """array of (path, pred, truth, npred, ntruth), as text, of the columns pred and truth of a pair of raw documents."""
 
     def row(path: str) -> Column:
         block, name = path.split(".")
@@ -51,4 +50,9 @@ def field_pairs(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataF
         typed = lambda side: NORMALIZERS[path](of(side)).cast("string")
         return F.struct(F.lit(path).alias("path"), of("pred").alias("pred"), of("truth").alias("truth"), typed("pred").alias("npred"), typed("truth").alias("ntruth"))
 
-    return pairs.select("doc_id", F.inline(F.array(*map(row, paths))))
+    return F.array(*map(row, paths))
+
+
+def field_pairs(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataFrame:
+    """(doc_id, path, pred, truth, npred, ntruth) for pairs (doc_id, pred, truth) of raw documents; only ``paths`` are read and normalised."""
+    return pairs.select("doc_id", F.inline(field_array(paths)))

@@ -3,7 +3,7 @@
 Field scores are aggregates over rows of fields. What needs a pairing of line items or an edit
 distance of trees is one Arrow function over whole documents; all that follows from it is
 aggregated by Spark. Medians and percentiles are exact: ranks are found by narrowing
-histograms, so no task sorts all values.
+histograms (``ranks``), so no task sorts all values.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import best_row_pairs, tree, tree_accuracy
 from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS
-from .documents import normalize_document, normalized
+from ..shared import kept
+from .documents import field_array, normalize_document, normalized
+from .ranks import group_medians
 
 MATCH_FLOOR = 0.60
 MATERIAL = "100"
 THRESHOLDS = tuple(i / 20 for i in range(21))
-BINS = 4096
 
 
 def cer(predicted: Column, truth: Column) -> Column:
@@ -131,53 +132,69 @@ def deduction_total(document: Column) -> Column:
     return F.aggregate(out, zero, lambda s, i: (s + i["amount"]).cast("decimal(28,2)"))
 
 
-def nth_values(values: DataFrame, column: str, ranks: list[int]) -> list[int | None]:
-    """The values at the given ranks (from 1) of a column of whole numbers, nulls apart: each round counts
-    one range in at most ``BINS`` bins and goes on with the bin that holds the rank."""
-    span = values.agg(F.min(column), F.max(column), F.count(column)).first()
-    out: list[int | None] = []
-    for rank in ranks:
-        low, high, left = span[0], span[1], rank
-        if low is None or not 1 <= rank <= span[2]:
-            out.append(None)
-            continue
-        while low < high:
-            width = -(-(high - low + 1) // BINS)
-            within = values.where(F.col(column).between(low, high))
-            bins = within.groupBy(F.call_function("div", F.col(column) - F.lit(low), F.lit(width)).alias("bin")).count().orderBy("bin").collect()
-            for b in bins:
-                if left <= b["count"]:
-                    low, high = low + b["bin"] * width, min(high, low + (b["bin"] + 1) * width - 1)
-                    break
-                left -= b["count"]
-        out.append(low)
-    return out
-
-
-def median_and_percentile(values: DataFrame, column: str, q: float = 0.95) -> tuple[float, int, int]:
-    """Mean of the middle two, nearest-rank percentile and count, of whole numbers; zeros when there are none."""
-    n = values.where(F.col(column).isNotNull()).count()
-    if not n:
-        return 0.0, 0, 0
-    rank = max(1, -int(-q * n // 1))
-    low, high, top = nth_values(values, column, [(n + 1) // 2, n // 2 + 1, rank])
-    return (low + high) / 2, top, n
+def cents(amount: Column) -> Column:
+    return F.round(amount * 100, 0).cast("bigint")
+
+
+def business_errors(pairs: DataFrame) -> DataFrame:
+    """(doc_id, true_payable, pred_payable, pred_deducted, true_deducted) of pairs of raw documents, in hundredths."""
+    typed = pairs.select("doc_id", normalize_document(F.col("pred")).alias("p"), normalize_document(F.col("truth")).alias("t"))
+    return typed.select(
+        "doc_id", cents(net_payable(F.col("t"))).alias("true_payable"), cents(net_payable(F.col("p"))).alias("pred_payable"),
+        cents(deduction_total(F.col("p"))).alias("pred_deducted"), cents(deduction_total(F.col("t"))).alias("true_deducted"),
+    )
+
+
+def _gap() -> Column:
+    return F.when(F.col("true_payable").isNotNull(), F.abs(F.coalesce("pred_payable", F.lit(0)) - F.col("true_payable")))
 
 
 def score_business(errors: DataFrame, material: str = MATERIAL) -> DataFrame:
     """One row over (true_payable, pred_payable, pred_deducted, true_deducted), in hundredths: n, n_scored, median, p95 and
     mean error, shares over the material error and of exact deductions, and the error of 1,000 claims."""
-    gap = F.when(F.col("true_payable").isNotNull(), F.abs(F.coalesce("pred_payable", F.lit(0)) - F.col("true_payable")))
-    # Ranks take several rounds over five numbers a document, which are kept for them.
-    rows = errors.select("true_payable", "pred_payable", "pred_deducted", "true_deducted", gap.alias("error")).persist()
-    middle, top, _ = median_and_percentile(rows, "error")
+    # Ranks take several rounds over five numbers a document, which are written for them.
+    rows = kept(errors.select("true_payable", "pred_payable", "pred_deducted", "true_deducted", _gap().alias("error")), "errors")
+    middle = group_medians(rows, (), "error").select(F.col("median").alias("median_error"), F.col("percentile").alias("p95_error"))
     scored = F.col("error").isNotNull()
     share = lambda test: F.coalesce(F.try_divide(F.count_if(scored & test).cast("double"), F.count_if(scored).cast("double")), F.lit(0.0))
     mean = F.coalesce(F.avg("error"), F.lit(0.0))
-    return rows.agg(
-        F.count("*").alias("n"), F.count_if(scored).alias("n_scored"), F.lit(float(middle)).alias("median_error"), F.lit(int(top)).cast("bigint").alias("p95_error"), mean.alias("mean_error"),
+    whole = rows.agg(
+        F.count("*").alias("n"), F.count_if(scored).alias("n_scored"), mean.alias("mean_error"),
         share(F.col("error") > int(material) * 100).alias("over_material"), share(F.col("pred_deducted") == F.col("true_deducted")).alias("deduction_exact"), (mean * 1000).alias("per_1000_claims"),
     )
+    out = whole.join(F.broadcast(middle), F.lit(True), "left")  # two single rows
+    return out.select("n", "n_scored", F.coalesce("median_error", F.lit(0.0)).alias("median_error"), F.coalesce("p95_error", F.lit(0)).alias("p95_error"), "mean_error", "over_material", "deduction_exact", "per_1000_claims")
+
+
+#: Keys of slices that come before others.
+PREFERRED = ("source", "template", "pages", "scan_quality", "language")
+
+
+def document_measures(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS, trees: bool = True) -> DataFrame:
+    """One row of numbers a document of (doc_id, pred, truth, meta): the shares of fields that are exact as printed and when normalised,
+    line items (n_true, n_pred, n_matched), the error in hundredths, and with ``trees`` strict and ted; meta stays."""
+    same = lambda test: F.size(F.filter("fields", test)) / F.lit(float(len(paths)))
+    fields = pairs.select("doc_id", "meta", field_array(paths).alias("fields")).select(
+        "doc_id", "meta", same(lambda f: F.coalesce(f["pred"], F.lit("")) == F.coalesce(f["truth"], F.lit(""))).alias("exact"), same(lambda f: f["npred"].eqNullSafe(f["ntruth"])).alias("normalized"),
+    )
+    sides = item_descriptions(pairs)
+    items = sides.select("doc_id", F.size("t").alias("n_true"), F.size("p").alias("n_pred"))
+    matched = matched_items(sides).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
+    out = fields.join(items, "doc_id").join(matched, "doc_id", "left").fillna(0, ["n_matched"]).join(business_errors(pairs).select("doc_id", _gap().alias("error")), "doc_id")
+    return out.join(document_scores(pairs).select("doc_id", "strict", "ted"), "doc_id") if trees else out
+
+
+def slice_summaries(measures: DataFrame, smallest: int = 5) -> DataFrame:
+    """A row for each (key, value) of ``meta`` over ``document_measures``: n, macro averages of fields, the F1 of line items,
+    means of strict and ted where they are measured, the median error, whether few documents stand behind it, and the place of the key."""
+    rows = kept(measures.select("*", F.explode("meta").alias("key", "value")).drop("meta", "doc_id"), "slices")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    extra = [F.avg(F.col(c).cast("double")).alias(c) for c in ("strict", "ted") if c in measures.columns]
+    n_true, n_pred, n_matched = (F.sum(c) for c in ("n_true", "n_pred", "n_matched"))
+    out = rows.groupBy("key", "value").agg(F.count("*").alias("n"), F.avg("exact").alias("exact_macro"), F.avg("normalized").alias("normalized_macro"), ratio(2 * n_matched, n_true + n_pred).alias("line_f1"), *extra)
+    medians = group_medians(rows, ("key", "value"), "error").select("key", "value", F.col("median").alias("median_error"))
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PREFERRED)), F.col("key")), F.lit(0)), F.lit(len(PREFERRED) + 1))
+    return out.join(medians, ["key", "value"]).withColumn("underpowered", F.col("n") < smallest).withColumn("place", order.cast("int"))
 
 
 def ensemble_confidence(values: DataFrame, paths: tuple[str, ...] = FIELD_PATHS) -> DataFrame:

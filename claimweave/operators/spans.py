@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS
+from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS, RAW_SCHEMA
 
 MIN_CONFIDENCE, ROW_TOLERANCE, BAND = 0.3, 0.6, 12.0
 LABELS = ("O", *(f"{p}-{name}" for name in (*FIELD_PATHS, *(f"line_items.{f}" for f in LINE_ITEM_FIELDS)) for p in "BI"))
@@ -70,9 +70,9 @@ def decode_spans(tokens: DataFrame, page_col: str = "page_id") -> DataFrame:
     """(page, path, start, text, x0, y0, x1, y1) of runs of labels in (page, idx, label, text, x0, y0, x1, y1); an I- label
     that follows nothing of its kind begins a run."""
     order = Window.partitionBy(page_col).orderBy("idx")
-    path, begins = F.substring("label", 3, 200), F.startswith("label", F.lit("B-"))
+    path, begins = F.expr("substring(label, 3)"), F.startswith("label", F.lit("B-"))
     before = F.lag("label", 1, "O").over(order)
-    fresh = (F.col("label") != "O") & (begins | (F.substring(before, 3, 200) != path))
+    fresh = (F.col("label") != "O") & (begins | (F.substr(before, F.lit(3)) != path))
     runs = tokens.withColumn("run", F.sum((fresh | (F.col("label") == "O")).cast("int")).over(order)).where("label <> 'O'")
     words = F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda t: t["text"])
     found = runs.groupBy(page_col, "run").agg(
@@ -87,7 +87,7 @@ def rows_by_band(spans: DataFrame, page_col: str = "page_id", tolerance: float =
     tolerance under its first one, or names an attribute that the row has."""
     kind = spans.schema[page_col].dataType.simpleString()
     items = spans.where(F.startswith("path", F.lit("line_items.")))
-    pages = items.groupBy(page_col).agg(F.sort_array(F.collect_list(F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), "x0", F.substring("path", 12, 100).alias("attribute"), "text"))).alias("spans"))
+    pages = items.groupBy(page_col).agg(F.sort_array(F.collect_list(F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), "x0", F.expr("substring(path, 12)").alias("attribute"), "text"))).alias("spans"))
 
     def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -110,15 +110,14 @@ def header_values(spans: DataFrame, page_col: str = "page_id") -> DataFrame:
     return head.groupBy(page_col, "path").agg(F.min_by("text", "start").alias("text"))
 
 
-def bio_labels(tokens: list[str], fields: dict[str, str | None]) -> list[str]:
-    """Labels of one page's tokens: values, longest first, claim the first free run of tokens that spells them."""
-    bare = [t.strip(".,:;()").casefold() for t in tokens]
-    out = ["O"] * len(tokens)
-    for path, value in sorted(((p, v) for p, v in fields.items() if v), key=lambda x: -len(x[1])):
-        want = [w.strip(".,:;()").casefold() for w in value.split()]
-        n = len(want)
-        for at in range(len(tokens) - n + 1) if n else ():
-            if bare[at : at + n] == want and all(x == "O" for x in out[at : at + n]):
-                out[at : at + n] = [f"B-{path}", *[f"I-{path}"] * (n - 1)]
-                break
-    return out
+def documents_of(spans: DataFrame, page_col: str = "page_id", tolerance: float = BAND) -> DataFrame:
+    """(page, document): raw documents out of decoded spans: of each header field the first span, and line items by bands."""
+    item = RAW_SCHEMA["line_items"].dataType
+    head = header_values(spans, page_col).groupBy(page_col).agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("head"))
+    rows = rows_by_band(spans, page_col, tolerance).groupBy(page_col, "row").agg(F.map_from_entries(F.collect_list(F.struct("attribute", "text"))).alias("cells"))
+    made = F.struct(*(F.try_element_at("cells", F.lit(f)).alias(f) for f in item.elementType.fieldNames()))
+    items = rows.groupBy(page_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("row", made.alias("item")))), lambda r: r["item"]).cast(item).alias("items"))
+    value = lambda b, n: F.try_element_at("head", F.lit(f"{b}.{n}")).alias(n)
+    block = lambda b: F.struct(*(value(b, n) for n in RAW_SCHEMA[b].dataType.fieldNames()))
+    every = [(F.coalesce("items", F.array().cast(item)) if f.name == "line_items" else block(f.name)).alias(f.name) for f in RAW_SCHEMA]
+    return head.join(items, page_col, "full").select(page_col, F.struct(*every).alias("document"))

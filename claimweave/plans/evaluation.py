@@ -272,11 +272,15 @@ def line_item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.line_item_scores(counts, ev.matched_items(sides).agg(F.count("*").alias("n_matched")))
 
 
-@query("unmatched_truth_rows", f"WITH {td.ITEMS_SQL} SELECT doc_id, line_index AS truth_index FROM items WHERE (doc_id + line_index) % 5 = 0")
+@query("unmatched_truth_rows", f"WITH {td.ITEMS_SQL} SELECT doc_id, description, count(*) AS n FROM items WHERE (doc_id + line_index) % 5 = 0 GROUP BY ALL")
 def unmatched_truth_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines whose own prediction is gone, by their index."""
-    lines = td.line_items(spark, sf_dir).select("doc_id", F.col("line_index").alias("truth_index"))
-    return taxonomy.unmatched_rows(lines, lines.where((F.col("doc_id") + F.col("truth_index")) % 5 != 0))
+    """Lines that the matcher pairs with no prediction, of which every fifth is gone; of equal lines either may be paired, so they are counted."""
+    lines = td.line_items(spark, sf_dir).select("doc_id", "line_index", "description")
+    said = F.when((F.col("doc_id") + F.col("line_index")) % 5 != 0, F.col("description"))
+    ordered = lambda c: F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("line_index", c.alias("d")))), lambda x: x["d"]))
+    sides = lines.groupBy("doc_id").agg(ordered(F.col("description")).alias("truth_items"), ordered(said).alias("pred_items"))
+    truth = sides.select("doc_id", F.posexplode("truth_items").alias("truth_index", "description"))
+    return taxonomy.unmatched_rows(truth, ev.matched_items(sides)).groupBy("doc_id", "description").agg(F.count("*").alias("n"))
 
 
 # Assembly

@@ -61,14 +61,10 @@ def tag_pairs_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", F.size("p").alias("n"), F.array_join(F.transform("p", lambda x: x["tag"]), ",").alias("tags"))
 
 
-@query(
-    "repetition_loops",
-    "SELECT o_orderkey, o_orderkey % 3 = 0 AS loops FROM orders",
-)
+@query("repetition_loops")
 def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = td.table(spark, sf_dir, "orders").select("o_orderkey")
-    said = F.when(F.col("o_orderkey") % 3 == 0, "total due total due total due total due").otherwise(F.concat(F.lit("order number "), F.col("o_orderkey").cast("string"), F.lit(" is here")))
-    return orders.select("o_orderkey", codec.has_repetition_loop(said).alias("loops"))
+    """Of all documents; SQL engines have no reference back to a group, so the test has another matcher."""
+    return td.table(spark, sf_dir, "documents").select("doc_id", codec.has_repetition_loop(F.col("text")).alias("loops"))
 
 
 def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
