@@ -24,14 +24,19 @@ LINE_ITEM_NORMALIZERS = {
 }
 
 
+def _unless_null(normalizer, value: Column) -> Column:
+    """Most fields of a bill are null, and stay so without going through the tests of their normaliser."""
+    return F.when(value.isNotNull(), normalizer(value))
+
+
 def normalize_item(item: Column) -> Column:
     kind = TYPED_SCHEMA["line_items"].dataType.elementType
-    return F.struct(*(LINE_ITEM_NORMALIZERS[n](item[n]).cast(kind[n].dataType).alias(n) for n in LINE_ITEM_FIELDS))
+    return F.struct(*(_unless_null(LINE_ITEM_NORMALIZERS[n], item[n]).cast(kind[n].dataType).alias(n) for n in LINE_ITEM_FIELDS))
 
 
 def normalize_document(raw: Column) -> Column:
     """The typed document of a raw one; a leaf that can't be read is null."""
-    blocks = {b: F.struct(*(NORMALIZERS[f"{b}.{n}"](raw[b][n]).cast(TYPED_SCHEMA[b].dataType[n].dataType).alias(n) for n in TYPED_SCHEMA[b].dataType.fieldNames())) for b in BLOCKS}
+    blocks = {b: F.struct(*(_unless_null(NORMALIZERS[f"{b}.{n}"], raw[b][n]).cast(TYPED_SCHEMA[b].dataType[n].dataType).alias(n) for n in TYPED_SCHEMA[b].dataType.fieldNames())) for b in BLOCKS}
     items = F.transform(F.coalesce(raw["line_items"], F.array().cast(RAW_SCHEMA["line_items"].dataType)), normalize_item)
     return F.struct(*((items if n == "line_items" else blocks[n]).alias(n) for n in TYPED_SCHEMA.fieldNames()))
 
@@ -47,7 +52,7 @@ def field_array(paths: tuple[str, ...] = FIELD_PATHS) -> Column:
     def row(path: str) -> Column:
         block, name = path.split(".")
         of = lambda side: F.col(side)[block][name]
-        typed = lambda side: NORMALIZERS[path](of(side)).cast("string")
+        typed = lambda side: _unless_null(NORMALIZERS[path], of(side)).cast("string")
         return F.struct(F.lit(path).alias("path"), of("pred").alias("pred"), of("truth").alias("truth"), typed("pred").alias("npred"), typed("truth").alias("ntruth"))
 
     return F.array(*map(row, paths))

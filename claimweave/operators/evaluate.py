@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import best_row_pairs, tree, tree_accuracy
 from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS
 from ..shared import kept
-from .documents import field_array, normalize_document, normalized
+from .documents import normalize_document, normalized
 from .ranks import group_medians
 
 MATCH_FLOOR = 0.60
@@ -67,9 +67,16 @@ def matched_items(pairs: DataFrame, floor: float = MATCH_FLOOR, predicted: str =
     return pairs.select("doc_id", predicted, truth).mapInPandas(match, f"doc_id {kind}, pred_index int, truth_index int, similarity double")
 
 
+def typed_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs (doc_id, pred, truth) with their typed documents, p and t; pairs that have these stay as they are."""
+    if {"p", "t"} <= set(pairs.columns):
+        return pairs
+    return pairs.withColumns({"p": normalize_document(F.col("pred")), "t": normalize_document(F.col("truth"))})
+
+
 def item_descriptions(pairs: DataFrame) -> DataFrame:
     """doc_id and both sides' typed items and normalised descriptions, from pairs of raw documents."""
-    typed = pairs.select("doc_id", normalize_document(F.col("pred"))["line_items"].alias("p"), normalize_document(F.col("truth"))["line_items"].alias("t"))
+    typed = typed_pairs(pairs).select("doc_id", F.col("p.line_items").alias("p"), F.col("t.line_items").alias("t"))
     names = lambda c: F.transform(c, lambda i: i["description"])
     return typed.select("doc_id", "p", "t", names("p").alias("pred_items"), names("t").alias("truth_items"))
 
@@ -107,8 +114,7 @@ def document_scores(pairs: DataFrame) -> DataFrame:
     def accuracy(p: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([1.0 if a == b else tree_accuracy(tree(json.loads(a)), tree(json.loads(b))) for a, b in zip(p, t, strict=True)])
 
-    typed = pairs.select("doc_id", "pred", "truth", normalize_document(F.col("pred")).alias("p"), normalize_document(F.col("truth")).alias("t"))
-    return typed.select(
+    return typed_pairs(pairs).select(
         "doc_id", F.col("p").eqNullSafe(F.col("t")).alias("strict"),
         accuracy(F.to_json("p"), F.to_json("t")).alias("ted"), accuracy(F.to_json("pred"), F.to_json("truth")).alias("ted_raw"),
     )
@@ -138,8 +144,7 @@ def cents(amount: Column) -> Column:
 
 def business_errors(pairs: DataFrame) -> DataFrame:
     """(doc_id, true_payable, pred_payable, pred_deducted, true_deducted) of pairs of raw documents, in hundredths."""
-    typed = pairs.select("doc_id", normalize_document(F.col("pred")).alias("p"), normalize_document(F.col("truth")).alias("t"))
-    return typed.select(
+    return typed_pairs(pairs).select(
         "doc_id", cents(net_payable(F.col("t"))).alias("true_payable"), cents(net_payable(F.col("p"))).alias("pred_payable"),
         cents(deduction_total(F.col("p"))).alias("pred_deducted"), cents(deduction_total(F.col("t"))).alias("true_deducted"),
     )
@@ -173,15 +178,17 @@ PREFERRED = ("source", "template", "pages", "scan_quality", "language")
 def document_measures(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS, trees: bool = True) -> DataFrame:
     """One row of numbers a document of (doc_id, pred, truth, meta): the shares of fields that are exact as printed and when normalised,
     line items (n_true, n_pred, n_matched), the error in hundredths, and with ``trees`` strict and ted; meta stays."""
-    same = lambda test: F.size(F.filter("fields", test)) / F.lit(float(len(paths)))
-    fields = pairs.select("doc_id", "meta", field_array(paths).alias("fields")).select(
-        "doc_id", "meta", same(lambda f: F.coalesce(f["pred"], F.lit("")) == F.coalesce(f["truth"], F.lit(""))).alias("exact"), same(lambda f: f["npred"].eqNullSafe(f["ntruth"])).alias("normalized"),
-    )
-    sides = item_descriptions(pairs)
-    items = sides.select("doc_id", F.size("t").alias("n_true"), F.size("p").alias("n_pred"))
+    of = lambda side, path: F.col(side)[path.split(".")[0]][path.split(".")[1]]
+    share = lambda tests: sum((t.cast("int") for t in tests), F.lit(0)) / F.lit(float(len(paths)))
+    exact = share(F.coalesce(of("pred", p), F.lit("")) == F.coalesce(of("truth", p), F.lit("")) for p in paths)
+    same = share(of("p", p).eqNullSafe(of("t", p)) for p in paths)
+    # Documents are normalised once, for fields, line items, money and trees.
+    typed = kept(typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed").withColumns({"exact": exact, "normalized": same})
+    sides = item_descriptions(typed)
     matched = matched_items(sides).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
-    out = fields.join(items, "doc_id").join(matched, "doc_id", "left").fillna(0, ["n_matched"]).join(business_errors(pairs).select("doc_id", _gap().alias("error")), "doc_id")
-    return out.join(document_scores(pairs).select("doc_id", "strict", "ted"), "doc_id") if trees else out
+    out = typed.select("doc_id", "meta", "exact", "normalized", F.size("t.line_items").alias("n_true"), F.size("p.line_items").alias("n_pred")).join(matched, "doc_id", "left").fillna(0, ["n_matched"])
+    out = out.join(business_errors(typed).select("doc_id", _gap().alias("error")), "doc_id")
+    return out.join(document_scores(typed).select("doc_id", "strict", "ted"), "doc_id") if trees else out
 
 
 def slice_summaries(measures: DataFrame, smallest: int = 5) -> DataFrame:
