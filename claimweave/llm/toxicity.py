@@ -7,14 +7,14 @@ Aho-Corasick automaton, longest match first. An entry is a beginning of a word,
 of weight zero: as a longer match it covers the entry inside it. A text's weight and its weight for each
 thousand words go through a logistic curve to a score from 0 to 1.
 
-Lexicon, exceptions and curve are learned from a sample of at most ``most`` labelled rows (``MAX_SAMPLE``),
-the bound of all that is gathered in learning: word beginnings, and whole words that are shorter or longer
+Lexicon, exceptions and curve are learned from a sample of at most ``most`` labelled rows (``MAX_SAMPLE``): ids are chosen first, by hash, and their
+texts are written where they are read. Entries are word beginnings of ``prefix`` letters, and whole words that are shorter or longer
 than those, which are at least ``MIN_ODDS`` times as frequent among toxic rows as among others, in as few
 letters as that takes and as many as nearly all toxic uses share. Words with such a beginning that are mainly
 used in other rows become exceptions, and so do they with the word before or after them. An
-entry stands in ``MIN_DOCS`` toxic rows of the sample at least and an exception in as many others, for a share
-of fewer rows says nothing. ``max_features`` bounds what the driver holds of the sample's features: of more
-candidates, the most frequent ones are looked at.
+entry stands in ``min_docs`` toxic rows of the sample at least and an exception in as many others, for a share
+of fewer rows says nothing. Features are counted and compared in Spark; only the entries, what lengthens them, and the exceptions come to the
+driver, all of them, and an error is raised where they are more than may be broadcast, measured.
 
 Defined cases: null is the empty text; without words there is no match, so the score
 is the curve's at zero; without labelled rows of both kinds every score is 0; of labels for
@@ -36,13 +36,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, private, table, written
+from .common import fits, fold, private, table, written
 
 MAX_SAMPLE = 20_000
 MIN_ODDS = 12.0
 MIN_DOCS = 5
 PREFIX = (3, 14)
-MAX_FEATURES = 200_000
 
 #: Look-alike letters and digits that stand for letters.
 LOOK_ALIKES = {
@@ -119,9 +118,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return tuple(float(v) for v in b)
 
 
-def _beginnings(text: str | None) -> set[str]:
+def _beginnings(text: str | None, prefix: tuple[int, int] = PREFIX) -> set[str]:
     """Beginnings of words, and with a space after them whole words that are no such beginning."""
-    low, high = PREFIX
+    low, high = prefix
     words = set(folded(text).split())
     return {w[:n] for w in words for n in range(low, min(high, len(w)) + 1)} | {f"{w} " for w in words if not low <= len(w) <= high}
 
@@ -153,33 +152,48 @@ def _totals(sample: DataFrame, count, wanted_label: int | None = None) -> DataFr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int = MAX_SAMPLE) -> DataFrame:
-    """text and toxic of at most ``most`` labelled rows, chosen by hash. At most as many ids are broadcast, and of their
-    rows, which may be more, as many are taken."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    place = F.xxhash64("_id", "text")
-    return written(rows.select("_id", "text", "toxic").orderBy(place, "_id", "text").limit(most), "toxicity-sample")
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_SAMPLE, max_features: int = MAX_FEATURES) -> Lexicon:
+    """text and toxic of at most ``most`` labelled rows, chosen by hash. No task gathers texts: ids are chosen before any is
+    read, and where rows share ids, so that they are more, places of rows are."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = written(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "toxicity-ids")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen) if fits(chosen) else chosen, "_id")
+    found = written(rows.select("_id", "text", "toxic", F.monotonically_increasing_id().alias("place")), "toxicity-sample")
+    if found.count() > most:
+        kept = written(found.select("place").orderBy(F.xxhash64("place")).limit(most), "toxicity-places")
+        found = found.join(F.broadcast(kept), "place")
+    return found.drop("place")
+
+
+def _on_driver(rows: DataFrame, what: str) -> list:
+    """All rows of a table that a lexicon is made of."""
+    if not fits(rows):
+        raise ValueError(f"more {what} than may be broadcast")
+    return rows.collect()
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_SAMPLE, min_docs: int = MIN_DOCS, prefix: tuple[int, int] = PREFIX) -> Lexicon:
     """A lexicon from the rows of ``docs`` that ``labels`` (id, toxic) covers."""
     sample = labelled_sample(docs, labels, id_col, text_col, most)
+    sample = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # few large files would be few tasks
     lexical = sample.where(F.pmod(F.xxhash64(F.lit("lexicon"), "_id"), F.lit(4)) != 0)
     n = {bool(t): c for t, c in lexical.groupBy(F.col("toxic") == 1).count().collect()}
     if not n.get(True) or not n.get(False):
         return Lexicon()
     toxic_rows, clean_rows = n[True], n[False]
-    seen = _totals(lexical, _beginnings, wanted_label=1).where(F.col("toxic") >= MIN_DOCS).orderBy(F.desc("toxic"), "feature").limit(max_features)
-    candidates = {r["feature"]: r["toxic"] for r in seen.collect()}
-    of = lambda text: _beginnings(text) & candidates.keys()
-    clean = {r["feature"]: r["clean"] for r in _totals(lexical, of, wanted_label=0).collect()}
-    odds = {f: ((t + 0.5) / (toxic_rows + 1)) / ((clean.get(f, 0) + 0.5) / (clean_rows + 1)) for f, t in candidates.items()}
-    first = Lexicon(_entries(candidates, odds))
+    beginnings = lambda text: _beginnings(text, prefix)
+    seen = written(_totals(lexical, beginnings, wanted_label=1).where(F.col("toxic") >= min_docs).select("feature", "toxic"), "toxicity-seen")
+    count = beginnings
+    if fits(seen):  # then other rows needn't count what no entry can be; the counts that are asked for are the same
+        known = {r["feature"] for r in seen.collect()}
+        count = lambda text: beginnings(text) & known
+    clean = _totals(lexical, count, wanted_label=0).select("feature", "clean")
+    odds = ((F.col("toxic") + 0.5) / (toxic_rows + 1)) / ((F.col("clean") + 0.5) / (clean_rows + 1))
+    rated = written(seen.join(clean, "feature", "left").fillna(0, ["clean"]).withColumn("odds", odds), "toxicity-features")
+    first = Lexicon(_entries(rated, prefix[0]))
     matched = _totals(lexical, _matched_phrases(first.weights))
     ratio = clean_rows / toxic_rows
-    harmless = matched.where((F.col("clean") >= MIN_DOCS) & (F.col("clean") > F.col("toxic") * ratio))
-    first.exceptions = [r["feature"] for r in harmless.orderBy(F.desc("clean"), "feature").limit(max_features).collect()]
+    harmless = written(matched.where((F.col("clean") >= min_docs) & (F.col("clean") > F.col("toxic") * ratio)), "toxicity-exceptions")
+    first.exceptions = sorted(r["feature"] for r in _on_driver(harmless.select("feature"), "exceptions"))
     weigh = first.matcher
 
     def weights(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,20 +207,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return first
 
 
-def _entries(docs: dict[str, int], odds: dict[str, float]) -> dict[str, float]:
-    """Shortest beginnings that are telling, lengthened while nearly all toxic uses share a letter more."""
+def _entries(rated: DataFrame, shortest: int) -> dict[str, float]:
+    """Shortest beginnings that are telling, lengthened while nearly all toxic uses share a letter more, and telling whole words."""
+    whole = F.endswith("feature", F.lit(" "))
+    telling = rated.where(F.col("odds") >= MIN_ODDS)
+    begin = telling.where(~whole)
+    starts = lambda of, last: F.transform(F.sequence(F.lit(shortest), last), lambda i: F.substring(of, F.lit(1), i))
+    size = F.char_length("feature")
+    above = begin.where(size > shortest).select("feature", F.explode(starts(F.col("feature"), size - 1)).alias("start"))
+    roots = written(begin.join(above.join(begin.select(F.col("feature").alias("start")), "start").select("feature").distinct(), "feature", "left_anti").select(F.col("feature").alias("root"), "toxic"), "toxicity-roots")
+    under = rated.where(~whole).select("feature", "toxic", "odds", F.explode(starts(F.col("feature"), size)).alias("root"))
+    # A letter more keeps nine tenths of the uses, so what lengthens a root by n letters has 0.9^n of them at least.
+    under = under.join(roots.withColumnRenamed("toxic", "uses"), "root").where(F.col("toxic") >= 0.999 * F.col("uses") * F.pow(F.lit(0.9), F.char_length("feature") - F.char_length("root")))
+    rows = _on_driver(written(under.select("root", "feature", "toxic", "odds").unionByName(telling.where(whole).select(F.col("feature").alias("root"), "feature", "toxic", "odds")), "toxicity-entries"), "entries")
+    docs, odds = {r["feature"]: r["toxic"] for r in rows}, {r["feature"]: r["odds"] for r in rows}
     children: dict[str, list[str]] = {}
     for f in docs:
         if not f.endswith(" "):
             children.setdefault(f[:-1], []).append(f)
-    out: dict[str, float] = {f: math.log(odds[f]) for f in docs if f.endswith(" ") and odds[f] >= MIN_ODDS}
-    todo = sorted(f for f in docs if len(f) == PREFIX[0] and not f.endswith(" "))
-    while todo:
-        f = todo.pop()
-        if odds[f] < MIN_ODDS:
-            todo += children.get(f, [])
-            continue
-        while (longer := max(children.get(f, []), key=lambda c: (docs[c], c), default=None)) and docs[longer] >= 0.9 * docs[f]:
+    out = {}
+    for f in sorted({r["root"] for r in rows}):
+        while not f.endswith(" ") and (longer := max(children.get(f, []), key=lambda c: (docs[c], c), default=None)) and docs[longer] >= 0.9 * docs[f]:
             f = longer
         out[f] = math.log(odds[f])
     return out
