@@ -9,7 +9,7 @@ cost is that of the words compared, and no page is copied for a candidate. Only
 which goes through a page's candidates once. Pages are the only groups that meet in one task.
 
 Defined cases: a null or blank value, or one on a page without tokens, claims nothing; null texts are empty words; of equal
-(page, path) rows each value claims a place of its own; pages with a null key have no labels; columns besides are kept for tokens.
+(page, path) rows each value claims a place of its own; pages with a null key have no labels; columns besides are kept for tokens, whatever their names but ``label``.
 """
 
 from __future__ import annotations
@@ -38,9 +38,10 @@ def _place(path: Column) -> Column:
 
 
 def placed(words: DataFrame, page_col: str = "page_id") -> DataFrame:
-    """The tokens with ``pos``, their place on the page from 0, and ``bare``."""
+    """(page, pos, bare, row): each token's place on its page from 0, how it is compared, and all its columns."""
     by = Window.partitionBy(page_col).orderBy("idx")
-    return words.where(f"`{page_col}` is not null").withColumns({"pos": F.row_number().over(by) - 1, "bare": bare(F.col("text"))})
+    row = F.struct(*(F.col(f"`{c}`") for c in words.columns)).alias("row")
+    return words.where(f"`{page_col}` is not null").select(page_col, (F.row_number().over(by) - 1).alias("pos"), bare(F.col("text")).alias("bare"), row)
 
 
 def candidates(spelled: DataFrame, values: DataFrame, page_col: str = "page_id") -> DataFrame:
@@ -104,7 +105,7 @@ def label_tokens(words: DataFrame, values: DataFrame, page_col: str = "page_id")
     marks = runs.select(page_col, "pos", F.concat(F.when(F.col("i") == 0, "B-").otherwise("I-"), "path").alias("label"))
     labelled = spelled.join(marks, [page_col, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
     nowhere = words.where(f"`{page_col}` is null").withColumn("label", F.lit("O"))
-    return labelled.select(*words.columns, "label").unionByName(nowhere)
+    return labelled.select("row.*", "label").unionByName(nowhere)
 
 
 def values_of(records: DataFrame, page_col: str = "page_id", record_col: str = "truth") -> DataFrame:

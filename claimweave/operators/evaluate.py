@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import best_row_pairs, tree, tree_accuracy
-from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS
+from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS, RAW_SCHEMA, long_fields
 from ..shared import kept
 from .documents import normalize_document, normalized
 from .ranks import group_medians
@@ -32,6 +32,14 @@ def cer(predicted: Column, truth: Column) -> Column:
     return F.when(t == "", F.when(p == "", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(p, t) / F.char_length(t)))
 
 
+def pairs_of(predictions: DataFrame, truths: DataFrame, document: str = "document") -> DataFrame:
+    """(doc_id, pred, truth, meta): every true document of ``truths`` (doc_id, truth, meta) with its prediction of ``predictions``
+    (doc_id, document); without one, an empty document. Predictions of no true document are left out."""
+    blank = F.from_json(F.lit("{}"), RAW_SCHEMA)
+    said = predictions.select("doc_id", F.col(document).alias("pred"))
+    return truths.select("doc_id", "truth", "meta").join(said, "doc_id", "left").select("doc_id", F.coalesce("pred", blank).alias("pred"), "truth", "meta")
+
+
 def score_fields(fields: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
     """For each path: exact, normalized_exact, formatting_gap, cer, truth_present, pred_present, misses,
     hallucinations, correct_when_present, accuracy_when_present."""
@@ -183,7 +191,8 @@ def document_measures(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS, tr
     exact = share(F.coalesce(of("pred", p), F.lit("")) == F.coalesce(of("truth", p), F.lit("")) for p in paths)
     same = share(of("p", p).eqNullSafe(of("t", p)) for p in paths)
     # Documents are normalised once, for fields, line items, money and trees.
-    typed = kept(typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed").withColumns({"exact": exact, "normalized": same})
+    typed = pairs if {"p", "t"} <= set(pairs.columns) else kept(typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed")
+    typed = typed.withColumns({"exact": exact, "normalized": same})
     sides = item_descriptions(typed)
     matched = matched_items(sides).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
     out = typed.select("doc_id", "meta", "exact", "normalized", F.size("t.line_items").alias("n_true"), F.size("p.line_items").alias("n_pred")).join(matched, "doc_id", "left").fillna(0, ["n_matched"])
@@ -213,6 +222,22 @@ def ensemble_confidence(values: DataFrame, paths: tuple[str, ...] = FIELD_PATHS)
     return said.groupBy("doc_id", "path").agg(score.alias("score"))
 
 
+def system_values(predictions: dict[str, DataFrame], document: str = "document") -> DataFrame:
+    """(system, doc_id, path, value) of what each system read, for ``ensemble_confidence``."""
+    out = None
+    for name, df in predictions.items():
+        rows = long_fields(df.select("doc_id", F.col(document).alias("d")), "d", "doc_id").select(F.lit(name).alias("system"), "doc_id", "path", "value")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def by_system(scores: DataFrame, row: str, measures: tuple[str, ...], systems: list[str]) -> DataFrame:
+    """A row for each ``row`` with every system's own measures side by side, as <system>_<measure>; null where a system has none.
+
+    ``scores`` is (system, row, measures), one row each."""
+    return scores.groupBy(row).pivot("system", systems).agg(*(F.first(m, ignorenulls=True).alias(m) for m in measures))
+
+
 def coverage_curve(fields: DataFrame, confidences: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(threshold, coverage, accuracy, document_rate) over (doc_id, path, npred, ntruth); a field without a confidence
     has confidence 0, so only the threshold 0 answers it. A field is counted once, at the highest threshold it clears, and sums run downwards."""

@@ -11,6 +11,7 @@ from ..functions.text import let
 
 #: Kinds of error and digits that look alike.
 KINDS = ("formatting_only", "missed_field", "hallucinated_field", "wrong_field", "date_unparsed", "magnitude_error", "digit_confusion", "value_confusion")
+LINE_PATH = "line_items[]"
 LOOK_ALIKE = ("56", "65", "17", "71", "08", "80", "38", "83", "94", "49")
 
 
@@ -53,6 +54,17 @@ def unmatched_rows(truth_items: DataFrame, matches: DataFrame) -> DataFrame:
     return truth_items.join(matches, ["doc_id", "truth_index"], "left_anti")
 
 
+def missed_rows(truth_items: DataFrame, matches: DataFrame) -> DataFrame:
+    """(doc_id, path, truth, pred, kind) of the true line items of (doc_id, truth_index, description) that no prediction was paired with."""
+    gone = unmatched_rows(truth_items, matches.select("doc_id", "truth_index"))
+    return gone.select("doc_id", F.lit(LINE_PATH).alias("path"), F.col("description").alias("truth"), F.lit(None).cast("string").alias("pred"), F.lit("missed_field").alias("kind"))
+
+
+def all_cases(fields: DataFrame, truth_items: DataFrame, matches: DataFrame) -> DataFrame:
+    """Errors of fields and line items that were never produced, in one frame."""
+    return error_cases(fields).select("doc_id", "path", "truth", "pred", "kind").unionByName(missed_rows(truth_items, matches))
+
+
 def summarise(cases: DataFrame, meta: str | None = None, most_values: int = 30) -> DataFrame:
     """(dimension, value, n): by kind, by path, and by each key of a map column that has 2 to ``most_values`` values
     and isn't a document's own name."""

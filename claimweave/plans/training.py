@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import distant, needles, ranks
 from ..operators import evaluate as ev
+from ..operators.documents import normalized
 from ..schema import RAW_SCHEMA
 from ..sources import testdata as td
-from .evaluation import FIELDS_SQL, K, _orders, _raw
+from .evaluation import FIELDS_SQL, GROSS, K, _orders, _raw, _system_values
 from .registry import query
 
 WORDS_SQL = r"""
@@ -102,3 +103,21 @@ def slice_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ev.slice_summaries(ev.document_measures(_bills(spark, sf_dir), trees=False))
     rounded = (F.round(c, 9).alias(c) for c in ("exact_macro", "normalized_macro", "line_f1"))
     return out.select("key", "value", "place", "n", *rounded, "median_error", "underpowered")
+
+
+@query(
+    "scores_by_system",
+    f"""WITH {FIELDS_SQL}, v AS (
+      SELECT s AS system, k, CASE WHEN k % d = 0 THEN NULL WHEN k % d = 1 THEN 1 ELSE 0 END AS v FROM (SELECT o_orderkey AS k FROM orders), (VALUES ('A', 7), ('B', 11), ('C', 13)) AS t(s, d)),
+    m AS (SELECT system, count_if(v = 0)::DOUBLE / count(*) AS right, count(v)::BIGINT AS given FROM v GROUP BY system)
+    SELECT 'totals.gross_amount' AS path, round(max("A_right"), 9) AS "A_right", max("A_given") AS "A_given", round(max("B_right"), 9) AS "B_right", max("B_given") AS "B_given", round(max("C_right"), 9) AS "C_right", max("C_given") AS "C_given"
+    FROM (PIVOT m ON system USING first(right) AS right, first(given) AS given)""",
+)
+def scores_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three systems' normalised accuracy side by side, each with its own support."""
+    truth = td.table(spark, sf_dir, "orders").select(F.col(K).alias("doc_id"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("truth"))
+    path = F.lit("totals.gross_amount")
+    rows = _system_values(spark, sf_dir).join(truth, "doc_id").select("system", "path", normalized(path, F.col("value"), GROSS).alias("said"), normalized(path, F.col("truth"), GROSS).alias("true"))
+    scores = rows.groupBy("system", "path").agg(F.avg(F.col("said").eqNullSafe(F.col("true")).cast("double")).alias("right"), F.count("said").alias("given"))
+    out = ev.by_system(scores, "path", ("right", "given"), ["A", "B", "C"])
+    return out.select("path", *(F.round(c, 9).alias(c) if c.endswith("right") else F.col(c) for c in out.columns[1:]))

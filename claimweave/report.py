@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .operators import evaluate as ev
 from .operators import taxonomy
-from .operators.documents import field_pairs, normalize_document
+from .operators.documents import field_pairs
+from .shared import kept
 
+CASES = 30
 PACKAGES = ("pyspark", "pyarrow", "pandas", "numpy")
 
 
@@ -77,33 +79,42 @@ def curve_plot(points: list[dict], height: int = 9) -> str:
 
 def evaluate_system(pairs: DataFrame, confidences: DataFrame | None = None) -> dict:
     """All families of scores of one system, from pairs (doc_id, pred, truth, meta), normalised once."""
-    pairs = pairs.persist()
-    fields = field_pairs(pairs).persist()
-    typed = pairs.select(normalize_document(F.col("pred")).alias("p"), normalize_document(F.col("truth")).alias("t"))
-    cents = lambda c: F.round(c * 100, 0).cast("bigint")
-    money = typed.select(
-        cents(ev.net_payable(F.col("t"))).alias("true_payable"), cents(ev.net_payable(F.col("p"))).alias("pred_payable"),
-        cents(ev.deduction_total(F.col("t"))).alias("true_deducted"), cents(ev.deduction_total(F.col("p"))).alias("pred_deducted"),
-    )
-    try:
-        documents = ev.document_scores(pairs).persist()
-        out = {
-            "fields": [r.asDict() for r in ev.score_fields(fields).orderBy("path").collect()],
-            "line_items": ev.score_line_items(pairs).first().asDict(),
-            "attributes": [r.asDict() for r in ev.attribute_scores(pairs).orderBy("attribute").collect()],
-            "documents": ev.score_documents(documents).first().asDict(),
-            "business": ev.score_business(money).first().asDict(),
-            "errors": [r.asDict() for r in taxonomy.summarise(taxonomy.error_cases(fields)).orderBy("dimension", F.desc("n"), "value").collect()],
-            "slices": [r.asDict() for r in ev.slices(documents.join(pairs.select("doc_id", "meta"), "doc_id"), "meta", [F.avg("ted").alias("ted"), F.avg(F.col("strict").cast("double")).alias("strict")]).orderBy("key", "value").collect()],
-            "coverage": [],
-        }
-        if confidences is not None:
-            out["coverage"] = [r.asDict() for r in ev.coverage_curve(fields, confidences).orderBy("threshold").collect()]
-        documents.unpersist()
-        return out
-    finally:
-        fields.unpersist()
-        pairs.unpersist()
+    typed = kept(ev.typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed")
+    fields = kept(field_pairs(typed), "fields")
+    measures = kept(ev.document_measures(typed), "measures")
+    sides = ev.item_descriptions(typed)
+    matches = kept(ev.matched_items(sides), "matches")
+    counts = measures.agg(F.coalesce(F.sum("n_true"), F.lit(0)).alias("n_true"), F.coalesce(F.sum("n_pred"), F.lit(0)).alias("n_pred"))
+    raw = typed.select("doc_id", F.posexplode(F.transform("truth.line_items", lambda i: i["description"])).alias("truth_index", "description"))
+    cases = kept(taxonomy.all_cases(fields, raw, matches), "cases").join(pairs.select("doc_id", "meta"), "doc_id")
+    mean = lambda c: F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c)
+    rows = lambda df, *order: [r.asDict() for r in df.orderBy(*order).collect()]
+    out = {
+        "fields": rows(ev.score_fields(fields), "path"),
+        "line_items": ev.line_item_scores(counts, matches.agg(F.count("*").alias("n_matched"))).first().asDict(),
+        "attributes": rows(ev.attribute_scores(typed), "attribute"),
+        "documents": measures.agg(F.count("*").alias("n"), mean("strict"), mean("ted"), mean("exact"), mean("normalized")).first().asDict(),
+        "business": ev.score_business(ev.business_errors(typed)).first().asDict(),
+        "errors": rows(taxonomy.summarise(cases, "meta"), "dimension", F.desc("n"), "value"),
+        "cases": rows(cases.orderBy("doc_id", "path", "truth").limit(CASES), "doc_id", "path", "truth"),  # a sample to read, as the report says
+        "slices": rows(ev.slice_summaries(measures), "place", "key", "value"),
+        "coverage": [],
+    }
+    if confidences is not None:
+        out["coverage"] = rows(ev.coverage_curve(fields, confidences), "threshold")
+    return out
+
+
+def side_by_side(results: dict[str, dict], family: str, row: str, measures: tuple[str, ...]) -> list[dict]:
+    """Scores of all systems as one row each, by pivot: each system keeps its own support."""
+    from pyspark.sql import SparkSession
+
+    rows = [(name, str(r[row]), *(float(r[m]) for m in measures)) for name, result in results.items() for r in result[family]]
+    if not rows:
+        return []
+    kind = ", ".join(["system string", f"{row} string", *(f"{m} double" for m in measures)])
+    scores = SparkSession.active().createDataFrame(rows, kind)
+    return [r.asDict() for r in ev.by_system(scores, row, measures, list(results)).orderBy(row).collect()]
 
 
 def build_report(results: dict[str, dict], dataset: str, metadata: dict | None = None, notes: tuple[str, ...] = ()) -> str:
@@ -111,23 +122,54 @@ def build_report(results: dict[str, dict], dataset: str, metadata: dict | None =
     meta = metadata or run_metadata()
     pct = lambda v: f"{100 * v:.1f}%"
     rupees = lambda v: f"Rs {v / 100:,.2f}"
-    paths = sorted({f["path"] for r in results.values() for f in r["fields"]})
-    of = {n: {f["path"]: f for f in r["fields"]} for n, r in results.items()}
+    share = lambda v: "-" if v is None else pct(v)
+    whole = lambda v: "-" if v is None else f"{v:.0f}"
+    names = list(results)
     parts = [f"# Evaluation of {dataset}", f"Commit {meta['git_sha']}{' (dirty)' if meta['git_dirty'] else ''}, {meta['at']}.", *notes]
-    parts += ["## Fields, correct where present", table(["field", *results], [[p, *(pct(of[n][p]["accuracy_when_present"]) if p in of[n] and of[n][p]["truth_present"] else "-" for n in results)] for p in paths])]
-    parts += ["## Line items", table(["system", "true", "predicted", "matched", "precision", "recall", "F1"], [[n, *(r["line_items"][k] for k in ("n_true", "n_pred", "n_matched")), *(pct(r["line_items"][k]) for k in ("precision", "recall", "f1"))] for n, r in results.items()])]
-    parts += ["## Attributes of matched rows", table(["system", "attribute", "support", "accuracy"], [[n, a["attribute"], a["support"], pct(a["accuracy"])] for n, r in results.items() for a in r["attributes"]])]
-    parts += ["## Documents", table(["system", "n", "strict", "tree", "tree, raw"], [[n, r["documents"]["n"], *(pct(r["documents"][k]) for k in ("strict", "ted", "ted_raw"))] for n, r in results.items()])]
+    headline = [[n, r["documents"]["n"], pct(r["documents"]["exact"]), pct(r["documents"]["normalized"]), pct(r["line_items"]["f1"]), pct(r["documents"]["ted"]), pct(r["documents"]["strict"]), rupees(r["business"]["median_error"])] for n, r in results.items()]
+    parts += ["## Headline", table(["system", "n", "fields as printed", "fields normalised", "line F1", "tree", "strict", "median Rs error"], headline)]
+    measures = ("exact", "normalized_exact", "accuracy_when_present", "truth_present")
+    fields = [[f"`{r['path']}`", *(x for n in names for x in (*(share(r[f"{n}_{m}"]) for m in measures[:3]), whole(r[f"{n}_{measures[3]}"])))] for r in side_by_side(results, "fields", "path", measures)]
+    parts += ["## Fields", table(["field", *(f"{n} {c}" for n in names for c in ("printed", "normalised", "where present", "n"))], fields)]
+    parts += ["## Line items", table(["system", "true", "predicted", "matched", "precision", "recall", "F1", "insertions", "deletions"], [[n, *(r["line_items"][k] for k in ("n_true", "n_pred", "n_matched")), *(pct(r["line_items"][k]) for k in ("precision", "recall", "f1")), r["line_items"]["insertions"], r["line_items"]["deletions"]] for n, r in results.items()])]
+    attributes = [[f"`{r['attribute']}`", *(x for n in names for x in (share(r[f"{n}_accuracy"]), whole(r[f"{n}_support"])))] for r in side_by_side(results, "attributes", "attribute", ("accuracy", "support"))]
+    parts += ["## Attributes of matched rows", "A system's n is the number of its own matched rows that have the attribute.", table(["attribute", *(f"{n}{c}" for n in names for c in ("", " n"))], attributes)]
     parts += ["## Rupees", table(["system", "scored", "median", "p95", "over the material error", "deductions exact", "for 1,000 claims"], [[n, r["business"]["n_scored"], rupees(r["business"]["median_error"]), rupees(r["business"]["p95_error"]), pct(r["business"]["over_material"]), pct(r["business"]["deduction_exact"]), rupees(r["business"]["per_1000_claims"])] for n, r in results.items()])]
     for n, r in results.items():
         if r["coverage"]:
             good = [p for p in r["coverage"] if p["coverage"] > 0 and p["accuracy"] >= 0.95]
             parts += [f"## Coverage of {n}", curve_plot(r["coverage"]), ev.deployment_sentence(max(good, key=lambda p: p["coverage"], default=None))]
-        parts += [f"## Slices of {n}", table(["key", "value", "n", "tree", "strict"], [[s["key"], s["value"], f"{s['n']}{' (few)' if s['underpowered'] else ''}", pct(s["ted"]), pct(s["strict"])] for s in r["slices"]])]
+        parts += [f"## Slices of {n}", table(["key", "value", "n", "printed", "normalised", "line F1", "tree", "strict", "median Rs error"], [[s["key"], s["value"], f"{s['n']}{' (few)' if s['underpowered'] else ''}", *(pct(s[k]) for k in ("exact_macro", "normalized_macro", "line_f1", "ted", "strict")), rupees(s["median_error"])] for s in r["slices"]])]
         parts += [f"## Errors of {n}", table(["by", "value", "n"], [[e["dimension"], e["value"], e["n"]] for e in r["errors"]])]
     return "\n\n".join(parts) + "\n"
 
 
+#: What each kind of error says, and what to do about it.
+KINDS = {
+    "formatting_only": ("the value is right, its form isn't", "normalise; nothing to train"),
+    "missed_field": ("a value that is there was not read", "look at recall: labels, layouts, reading order"),
+    "hallucinated_field": ("a value was given where there is none", "abstain below a confidence"),
+    "wrong_field": ("another field's value stands here", "look at labels that are alike or close"),
+    "date_unparsed": ("the date can't be read as one", "add its form, or look at the page's quality"),
+    "magnitude_error": ("an amount is off by about a power of ten", "check separators and decimal points"),
+    "digit_confusion": ("one or two digits were read as ones that look alike", "better images, or check digits and sums"),
+    "value_confusion": ("none of the others", "read the cases"),
+}
+
+
+def taxonomy_report(result: dict, source: str) -> str:
+    """Markdown of one system's errors: kinds, fields, slices, and the first cases with room for a person's findings."""
+    of = lambda dimension: [e for e in result["errors"] if e["dimension"] == dimension]
+    total = sum(e["n"] for e in of("kind"))
+    parts = [f"# Errors in {source}", f"{total} errors.", "## By kind", table(["kind", "n", "share", "it means", "what to do"], [[f"`{e['value']}`", e["n"], f"{100 * e['n'] / max(total, 1):.1f}%", *KINDS.get(e["value"], ("?", "?"))] for e in of("kind")])]
+    for dimension in ["path", *sorted({e["dimension"] for e in result["errors"]} - {"kind", "path"})]:
+        parts += [f"## By {dimension}", table([dimension, "n"], [[f"`{e['value']}`", e["n"]] for e in of(dimension)])]
+    parts += [f"## The first {len(result['cases'])} cases, by document"]
+    for i, c in enumerate(result["cases"], 1):
+        parts += [f"### {i}. `{c['path']}`: {c['kind']}", f"- document: `{c['doc_id']}`\n- truth: `{c['truth']}`\n- predicted: `{c['pred']}`\n- cause:\n- fix:"]
+    return "\n\n".join(parts) + "\n"
+
+
 def write_report(text: str, folder: str, metadata: dict | None = None) -> Path:
     """Named by commit, with ``-dirty`` where there are changes."""
     meta = metadata or run_metadata()

@@ -2,9 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from claimweave import evaluation_run as run
 from claimweave import report
 from claimweave.functions.gstin import is_valid_gstin
+from claimweave.operators import evaluate as ev
 from claimweave.operators import generate
+from claimweave.sources import manifest
 
 
 def test_generator(spark):
@@ -13,15 +16,36 @@ def test_generator(spark):
     assert docs.where(F.contains("text", F.lit("Gross Amount : "))).count() == 10
 
 
-def test_report(tmp_path):
-    result = {
-        "fields": [{"path": "totals.gross_amount", "accuracy_when_present": 1.0, "truth_present": 3}],
-        "line_items": {"n_true": 2, "n_pred": 2, "n_matched": 1, "precision": 0.5, "recall": 0.5, "f1": 0.5},
-        "attributes": [], "documents": {"n": 3, "strict": 0.0, "ted": 0.5, "ted_raw": 0.4},
-        "business": {"n_scored": 3, "median_error": 100.0, "p95_error": 12345, "over_material": 0.1, "deduction_exact": 1.0, "per_1000_claims": 1.0},
-        "coverage": [{"threshold": 0.5, "coverage": 0.6, "accuracy": 0.96, "document_rate": 0.1}],
-        "slices": [{"key": "layout", "value": "L1", "n": 3, "ted": 0.5, "strict": 0.0, "underpowered": True}], "errors": [{"dimension": "kind", "value": "missed_field", "n": 1}],
-    }
-    text = report.build_report({"rules": result}, "synthetic bills")
-    assert "| totals.gross_amount | 100.0% |" in text and "L1 | 3 (few)" in text and "_no data_" in text and "Rs 123.45" in text
-    assert report.write_report(text, str(tmp_path)).read_text() == text
+def test_evaluation_run(spark, tmp_path):
+    """From made-up bills to the report: both extractors, their own supports side by side, errors, the same on a second run."""
+    docs = run.generated(spark, 24, 7)
+    manifest.write_documents(docs, f"{tmp_path}/docs")
+    assert run.main(["--documents", f"{tmp_path}/docs", "--reports-dir", f"{tmp_path}/out", "--seed", "7"]) == 0
+    text = next((tmp_path / "out").glob("eval_*.md")).read_text()
+    for heading in ("Headline", "Fields", "Line items", "Attributes of matched rows", "Rupees", "Coverage of rules", "Slices of heuristic", "Errors of rules"):
+        assert f"## {heading}" in text
+    assert text.count("`totals.gross_amount`") == 1 and "| source | generated | 24 |" in text and "24 documents, sha256 " in text
+    errors = (tmp_path / "out/errors_rules.md").read_text()
+    assert "## By kind" in errors and "`missed_field`" in errors and "### 1. " in errors
+    assert run.dataset_hash(docs) == run.dataset_hash(manifest.read_documents(spark, f"{tmp_path}/docs").repartition(5))
+
+
+def test_scores_follow_predictions(spark):
+    """The truth as a prediction scores full marks; without predictions nothing is right but what is absent."""
+    docs = run.generated(spark, 12, 3)
+    truth = docs.select("doc_id", F.col("truth").alias("document"))
+    perfect = report.evaluate_system(ev.pairs_of(truth, docs))
+    assert perfect["documents"]["strict"] == perfect["documents"]["ted"] == perfect["line_items"]["f1"] == 1.0 and perfect["business"]["median_error"] == 0
+    assert perfect["cases"] == [] and all(s["exact_macro"] == 1.0 for s in perfect["slices"]) and perfect["coverage"] == []
+    nothing = report.evaluate_system(ev.pairs_of(truth.where("doc_id = 'none'"), docs))
+    rows = docs.agg(F.sum(F.size("truth.line_items"))).first()[0]
+    assert nothing["line_items"]["deletions"] == rows and nothing["documents"]["strict"] == 0
+    missed = {e["value"]: e["n"] for e in nothing["errors"] if e["dimension"] == "path"}
+    assert missed["line_items[]"] == rows and missed["patient.name"] == 12
+    both = report.side_by_side({"a": perfect, "b": nothing}, "attributes", "attribute", ("accuracy", "support"))
+    assert all(r["a_accuracy"] == 1.0 and r["b_accuracy"] is None for r in both)
+
+
+def test_write_report(tmp_path):
+    assert report.table(["a"], []) == "_no data_" and report.curve_plot([]) == "_no data_"
+    assert report.write_report("text", str(tmp_path)).read_text() == "text"
