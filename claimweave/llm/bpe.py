@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 MAX_VOCABULARY_BYTES = 64 << 20
-MEMO_ENTRIES = 110_000
+MEMO_ENTRIES = 60_000
 MEMO_LENGTH = 40
 
 

@@ -134,7 +134,7 @@ def _counted(count, wanted_label: int | None):
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 if wanted_label is None or toxic == wanted_label:
                     sums.update((f, toxic) for f in count(text))
-                if len(sums) > 500_000:
+                if len(sums) > 100_000:
                     yield _frame(sums)
                     sums.clear()
         yield _frame(sums)
