@@ -266,25 +266,45 @@ def explain(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 RELATIVES = ("-0.10", "-0.05", "-0.02", "-0.01", "0", "0.01", "0.02", "0.05", "0.10")
 
 
-def perturbed(lines: DataFrame, category: str, relatives: tuple[str, ...] = RELATIVES, rate: bool = False) -> DataFrame:
+def perturbed(lines: DataFrame, category: str | None, relatives: tuple[str, ...] = RELATIVES, rate: bool = False) -> DataFrame:
     """Each line once for each relative error, with the amounts (and rates) of a category off by it."""
     steps = F.explode(F.array(*(F.lit(r).cast("decimal(9,4)") for r in relatives)))
     many = lines.withColumn("relative", steps)
-    moved = lambda c: F.when(F.col("category") == category, F.round(F.col(c).cast("decimal(18,2)") * (1 + F.col("relative")), 2)).otherwise(F.col(c)).cast(MONEY)
+    moved = lambda c: F.when(F.col("category") == F.lit(category), F.round(F.col(c).cast("decimal(18,2)") * (1 + F.col("relative")), 2)).otherwise(F.col(c)).cast(MONEY)
     many = many.withColumn("amount", moved("amount"))
     return many.withColumn("unit_rate", moved("unit_rate")) if rate else many
 
 
-def sensitivity(lines: DataFrame, claims: DataFrame | None, category: str, rules: list[Rule], policy: Policy, rate: bool = False) -> DataFrame:
-    """doc_id, relative, payable, delta against no error, and amplification: the relative change of the
-    payable for each unit of relative error (0 without error, null where nothing is payable)."""
+def sensitivity(lines: DataFrame, claims: DataFrame | None, category: str | None, rules: list[Rule], policy: Policy, rate: bool = False, relatives: tuple[str, ...] = RELATIVES) -> DataFrame:
+    """doc_id, relative, payable, delta against no error, absolute_error, and amplification: the relative change of the
+    payable for each unit of relative error (0 without error, null where nothing is payable). Without a category it is the
+    stated gross that is off, which no payable hangs on. ``relatives`` must hold 0."""
     keys = ("doc_id", "relative")
-    many = perturbed(lines, category, rate=rate)
+    many = perturbed(lines, category, relatives, rate)
     if claims is not None:
-        claims = claims.withColumn("relative", F.explode(F.array(*(F.lit(r).cast("decimal(9,4)") for r in RELATIVES))))
+        claims = claims.withColumn("relative", F.explode(F.array(*(F.lit(r).cast("decimal(9,4)") for r in relatives))))
+        if category is None and "stated_gross" in claims.columns:
+            claims = claims.withColumn("stated_gross", F.round(F.col("stated_gross") * (1 + F.col("relative")), 2).cast(MONEY))
     found = claims_of(waterfall(many, claims, rules, policy, keys), keys)
     base = F.max(F.when(F.col("relative") == 0, F.col("payable"))).over(Window.partitionBy("doc_id"))
     out = found.select("doc_id", "relative", "payable", base.alias("base"))
     delta = F.col("payable") - F.col("base")
     grew = F.try_divide(F.abs(delta).cast("double"), (F.abs("relative") * F.col("base")).cast("double"))
-    return out.select("doc_id", "relative", "payable", delta.alias("delta"), F.when(F.col("base") == 0, None).when(F.col("relative") == 0, 0.0).otherwise(grew).alias("amplification"))
+    return out.select(
+        "doc_id", "relative", "payable", delta.alias("delta"), F.abs(delta).alias("absolute_error"),
+        F.when(F.col("base") == 0, None).when(F.col("relative") == 0, 0.0).otherwise(grew).alias("amplification"),
+    )
+
+
+#: What is off, by name: a category's amounts (and rates), or the stated gross.
+PERTURBATIONS = {"room rate": ("room_rent", True), "pharmacy amounts": ("pharmacy", False), "stated gross": (None, False)}
+
+
+def sensitivity_table(lines: DataFrame, claims: DataFrame | None, rules: list[Rule], policy: Policy, perturbations: dict[str, tuple[str | None, bool]] | None = None, relatives: tuple[str, ...] = RELATIVES) -> DataFrame:
+    """A row for each perturbation, a column for each relative error: the change of all payables together, by pivot."""
+    out = None
+    for name, (category, rate) in (perturbations or PERTURBATIONS).items():
+        one = sensitivity(lines, claims, category, rules, policy, rate, relatives).select(F.lit(name).alias("perturbation"), F.col("relative").cast("double").alias("relative"), "delta")
+        out = one if out is None else out.unionAll(one)
+    wide = out.groupBy("perturbation").pivot("relative", [float(r) for r in relatives]).agg(F.sum("delta"))
+    return wide.select("perturbation", *(F.col(f"`{float(r)}`").alias(r) for r in relatives))

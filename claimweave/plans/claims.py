@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjudicate as adj
 from ..sources import testdata as td
-from ..sources.rules import needles
+from ..sources.rules import load_rules, needles
 from .registry import query
 
 RULES_SQL = """rules AS (SELECT * FROM (VALUES (1, 'R_PLATE', 'plate'), (2, 'R_RED', 'red plate'), (3, 'R_GIZMO', 'gizmo'), (4, 'R_HOT', 'hot gizmo')) t(ord, rule_id, needle)),
@@ -154,3 +154,24 @@ def sensitivity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sensitivity_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = adj.sensitivity(td.line_items(spark, sf_dir), td.claims(spark, sf_dir), "room_rent", td.RULES, td.POLICY)
     return found.select("doc_id", (F.col("relative") * 1000).cast("int").alias("permille"), F.round("amplification", 6).alias("amplification"))
+
+
+@query(
+    "sensitivity_pivot",
+    f"""{SWEEP_SQL} SELECT 'room amounts' AS perturbation, """ + ", ".join(f'sum(payable - base) FILTER (k = {round(float(r) * 1000)})::BIGINT AS "{r}"' for r in adj.RELATIVES)
+    + " FROM w UNION ALL SELECT 'stated gross', " + ", ".join("0" for _ in adj.RELATIVES),
+)
+def sensitivity_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change of all payables, in hundredths, by what is off and how far."""
+    wide = adj.sensitivity_table(td.line_items(spark, sf_dir), td.claims(spark, sf_dir), td.RULES, td.POLICY, {"room amounts": ("room_rent", False), "stated gross": (None, False)})
+    return wide.select("perturbation", *(F.col(f"`{r}`").cast("bigint").alias(r) for r in adj.RELATIVES))
+
+
+@query("shipped_rules", f"""WITH {td.ITEMS_SQL}, n AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{r.id}', '{n.casefold()}')" for i, r in enumerate(load_rules()) for n in r.match) + """) AS t(ord, rule_id, needle)),
+    d AS (SELECT doc_id, line_index, lower(description || ' ' || category || CASE line_index % 4 WHEN 0 THEN ' admission kit' WHEN 1 THEN ' attendant food' ELSE '' END) AS said FROM items)
+    SELECT doc_id, line_index, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_index ORDER BY length(needle) DESC, ord) AS k FROM d JOIN n ON contains(said, needle)) WHERE k = 1""")
+def shipped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that come with the library, compiled, over all lines."""
+    said = F.concat("description", F.lit(" "), "category", F.when(F.col("line_index") % 4 == 0, " admission kit").when(F.col("line_index") % 4 == 1, " attendant food").otherwise(""))
+    lines = td.line_items(spark, sf_dir).select("doc_id", "line_index", adj.match_rule(said, F.col("category"), load_rules()).alias("rule_id"))
+    return lines.where("rule_id is not null")

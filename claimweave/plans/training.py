@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import distant, needles, ranks
+from ..operators import distant, lengths, needles, ranks
 from ..operators import evaluate as ev
 from ..operators.documents import normalized
 from ..schema import RAW_SCHEMA
@@ -109,15 +109,30 @@ def slice_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     "scores_by_system",
     f"""WITH {FIELDS_SQL}, v AS (
       SELECT s AS system, k, CASE WHEN k % d = 0 THEN NULL WHEN k % d = 1 THEN 1 ELSE 0 END AS v FROM (SELECT o_orderkey AS k FROM orders), (VALUES ('A', 7), ('B', 11), ('C', 13)) AS t(s, d)),
-    m AS (SELECT system, count_if(v = 0)::DOUBLE / count(*) AS right, count(v)::BIGINT AS given FROM v GROUP BY system)
-    SELECT 'totals.gross_amount' AS path, round(max("A_right"), 9) AS "A_right", max("A_given") AS "A_given", round(max("B_right"), 9) AS "B_right", max("B_given") AS "B_given", round(max("C_right"), 9) AS "C_right", max("C_given") AS "C_given"
-    FROM (PIVOT m ON system USING first(right) AS right, first(given) AS given)""",
+    m AS (SELECT system, count_if(v = 0)::DOUBLE / count(*) AS correct, count(v)::BIGINT AS given FROM v GROUP BY system)
+    SELECT 'totals.gross_amount' AS path, round(max("A_correct"), 9) AS "A_correct", max("A_given") AS "A_given", round(max("B_correct"), 9) AS "B_correct", max("B_given") AS "B_given", round(max("C_correct"), 9) AS "C_correct", max("C_given") AS "C_given"
+    FROM (PIVOT m ON system USING first(correct) AS correct, first(given) AS given)""",
 )
 def scores_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three systems' normalised accuracy side by side, each with its own support."""
     truth = td.table(spark, sf_dir, "orders").select(F.col(K).alias("doc_id"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("truth"))
     path = F.lit("totals.gross_amount")
     rows = _system_values(spark, sf_dir).join(truth, "doc_id").select("system", "path", normalized(path, F.col("value"), GROSS).alias("said"), normalized(path, F.col("truth"), GROSS).alias("true"))
-    scores = rows.groupBy("system", "path").agg(F.avg(F.col("said").eqNullSafe(F.col("true")).cast("double")).alias("right"), F.count("said").alias("given"))
-    out = ev.by_system(scores, "path", ("right", "given"), ["A", "B", "C"])
-    return out.select("path", *(F.round(c, 9).alias(c) if c.endswith("right") else F.col(c) for c in out.columns[1:]))
+    scores = rows.groupBy("system", "path").agg(F.avg(F.col("said").eqNullSafe(F.col("true")).cast("double")).alias("correct"), F.count("said").alias("given"))
+    out = ev.by_system(scores, "path", ("correct", "given"), ["A", "B", "C"])
+    return out.select("path", *(F.round(c, 9).alias(c) if c.endswith("correct") else F.col(c) for c in out.columns[1:]))
+
+
+@query(
+    "token_length_quantiles",
+    r"""SELECT lang, count(*) AS n, true AS median_within, true AS p95_within FROM documents WHERE text IS NOT NULL GROUP BY lang""",
+)
+def token_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in words, sketched by language and source and merged by language: whether the rank of what the sketch gives is as near as promised."""
+    docs = td.table(spark, sf_dir, "documents").where("text is not null").select("lang", "source", F.size(text.tokens(F.col("text"))).alias("size"))
+    told = lengths.quantiles(lengths.merged(lengths.sketches(docs, ("lang", "source"), F.col("size")), ("lang",)), {"p50": 0.5, "p95": 0.95}).withColumnRenamed("lang", "of")
+    ranked = docs.select("lang", "size").join(told, F.col("lang").eqNullSafe(F.col("of"))).groupBy("lang", "n", "p50", "p95").agg(
+        *(F.count_if(F.col("size") < F.col(q)).alias(f"under_{q}") for q in ("p50", "p95")), *(F.count_if(F.col("size") <= F.col(q)).alias(f"upto_{q}") for q in ("p50", "p95")),
+    )
+    near = lambda name, q: (F.col(f"under_{name}") <= (q + lengths.ERROR) * F.col("n") + 1) & (F.col(f"upto_{name}") >= (q - lengths.ERROR) * F.col("n") - 1)
+    return ranked.select("lang", "n", near("p50", 0.5).alias("median_within"), near("p95", 0.95).alias("p95_within"))

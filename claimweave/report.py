@@ -144,6 +144,13 @@ def build_report(results: dict[str, dict], dataset: str, metadata: dict | None =
     return "\n\n".join(parts) + "\n"
 
 
+def sensitivity_report(wide: DataFrame) -> str:
+    """Markdown of ``adjudicate.sensitivity_table`` (in hundredths): the change of the payable in rupees by what is off and how far."""
+    relatives = wide.columns[1:]
+    rows = [[r["perturbation"], *(f"{(r[c] or 0) / 100:+,.0f}" for c in relatives)] for r in wide.orderBy("perturbation").collect()]
+    return "\n\n".join([table(["perturbed", *(f"{float(c):+.0%}" for c in relatives)], rows), "_Cells are the change in net payable, in rupees._"]) + "\n"
+
+
 #: What each kind of error says, and what to do about it.
 KINDS = {
     "formatting_only": ("the value is right, its form isn't", "normalise; nothing to train"),

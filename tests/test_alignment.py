@@ -7,8 +7,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from claimweave import report
 from claimweave.functions import codec, similarity
-from claimweave.operators import adjudicate, align, distant, evaluate, needles, ranks, spans
+from claimweave.operators import adjudicate, align, distant, evaluate, lengths, needles, ranks, spans
 from claimweave.plans import registry, training
 from claimweave.sources import testdata as td
 
@@ -163,3 +164,31 @@ def test_repetition_loops(spark):
     got = {r["doc_id"]: r["loops"] for r in registry.queries()["repetition_loops"](spark, SF).collect()}
     assert got == {i: t is not None and bool(loop.search(t)) for i, t in docs} and 0 < sum(got.values()) < len(got)
     assert spark.createDataFrame([("word " * 100_000,)], "t string").select(codec.has_repetition_loop(F.col("t"))).first()[0]
+
+
+def test_length_sketches(spark):
+    """Sketches of shards, merged, are as near to exact ranks as promised."""
+    rows = spark.range(40_000).select((F.col("id") % 7).alias("shard"), (F.col("id") * F.col("id") % 99_991).alias("v")).persist()
+    kept = lengths.sketches(rows, ("shard",), F.col("v"))
+    whole = lengths.quantiles(lengths.merged(kept, ()), {"p50": 0.5, "p95": 0.95}).first()
+    assert whole["n"] == 40_000
+    for name, q in (("p50", 0.5), ("p95", 0.95)):
+        assert abs(rows.where(F.col("v") < whole[name]).count() / 40_000 - q) < lengths.ERROR + 0.005
+    runs = spark.createDataFrame([("a", i, 10**9 if i < 3 else 1000 * i) for i in range(103)], "variant string, run int, microseconds bigint")
+    (r,) = lengths.latency(runs, ("variant",)).collect()
+    assert r["n"] == 100 and abs(r["p50_ms"] - 52.5) <= 2.5 and abs(r["p95_ms"] - 97) <= 3 and r["mean_ms"] == pytest.approx(52.5)
+    rows.unpersist()
+
+
+def test_sensitivity_by_what_is_off(spark):
+    lines = spark.createDataFrame([(1, 0, "Room", "room_rent", 1.0, 10000.0, 10000.0), (1, 1, "Tablets", "pharmacy", 1.0, 500.0, 500.0)], "doc_id int, line_index int, description string, category string, quantity double, unit_rate double, amount double")
+    for c in ("quantity", "unit_rate", "amount"):
+        lines = lines.withColumn(c, F.col(c).cast("decimal(18,2)"))
+    policy = adjudicate.Policy(co_pay_percent="0")
+    wide = adjudicate.sensitivity_table(lines, None, [], policy, relatives=("-0.10", "0", "0.10"))
+    got = {r["perturbation"]: r for r in wide.collect()}
+    assert got["stated gross"]["0.10"] == 0 and got["pharmacy amounts"]["0.10"] == 5000 and got["pharmacy amounts"]["0"] == 0
+    text = report.sensitivity_report(wide)
+    assert "| pharmacy amounts | -50 | +0 | +50 |" in text
+    one = adjudicate.sensitivity(lines, None, "pharmacy", [], policy, relatives=("0", "-0.10"))
+    assert {(str(r["relative"]), r["absolute_error"]) for r in one.collect()} == {("0.0000", 0), ("-0.1000", 5000)}
