@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import distant, lengths, needles, ranks
+from ..operators import distant, draws, lengths, needles, ranks
 from ..operators import evaluate as ev
 from ..operators.documents import normalized
 from ..schema import RAW_SCHEMA
@@ -136,3 +136,21 @@ def token_length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     near = lambda name, q: (F.col(f"under_{name}") <= (q + lengths.ERROR) * F.col("n") + 1) & (F.col(f"upto_{name}") >= (q - lengths.ERROR) * F.col("n") - 1)
     return ranked.select("lang", "n", near("p50", 0.5).alias("median_within"), near("p95", 0.95).alias("p95_within"))
+
+
+@query(
+    "weighted_draws",
+    """WITH w AS (SELECT n_regionkey, n_name, count(*)::DOUBLE AS weight FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
+    i AS (SELECT n_regionkey, n_name, (sum(weight) OVER g - weight) / sum(weight) OVER r AS lower, CASE WHEN sum(weight) OVER g >= sum(weight) OVER r THEN 1.0 ELSE sum(weight) OVER g / sum(weight) OVER r END AS upper
+      FROM w WINDOW g AS (PARTITION BY n_regionkey ORDER BY n_name ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY n_regionkey)),
+    c AS (SELECT c_custkey, n_regionkey, ('0x' || md5('nation:' || c_custkey)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    SELECT c.n_regionkey, n_name, count(*) AS n, min(c_custkey) AS first FROM c LEFT JOIN i ON i.n_regionkey = c.n_regionkey AND u >= lower AND u < upper GROUP BY ALL""",
+)
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer draws a nation of its region, by the numbers of suppliers there."""
+    nations = td.table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    suppliers = td.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    weights = suppliers.groupBy("n_regionkey", "n_name").agg(F.count("*").alias("weight"))
+    customers = td.table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_regionkey")
+    drawn = draws.draw(customers, draws.unit(F.lit("nation"), F.col("c_custkey").cast("string")), weights, ("n_regionkey",), ("n_name",))
+    return drawn.groupBy("n_regionkey", "n_name").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave import report
 from claimweave.functions import codec, similarity
-from claimweave.operators import adjudicate, align, distant, evaluate, lengths, needles, ranks, spans
+from claimweave.operators import adjudicate, align, distant, draws, evaluate, lengths, needles, ranks, spans
 from claimweave.plans import registry, training
 from claimweave.sources import testdata as td
 
@@ -192,3 +192,16 @@ def test_sensitivity_by_what_is_off(spark):
     assert "| pharmacy amounts | -50 | +0 | +50 |" in text
     one = adjudicate.sensitivity(lines, None, "pharmacy", [], policy, relatives=("0", "-0.10"))
     assert {(str(r["relative"]), r["absolute_error"]) for r in one.collect()} == {("0.0000", 0), ("-0.1000", 5000)}
+
+
+def test_draws_follow_weights(spark):
+    choices = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("a", "z", 0.0), ("b", "x", 1.0), (None, "n", 2.0), ("c", "never", -1.0)], "g string, v string, weight double")
+    rows = spark.range(30_000).select("id", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None).cast("string"), F.lit("c"), F.lit("d")), (F.col("id") % 5 + 1).cast("int")).alias("g"), F.lit("kept").alias("lower"))
+    got = draws.draw(rows, draws.unit(F.lit("seed"), F.col("id").cast("string")), choices, ("g",), ("v",))
+    assert got.count() == 30_000 and got.columns == ["id", "g", "lower", "v"]
+    n = {(r["g"], r["v"]): r["count"] for r in got.groupBy("g", "v").count().collect()}
+    assert n[("b", "x")] == n[(None, "n")] == n[("c", None)] == n[("d", None)] == 6000 and ("a", "z") not in n
+    assert abs(n[("a", "y")] / 6000 - 0.75) < 0.02
+    edges = spark.createDataFrame([("a", 0.0, 1), ("a", 0.25, 2), ("a", 0.9999999, 3), ("a", None, 4)], "g string, u double, id int")
+    assert {r["id"]: r["v"] for r in draws.draw(edges, F.col("u"), choices, ("g",), ("v",)).collect()} == {1: "x", 2: "y", 3: "y", 4: None}
+    assert {r["v"] for r in draws.draw(edges, F.col("u"), choices.where("g = 'a'"), (), ("v",)).collect()} == {"x", "y", None}
