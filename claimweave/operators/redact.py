@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import RAW_SCHEMA
+from ..schema import FIELD_PATHS, RAW_SCHEMA
 
 #: Fields that identify a person, and shapes of personal data in text.
 PII_FIELDS = ("patient.name", "patient.uhid", "patient.ip_number", "insurance.policy_number", "insurance.claim_number", "insurance.employee_id")
@@ -27,7 +27,6 @@ TEXT_PATTERNS = {
 }
 SCAN_PATTERNS = TEXT_PATTERNS | {"gstin": r"(?<![A-Z0-9])\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9](?![A-Z0-9])"}
 ALLOW = "pii-allow"
-DIGEST = 32
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,8 @@ class RedactionKey:
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256(self.material).hexdigest()[:12]
+        """What records name the key by; the key can't be told from it."""
+        return hashlib.sha256(hmac.digest(self.material, b"fingerprint:", "sha256")).hexdigest()[:16]
 
     @classmethod
     def load_or_create(cls, path: Path | str, repository: Path | str | None = None) -> RedactionKey:
@@ -57,25 +57,6 @@ class RedactionKey:
         return cls(path.read_bytes())
 
 
-def hmac_sha256(key: bytes, message: Column) -> Column:
-    """HMAC-SHA256 as binary, from two nested hashes."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), message.cast("binary")), 256)
-    return F.unhex(F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256))
-
-
-def surrogate_short(value: Column, key: RedactionKey, kind: str) -> Column:
-    """A surrogate of a value of at most 32 characters, natively; null where it is longer."""
-    stream = F.hex(hmac_sha256(key.material, F.concat(F.lit(f"{kind}:"), value)))
-
-    def one(ch: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-        letter = lambda base: F.chr(F.lit(base) + byte % 26)
-        return F.when(F.regexp_like(ch, F.lit("^[0-9]$")), (byte % 10).cast("string")).when(F.regexp_like(ch, F.lit("^[A-Z]$")), letter(65)).when(F.regexp_like(ch, F.lit("^[a-z]$")), letter(97)).otherwise(ch)
-
-    return F.when(F.char_length(value) <= DIGEST, F.when(value == "", value).otherwise(F.array_join(F.transform(F.split(value, ""), one), "")))
-
-
 def surrogate_text(value: str | None, material: bytes, kind: str) -> str | None:
     """The same for values of any length and script."""
     if not value:
@@ -118,31 +99,49 @@ def redact_text(text: Column, key: RedactionKey) -> Column:
     return redacted(text)
 
 
-def redact_document(document: Column, key: RedactionKey) -> Column:
-    """A raw document with its identifying fields replaced and its descriptions redacted; the hospital stays."""
-    material = key.material
+def redact_documents(rows: DataFrame, key: RedactionKey, document_col: str = "document", id_col: str = "doc_id", extra_fields: tuple[str, ...] = (), consent: str | None = None) -> DataFrame:
+    """All columns of ``rows``, the raw document with its identifying fields (and ``extra_fields``, as block.field) replaced and its
+    descriptions redacted, and ``record``: which fields were, how often each shape was, when, under which key and consent; never a value.
 
-    @F.pandas_udf("array<string>")
-    def descriptions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shapes = {n: re.compile(p) for n, p in TEXT_PATTERNS.items()}
-
-        def clean(text: str | None) -> str | None:
-            for name, shape in shapes.items():
-                text = text and shape.sub(lambda m, k=name: surrogate_text(m[0], material, k), text)
-            return text
+    Blank fields stay and aren't recorded; the hospital stays; a null document stays null, with an empty record. ``record`` has the columns of
+    ``sources.manifest.REDACTION``, so ``rows.select("record.*")`` can be appended to the log.
+    """
+    fields = tuple(dict.fromkeys((*PII_FIELDS, *extra_fields)))
+    if unknown := [f for f in fields if f not in FIELD_PATHS]:
+        raise ValueError(f"no such fields: {', '.join(unknown)}")
+    material, names, document = key.material, list(TEXT_PATTERNS), F.col(document_col)
 
+    @F.pandas_udf(f"said array<string>, {', '.join(f'{n} int' for n in names)}")
+    def cleaned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        shapes = {n: re.compile(p) for n, p in TEXT_PATTERNS.items()}
         for lists in batches:
-            yield lists.map(lambda x: None if x is None else [clean(t) for t in x])
-
-    said = descriptions(F.transform(document["line_items"], lambda i: i["description"]))
+            out = []
+            for texts in lists:
+                counts, said = dict.fromkeys(names, 0), []
+                for text in () if texts is None else texts:
+                    for name, shape in shapes.items():
+                        text, n = shape.subn(lambda m, k=name: surrogate_text(m[0], material, k), text) if text else (text, 0)
+                        counts[name] += n
+                    said.append(text)
+                out.append((None if texts is None else said, *counts.values()))
+            yield pd.DataFrame(out, columns=["said", *names])
+
+    given = lambda p: F.coalesce(document[p.split(".")[0]][p.split(".")[1]], F.lit(""))
     blocks = []
     for f in RAW_SCHEMA:
         if f.name == "line_items":
-            blocks.append(F.zip_with(document["line_items"], said, lambda i, d: i.withField("description", d)).alias(f.name))
+            blocks.append(F.zip_with(document["line_items"], F.col("_cleaned.said"), lambda i, d: i.withField("description", d)).alias(f.name))
         else:
-            leaf = lambda n, b=f.name: surrogate(document[b][n], key, f"{b}.{n}") if f"{b}.{n}" in PII_FIELDS else document[b][n]
+            leaf = lambda n, b=f.name: surrogate(document[b][n], key, f"{b}.{n}") if f"{b}.{n}" in fields else document[b][n]
             blocks.append(F.struct(*(leaf(n).alias(n) for n in f.dataType.fieldNames())).alias(f.name))
-    return F.struct(*blocks)
+    counts = F.filter(F.array(*(F.struct(F.lit(n).alias("k"), F.col(f"_cleaned.{n}").alias("v")) for n in names)), lambda c: c["v"] > 0)
+    record = F.struct(
+        F.col(id_col).cast("string").alias("document_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("redacted_at"),
+        F.filter(F.array(*(F.when(given(p) != "", F.lit(p)) for p in fields)), lambda p: p.isNotNull()).alias("fields_redacted"),
+        F.map_from_entries(counts).alias("text_patterns"), F.lit(key.fingerprint).alias("key_fingerprint"), F.lit(consent).cast("string").alias("consent_reference"),
+    )
+    made = rows.withColumn("_cleaned", cleaned(F.transform(document["line_items"], lambda i: i["description"])))
+    return made.withColumn("record", record).withColumn(document_col, F.when(document.isNotNull(), F.struct(*blocks))).drop("_cleaned")
 
 
 def scan_text(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,6 +156,15 @@ def is_forbidden(path: Column) -> Column:
     return F.regexp_like(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(r"(^|/)data/real(/|$)"))
 
 
+def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
+    """The prefixes of an allow-list file: a line each, without comments, blanks and slashes at the end; none where there is no file."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "prefix string")
+    bare = F.regexp_replace(F.trim(F.regexp_replace("value", "#.*$", "")), "/+$", "")
+    return spark.read.text(path).select(bare.alias("prefix")).where("prefix <> ''")
+
+
 def allowed(files: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Files (path) at or under one of the prefixes (prefix)."""
     under = (F.col("path") == F.col("prefix")) | F.startswith(F.col("path"), F.concat(F.col("prefix"), F.lit("/")))

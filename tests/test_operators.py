@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import adjudicate as adj
-from claimweave.operators import adjudicate_json, assemble, evaluate, extract, images, redact, sampling, spans, taxonomy
+from claimweave.operators import adjudicate_json, assemble, evaluate, extract, generate, images, redact, sampling, spans, taxonomy
 from claimweave.schema import RAW_SCHEMA
+from claimweave.sources import manifest
 from claimweave.sources.rules import load_policy, load_rules
 
 LINES = "doc_id int, line_index int, description string, category string, quantity decimal(18,4), unit_rate decimal(18,2), amount decimal(18,2)"
@@ -126,8 +127,8 @@ def test_surrogates(spark):
     key = redact.RedactionKey(bytes(range(64)))
     values = ["Ramesh Kumar", "9876543210", "", None, "a-b/C 1"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    got = df.select(redact.surrogate_short(F.col("v"), key, "k").alias("a"), redact.surrogate(F.col("v"), key, "k").alias("b")).collect()
-    assert all(r["a"] == r["b"] == redact.surrogate_text(v, key.material, "k") for r, v in zip(got, values))
+    got = df.select("v", redact.surrogate(F.col("v"), key, "k").alias("b")).collect()
+    assert all(r["b"] == redact.surrogate_text(v, key.material, "k") for r, v in zip(got, values))
     said = "call 9876543210 or a@b.co, PAN ABCDE1234F"
     row = spark.createDataFrame([(said,)], "t string").select(redact.redact_text(F.col("t"), key).alias("r")).first()["r"]
     assert len(row["text"]) == len(said) and (row["phone"], row["pan"]) == (1, 1) and "9876543210" not in row["text"]
@@ -135,6 +136,38 @@ def test_surrogates(spark):
         redact.RedactionKey(b"short")
 
 
+def test_redacted_documents(spark, tmp_path):
+    key = redact.RedactionKey(b"k" * 40)
+    docs = generate.documents(spark, 6).select("doc_id", F.col("truth").alias("document"), F.lit(1).alias("kept"))
+    item = F.transform("document.line_items", lambda i: i.withField("description", F.concat(i["description"], F.lit(" for 9876543210"))))
+    docs = docs.withColumn("document", F.col("document").withField("line_items", item))
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit("none"), "document": F.lit(None).cast(docs.schema["document"].dataType)}))
+    out = redact.redact_documents(docs, key, extra_fields=("hospital.city", "patient.name"), consent="c-1").persist()
+    assert out.columns == ["doc_id", "document", "kept", "record"]
+    before = {r["doc_id"]: r["document"] for r in docs.collect()}
+    for r in out.where("doc_id <> 'none'").collect():
+        old, new, record = before[r["doc_id"]], r["document"], r["record"]
+        assert new["patient"]["name"] != old["patient"]["name"] and len(new["patient"]["name"]) == len(old["patient"]["name"]) and new["hospital"]["city"] != old["hospital"]["city"]
+        assert new["hospital"]["name"] == old["hospital"]["name"] and new["totals"] == old["totals"] and not any("9876543210" in i["description"] for i in new["line_items"])
+        assert record["text_patterns"] == {"phone": len(old["line_items"])} and ("patient.uhid" in record["fields_redacted"]) == bool(old["patient"]["uhid"])
+        assert "hospital.city" in record["fields_redacted"] and record["key_fingerprint"] == key.fingerprint and record["consent_reference"] == "c-1"
+    (none,) = out.where("doc_id = 'none'").collect()
+    assert none["document"] is None and none["record"]["fields_redacted"] == [] and none["record"]["text_patterns"] == {}
+    manifest.append_records(out.select("record.*"), f"{tmp_path}/log")
+    assert spark.read.schema(manifest.REDACTION).json(f"{tmp_path}/log").where("document_id = 'DOC-00000001'").count() == 1
+    with pytest.raises(ValueError):
+        redact.redact_documents(docs, key, extra_fields=("patient.shoe",))
+    out.unpersist()
+
+
+def test_allow_list(spark, tmp_path):
+    (tmp_path / "allow").write_text("# none\ndocs/  # all of them\n\ntests/data//\n")
+    prefixes = redact.read_allowlist(spark, f"{tmp_path}/allow")
+    assert {r["prefix"] for r in prefixes.collect()} == {"docs", "tests/data"} and redact.read_allowlist(spark, f"{tmp_path}/nowhere").count() == 0
+    files = spark.createDataFrame([("docs/a.md",), ("docsy",), ("tests/data/x",)], "path string")
+    assert {r["path"] for r in redact.allowed(files, prefixes).collect()} == {"docs/a.md", "tests/data/x"}
+
+
 def test_scan(spark):
     df = spark.createDataFrame([(1, "amount 1,23,456.00\nphone 9876543210\n9876543211 pii-allow")], "id int, t string")
     assert [(r["line_no"], r["kind"]) for r in redact.scan_text(df, "id", "t").collect()] == [(2, "phone")]
