@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .text import let, prepare, strip_edges
 
+#: The year from which two digits are of the last century, months, a time of day after a date, ordinals, and
+#: accepted forms in order, with the groups of year, month and day.
 PIVOT = 70
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 CLOCK = r"(?i)[\s,]+\d{1,2}[:.]\d{2}(?::\d{2})?(?:\s*[ap]\.?m\.?)?\s*$"
 ORDINAL = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b"
-#: Accepted forms, in order, with the groups of year, month and day.
 FORMS = (
     (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", 1, 2, 3),
     (r"^(\d{1,2})[-/.\s](\d{1,2})[-/.\s](\d{2,4})$", 3, 2, 1),

@@ -37,6 +37,7 @@ CATEGORY_PATTERNS = (
     (r"admin|registration|admission\s*(fee|charge)|record|file\s*charge", "administrative"),
     (r"non[\s_-]*medical|toiletr|attendant|food|telephone|tv\b", "non_medical"),
 )
+#: Words for yes and no.
 YES = ("y", "yes", "true", "1", "payable", "admissible", "allowed")
 NO = ("n", "no", "false", "0", "nonpayable", "non_payable", "notpayable", "deducted", "disallowed", "inadmissible")
 

@@ -35,7 +35,7 @@ def test_same_rows(spark, oracle, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"extract_heuristic", "tree_accuracy"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"tree_accuracy"}))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
