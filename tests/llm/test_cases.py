@@ -227,6 +227,17 @@ def test_a_host_of_many_rules_and_pages(spark):
     assert got == want
 
 
+def test_rules_are_those_of_the_contract(spark):
+    urls = ["http://a.com/en/1", "http://example.com/en/7x", "http://a.net/de/1", "http://www.example.net/de/8", "http://example.net/de/9", "http://x.org/es/", "http://x.org/"]
+    want = ["com/en/ block", "example.com/en/7 allow", "net/de/ allow", "example.net/de/8 block", "net/de/ allow", "org/es/ block", "None allow"]
+    pages = frame(spark, list(enumerate(urls)), "page_id bigint, url string")
+    got = url_filter.filter_urls(pages, url_filter.rule_rows(spark, url_filter.RULES)).orderBy("page_id").collect()
+    assert [f"{r['rule']} {r['verdict']}" for r in got] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(urls)) + ") t(page_id, url)")
+    assert [f"{r[3]} {r[4]}" for r in sorted(con.execute(queries.ORACLE_SQL["op3_url_filter"]).fetchall())] == want
+
+
 # 8
 
 
