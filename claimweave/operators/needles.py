@@ -13,14 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import maybe_broadcast
+from ..shared import kept, maybe_broadcast
 
 Q = 3
 
 
 def grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct substrings of these lengths."""
-    of = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """The distinct substrings of these lengths, by one walk over the text for each."""
+    of = lambda n: F.regexp_extract_all(text, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
     return F.array_distinct(F.concat(*map(of, sizes)))
 
 
@@ -35,5 +35,6 @@ def holding(texts: DataFrame, needles: DataFrame, text_col: str = "text", needle
     spread = said.select("text", F.explode(grams(F.col("text"), sizes)).alias("gram"))
     keys = wanted.select("needle", F.explode(F.filter(grams(F.col("needle"), sizes), lambda g: F.char_length(g) == size)).alias("gram"))
     often = spread.join(maybe_broadcast(keys.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rated = keys.join(often, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    # Written, as it is measured and then sent: the texts would be gone through for either.
+    rated = kept(keys.join(often, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")), "needles")
     return spread.join(maybe_broadcast(rated), "gram").where(F.contains("text", F.col("needle"))).select("text", "needle")
