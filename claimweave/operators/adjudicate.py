@@ -12,6 +12,8 @@ Money is counted in hundredths as whole numbers, so every rounding is exact and
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from ..shared import maybe_broadcast
 from .needles import holding
 
 STAGES = ("non_payable", "sub_limits", "room_rent_cap", "deductible", "co_pay")
+OWN = ("deductible", "co_pay")  # taken of a claim's sum
 ICU_WARDS = ("icu", "iccu", "nicu", "picu")
 ROOM_CLAUSE = "Policy schedule - room rent capping with proportionate deduction"
 
@@ -67,7 +70,7 @@ class Policy:
 
     def daily_cap(self, percent: str) -> int:
         """Hundredths a day, half up."""
-        from decimal import ROUND_HALF_UP, Decimal
+        from decimal import ROUND_HALF_UP
 
         cap = Decimal(self.sum_insured) * Decimal(percent) / 100
         return int(cap.quantize(Decimal("0.01"), ROUND_HALF_UP) * 100)
@@ -132,12 +135,37 @@ def waterfall(lines: DataFrame, claims: DataFrame | None, rules: list[Rule], pol
     Adds cents, rule_id, limit (place of the sub-limit, -1 without), took_<stage>, live, and the claim's
     remaining, deductible_taken and co_pay_taken. ``keys`` tell claims apart.
     """
-    per_claim = Window.partitionBy(*keys)
-    rows = lines.withColumn("cents", cents(F.col("amount")))
-    if claims is not None:
-        rows = rows.join(claims.select(*keys, "ward_type"), list(keys), "left")
+    return _staged(_with_wards(lines.withColumn("cents", cents(F.col("amount"))), claims, keys), rules, policy, keys)
+
+
+def _with_wards(lines: DataFrame, claims: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
+    if claims is None:
+        return lines.withColumn("ward_type", F.lit(None).cast("string"))
+    return lines.join(claims.select(*keys, "ward_type"), list(keys), "left")
+
+
+def _rooms() -> Column:
+    return F.when(F.col("category") == "room_rent", F.struct("line_index", "unit_rate", "quantity", "amount"))
+
+
+def _limit_of(policy: Policy) -> Column:
+    text = F.lower(F.coalesce("description", F.lit("")))
+    return _first([(F.contains(text, F.lit(s.match.casefold())), i) for i, s in enumerate(policy.sub_limits)], F.lit(-1))
+
+
+def _own_taken(stage: str, policy: Policy, rest: Column) -> Column:
+    """What a claim's own deduction takes of the rest."""
+    if stage == "deductible":
+        amount = F.least(cents(F.lit(policy.deductible).cast("decimal(18,2)")), rest)
     else:
-        rows = rows.withColumn("ward_type", F.lit(None).cast("string"))
+        amount = F.round(rest.cast("decimal(38,0)") * F.lit(policy.co_pay_percent).cast("decimal(9,4)") / 100, 0).cast("bigint")
+    return F.when(rest > 0, amount).otherwise(0).cast("bigint")
+
+
+def _staged(rows: DataFrame, rules: list[Rule], policy: Policy, keys: tuple[str, ...]) -> DataFrame:
+    """The stages over lines with cents and ward_type. What is found already stays: _rule, _limit, and the claim's _room."""
+    per_claim = Window.partitionBy(*keys)
+    found = {c for c in ("_rule", "_limit", "_room") if c in rows.columns}
     rows = rows.withColumn("live", F.coalesce("cents", F.lit(0).cast("bigint"))).withColumn("rule_id", F.lit(None).cast("string")).withColumn("limit", F.lit(-1))
     for stage in STAGES:
         rows = rows.withColumn(f"took_{stage}", F.lit(0).cast("bigint"))
@@ -150,18 +178,16 @@ def waterfall(lines: DataFrame, claims: DataFrame | None, rules: list[Rule], pol
         alive = F.col("live") > 0
         took = f"took_{stage}"
         if stage == "non_payable":
-            rows = rows.withColumn("rule_id", F.when(alive, match_rule(F.col("description"), F.col("category"), rules)))
+            rows = rows.withColumn("rule_id", F.when(alive, F.col("_rule") if "_rule" in found else match_rule(F.col("description"), F.col("category"), rules)))
             rows = rows.withColumn(took, F.when(F.col("rule_id").isNotNull(), F.col("live")).otherwise(0))
         elif stage == "sub_limits":
-            text = F.lower(F.coalesce("description", F.lit("")))
-            limits = [(F.contains(text, F.lit(s.match.casefold())), i) for i, s in enumerate(policy.sub_limits)]
-            rows = rows.withColumn("limit", _first(limits, F.lit(-1)))
+            rows = rows.withColumn("limit", F.col("_limit") if "_limit" in found else _limit_of(policy))
             cap = _first([(F.col("limit") == i, cents(F.lit(s.cap).cast("decimal(18,2)"))) for i, s in enumerate(policy.sub_limits)], F.lit(None).cast("bigint"))
             rows = rows.withColumn(took, F.when(alive & (F.col("live") > cap), F.col("live") - cap).otherwise(0))
         elif stage == "room_rent_cap":
             # The billed daily rate is billed / per, kept as a fraction.
-            room = F.when(F.col("category") == "room_rent", F.struct("line_index", "unit_rate", "quantity", "amount"))
-            rows = rows.withColumn("_room", F.min(room).over(per_claim))
+            if "_room" not in found:
+                rows = rows.withColumn("_room", F.min(_rooms()).over(per_claim))
             stated = F.col("_room.unit_rate").isNotNull()
             derived = F.col("_room.amount").isNotNull() & (F.coalesce("_room.quantity", F.lit(0)) != 0)
             whole = lambda c, k: F.round(c.cast("decimal(38,6)") * k, 0).cast("decimal(38,0)")
@@ -176,11 +202,7 @@ def waterfall(lines: DataFrame, claims: DataFrame | None, rules: list[Rule], pol
         else:
             rest = F.round(left_over, 0).cast("bigint")
             rows = rows.withColumn("_rest", rest)
-            if stage == "deductible":
-                amount = F.least(cents(F.lit(policy.deductible).cast("decimal(18,2)")), F.col("_rest"))
-            else:
-                amount = F.round(F.col("_rest").cast("decimal(38,0)") * F.lit(policy.co_pay_percent).cast("decimal(9,4)") / 100, 0).cast("bigint")
-            rows = rows.withColumn(f"{stage}_taken", F.when(F.col("_rest") > 0, amount).otherwise(0).cast("bigint"))
+            rows = rows.withColumn(f"{stage}_taken", _own_taken(stage, policy, F.col("_rest")))
             rows = rows.withColumn("remaining" if stage == "co_pay" else "_before", F.col("_rest"))
             if any(s not in ("deductible", "co_pay") for s in policy.order[place + 1 :]) or place + 1 < len(policy.order):
                 share = F.when(F.col("_rest") > 0, (F.col("_rest") - F.col(f"{stage}_taken")).cast("decimal(20,0)") / F.col("_rest").cast("decimal(20,0)")).otherwise(1)
@@ -275,19 +297,63 @@ def perturbed(lines: DataFrame, category: str | None, relatives: tuple[str, ...]
     return many.withColumn("unit_rate", moved("unit_rate")) if rate else many
 
 
-def sensitivity(lines: DataFrame, claims: DataFrame | None, category: str | None, rules: list[Rule], policy: Policy, rate: bool = False, relatives: tuple[str, ...] = RELATIVES) -> DataFrame:
-    """doc_id, relative, payable, delta against no error, absolute_error, and amplification: the relative change of the
-    payable for each unit of relative error (0 without error, null where nothing is payable). Without a category it is the
-    stated gross that is off, which no payable hangs on. ``relatives`` must hold 0."""
+def _payables(lines: DataFrame, claims: DataFrame | None, perturbations: dict[str, tuple[str | None, bool]], rules: list[Rule], policy: Policy, relatives: tuple[str, ...]) -> DataFrame:
+    """doc_id, perturbation, relative, payable and base, the payable without error.
+
+    Lines are dealt by claim once and copied there, without being sorted or sent again, only for the errors that
+    reach their claim: one without a line of the category keeps its payable. A claim's own deductions are taken of its sums.
+    """
+    step = "decimal(9,4)"
+    line_stages, own = (tuple(s for s in policy.order if (s in OWN) == mine) for mine in (False, True))
+    if policy.order != line_stages + own:  # a claim's deduction is spread over lines that are cut again
+        each = [_payables_by_line(lines, claims, category, rules, policy, rate, relatives).withColumn("perturbation", F.lit(name)) for name, (category, rate) in perturbations.items()]
+        return reduce(DataFrame.unionByName, each)
+    kinds = sorted({k for k in perturbations.values() if k[0] is not None})
+    errors = [(k, r) for k in kinds for r in dict.fromkeys(map(Decimal, relatives)) if r]
+    number = {e: i + 1 for i, e in enumerate(errors)}
+    per_claim = Window.partitionBy("doc_id")
+    rows = _with_wards(lines, claims, ("doc_id",)).withColumns({"_whole": cents(F.col("amount").cast(MONEY)), "_rule": match_rule(F.col("description"), F.col("category"), rules), "_limit": _limit_of(policy)})
+    rows = rows.withColumns({"_room": F.min(_rooms()).over(per_claim), "_kinds": F.collect_set("category").over(per_claim)})
+    error = lambda n, off, category, rate: F.struct(F.lit(n).alias("n"), F.lit(off).cast(step).alias("off"), F.lit(category).cast("string").alias("category"), F.lit(rate).alias("rate"))
+    none = F.array(error(0, "0", None, False))
+    those = [F.when(F.array_contains("_kinds", k[0]), F.array(*(error(number[e], str(e[1]), *k) for e in errors if e[0] == k))).otherwise(F.slice(none, 1, 0)) for k in kinds if any(e[0] == k for e in errors)]
+    rows = rows.select("doc_id", "category", "ward_type", "amount", "_whole", "_rule", "_limit", "_room", F.explode(F.concat(none, *those)).alias("v"))
+    off = lambda c: F.round(c.cast("decimal(18,2)") * (1 + F.col("v.off")), 2).cast(MONEY)
+    of_room = F.coalesce(F.col("v.category") == "room_rent", F.lit(False))
+    room = F.struct(
+        F.when(of_room & F.col("v.rate"), off(F.col("_room.unit_rate"))).otherwise(F.col("_room.unit_rate")).alias("unit_rate"), F.col("_room.quantity").alias("quantity"),
+        F.when(of_room, off(F.col("_room.amount"))).otherwise(F.col("_room.amount").cast(MONEY)).alias("amount"),
+    )
+    rows = rows.select(
+        "doc_id", "category", "ward_type", "_rule", "_limit", F.col("v.n").alias("n"), F.when(F.col("category").isin(*policy.proportionate) & F.col("_room").isNotNull(), room).alias("_room"),
+        F.when(F.col("category") == F.col("v.category"), cents(off(F.col("amount")))).otherwise(F.col("_whole")).alias("cents"),
+    )
+    sums = _staged(rows, rules, policy.with_(order=line_stages), ("doc_id", "n")).groupBy("doc_id", "n").agg(F.sum("live").alias("payable"))
+    for stage in own:
+        sums = sums.withColumn("payable", F.col("payable") - _own_taken(stage, policy, F.col("payable")))
+    of = lambda n: F.max(F.when(F.col("n") == n, F.col("payable")))
+    wide = sums.groupBy("doc_id").agg(of(0).alias("base"), *(of(n).alias(f"_{n}") for n in number.values()))
+    told = [(name, r, number.get((k, Decimal(r)))) for name, k in perturbations.items() for r in relatives]
+    every = F.array(*(F.struct(F.lit(name).alias("perturbation"), F.lit(r).cast(step).alias("relative"), (F.coalesce(f"_{n}", "base") if n else F.col("base")).alias("payable")) for name, r, n in told))
+    return wide.select("doc_id", "base", F.inline(every))
+
+
+def _payables_by_line(lines: DataFrame, claims: DataFrame | None, category: str | None, rules: list[Rule], policy: Policy, rate: bool, relatives: tuple[str, ...]) -> DataFrame:
+    """The same for any order of stages: every line goes through all of them once for each error."""
     keys = ("doc_id", "relative")
     many = perturbed(lines, category, relatives, rate)
     if claims is not None:
-        claims = claims.withColumn("relative", F.explode(F.array(*(F.lit(r).cast("decimal(9,4)") for r in relatives))))
-        if category is None and "stated_gross" in claims.columns:
-            claims = claims.withColumn("stated_gross", F.round(F.col("stated_gross") * (1 + F.col("relative")), 2).cast(MONEY))
+        claims = claims.select("doc_id", "ward_type", F.explode(F.array(*(F.lit(r).cast("decimal(9,4)") for r in relatives))).alias("relative"))
     found = claims_of(waterfall(many, claims, rules, policy, keys), keys)
     base = F.max(F.when(F.col("relative") == 0, F.col("payable"))).over(Window.partitionBy("doc_id"))
-    out = found.select("doc_id", "relative", "payable", base.alias("base"))
+    return found.select("doc_id", "relative", "payable", base.alias("base"))
+
+
+def sensitivity(lines: DataFrame, claims: DataFrame | None, category: str | None, rules: list[Rule], policy: Policy, rate: bool = False, relatives: tuple[str, ...] = RELATIVES) -> DataFrame:
+    """doc_id, relative, payable, delta against no error, absolute_error, and amplification: the relative change of the
+    payable for each unit of relative error (0 without error, null where nothing is payable). Without a category it is the
+    stated gross that is off, which no payable hangs on. ``relatives`` must hold 0."""
+    out = _payables(lines, claims, {"": (category, rate)}, rules, policy, relatives)
     delta = F.col("payable") - F.col("base")
     grew = F.try_divide(F.abs(delta).cast("double"), (F.abs("relative") * F.col("base")).cast("double"))
     return out.select(
@@ -302,9 +368,7 @@ PERTURBATIONS = {"room rate": ("room_rent", True), "pharmacy amounts": ("pharmac
 
 def sensitivity_table(lines: DataFrame, claims: DataFrame | None, rules: list[Rule], policy: Policy, perturbations: dict[str, tuple[str | None, bool]] | None = None, relatives: tuple[str, ...] = RELATIVES) -> DataFrame:
     """A row for each perturbation, a column for each relative error: the change of all payables together, by pivot."""
-    out = None
-    for name, (category, rate) in (perturbations or PERTURBATIONS).items():
-        one = sensitivity(lines, claims, category, rules, policy, rate, relatives).select(F.lit(name).alias("perturbation"), F.col("relative").cast("double").alias("relative"), "delta")
-        out = one if out is None else out.unionAll(one)
+    found = _payables(lines, claims, perturbations or PERTURBATIONS, rules, policy, relatives)
+    out = found.select("perturbation", F.col("relative").cast("double").alias("relative"), (F.col("payable") - F.col("base")).alias("delta"))
     wide = out.groupBy("perturbation").pivot("relative", [float(r) for r in relatives]).agg(F.sum("delta"))
     return wide.select("perturbation", *(F.col(f"`{float(r)}`").alias(r) for r in relatives))
