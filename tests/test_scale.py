@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from claimweave.functions import similarity
-from claimweave.operators import adjudicate, needles
+from claimweave.operators import adjudicate, extract, needles
 
 
 def plan_of(df):
@@ -57,3 +57,20 @@ def test_small_tables_are_assigned_as_large_ones_and_quickly():
         bill = rng.choices(names, k=4)
         similarity.best_row_pairs(bill[1:], bill, 0.6)
     assert time.perf_counter() - began < 2  # 4 s before
+
+
+def test_bills_are_read_by_their_letters_first():
+    """Values that no alias is like cost no row of likeness: 10 ms a bill before."""
+    fields, headings = extract.Names(extract.ALIASES), extract.Names(extract.COLUMNS)
+    bill = lambda i: f"City Hospital\nPatient Name : P{i}   UHID : U{i}\nAge / Sex : 45 / M\n1  red plate   3  10.00  {i}.25\n2  hot gizmo   1  10.00  {i}.50\nGross Amount : {i}.75\n"
+    began = time.perf_counter()
+    for i in range(1000, 2000):
+        got = extract.read_bill(bill(i), fields, headings)
+        assert got["patient"]["uhid"] == f"U{i}" and got["totals"]["gross_amount"] == f"{i}.75" and [r["amount"] for r in got["line_items"]] == [f"{i}.25", f"{i}.50"]
+    assert time.perf_counter() - began < 3
+    rng = random.Random(4)
+    for names in (fields, headings):
+        for _ in range(3000):
+            label = "".join(rng.choice("gros amunt/.#19xé") for _ in range(rng.randrange(1, 14)))
+            for floor in (extract.COLUMN_FLOOR, extract.LABEL_FLOOR, extract.LABEL_AS_VALUE):
+                assert (names.reached(label, floor) is not None) == (names.best(label)[1] >= floor)
