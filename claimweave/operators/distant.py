@@ -3,10 +3,8 @@
 A value claims the first run of tokens that spells it and of which none is claimed; longer values (in characters) go first,
 among equals those whose path comes first. Letters are compared by full case folding, without ``.,:;`` at the ends of words.
 
-Candidates come from a hash join: every token gives the hash of itself and of itself with the next one, every value that of its
-first word or first two, and they meet within their page. The words that follow are joined by place, one row a word, so the
-cost is that of the words compared, and no page is copied for a candidate. Only places that spell a value come to the claiming,
-which goes through a page's candidates once. Pages are the only groups that meet in one task.
+A page's tokens and its values meet in one row, so tokens are dealt by page once and nothing else is sent. There a value looks only at
+the places of its first word. Pages are the only groups that meet in one task.
 
 Defined cases: a null or blank value, or one on a page without tokens, claims nothing; null texts are empty words; of equal
 (page, path) rows each value claims a place of its own; pages with a null key have no labels; columns besides are kept for tokens, whatever their names but ``label``.
@@ -14,8 +12,6 @@ Defined cases: a null or blank value, or one on a page without tokens, claims no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,68 +40,64 @@ def placed(words: DataFrame, page_col: str = "page_id") -> DataFrame:
     return words.where(f"`{page_col}` is not null").select(page_col, (F.row_number().over(by) - 1).alias("pos"), bare(F.col("text")).alias("bare"), row)
 
 
-def candidates(spelled: DataFrame, values: DataFrame, page_col: str = "page_id") -> DataFrame:
-    """(page, which, path, start, size): where the tokens of ``placed`` spell a value of (page, path, value).
-
-    ``which`` numbers a page's values in the order in which they claim.
-    """
-    words = F.transform(tokens(F.col("value")), bare)
-    first = Window.partitionBy(page_col).orderBy(F.desc("chars"), "place", "path", "value")
-    wanted = values.where(f"`{page_col}` is not null").select(page_col, "path", "value", words.alias("want"), F.char_length("value").alias("chars"), _place(F.col("path")).alias("place"))
-    wanted = wanted.where(F.size("want") > 0).withColumn("which", F.row_number().over(first)).withColumn("size", F.size("want"))
-    gram = lambda kind, one, two: F.xxhash64(F.lit(kind), one, *([two] if kind == 2 else []))
-    w0, w1 = F.col("want")[0], F.get("want", F.lit(1))
-    wanted = wanted.select(page_col, "which", "path", "want", "size", F.when(F.col("size") == 1, gram(1, w0, w1)).otherwise(gram(2, w0, w1)).alias("gram"))
-    after = F.lead("bare").over(Window.partitionBy(page_col).orderBy("pos"))
-    pairs = spelled.select(page_col, "pos", "bare", after.alias("after"))
-    grams = F.array(gram(1, F.col("bare"), F.col("after")), gram(2, F.col("bare"), F.col("after")))
-    met = pairs.select("*", F.explode(grams).alias("gram")).join(wanted, [page_col, "gram"])
-    met = met.where((w0 == F.col("bare")) & ((F.col("size") == 1) | (w1 == F.col("after"))))
-    met = met.select(page_col, "which", "path", F.col("pos").alias("start"), "size", "want")
-    short = met.where("size <= 2").select(page_col, "which", "path", "start", "size")
-    rest = met.where("size > 2").select(page_col, "which", "path", "start", "size", F.posexplode(F.slice("want", 3, F.col("size") - 2)).alias("i", "bare"))
-    rest = rest.withColumn("pos", F.col("start") + F.col("i") + 2).join(spelled.select(page_col, "pos", "bare"), [page_col, "pos", "bare"])
-    whole = rest.groupBy(page_col, "which", "path", "start", "size").count().where(F.col("count") == F.col("size") - 2).drop("count")
-    return short.unionByName(whole)
-
-
-def claim(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Of (which, start, size), each value's first place that is free when its turn comes."""
+def claim(words: list[str], wanted: list[list[str]]) -> list[tuple[int, int]]:
+    """(which, start) of each value's first place that is free when its turn comes, in their order."""
+    places: dict[str, list[int]] = {want[0]: [] for want in wanted}
+    for i, word in enumerate(words):
+        if word in places:
+            places[word].append(i)
     taken: set[int] = set()
-    done, out = None, []
-    for which, start, size in sorted(found):
-        if which != done and taken.isdisjoint(range(start, start + size)):
-            taken.update(range(start, start + size))
-            done = which
-            out.append((which, start, size))
+    out = []
+    for which, want in enumerate(wanted):
+        size = len(want)
+        for start in places[want[0]]:
+            if words[start : start + size] == want and taken.isdisjoint(range(start, start + size)):
+                taken.update(range(start, start + size))
+                out.append((which, start))
+                break
     return out
 
 
-def claims(spelled: DataFrame, values: DataFrame, page_col: str = "page_id") -> DataFrame:
-    """(page, path, start, size) of the places that values claim; no two of a page overlap."""
-    kind = spelled.schema[page_col].dataType.simpleString()
-    found = candidates(spelled, values, page_col)
-    pages = found.groupBy(page_col).agg(F.collect_list(F.struct("which", "start", "size", "path")).alias("found"))
+def _wanted(values: Column) -> Column:
+    """Of an array of (path, value): path and words of those that have words, in the order in which they claim."""
+    rows = F.transform(values, lambda v: F.struct((-F.char_length(v["value"])).alias("chars"), _place(v["path"]).alias("place"), v["path"].alias("path"), v["value"].alias("value"), F.transform(tokens(v["value"]), bare).alias("want")))
+    return F.sort_array(F.filter(rows, lambda r: F.size(r["want"]) > 0))
+
+
+def _marks(pages: DataFrame, words: Column) -> DataFrame:
+    """Adds ``marks``, (pos, label) of each token that a value of ``wanted`` claims."""
+
+    @F.pandas_udf("array<struct<which:int,start:int>>")
+    def claimed(words: pd.Series, wanted: pd.Series) -> pd.Series:
+        found = (claim(list(w), [list(x) for x in v]) if v is not None and len(v) else [] for w, v in zip(words, wanted, strict=True))
+        return pd.Series([[{"which": i, "start": at} for i, at in f] for f in found], dtype=object)
+
+    found = pages.withColumn("_claims", claimed(words, F.transform("wanted", lambda v: v["want"])))
+
+    def of(c: Column) -> Column:
+        value = F.element_at("wanted", c["which"] + 1)
+        return F.transform(value["want"], lambda _, i: F.struct((c["start"] + i).alias("pos"), F.concat(F.when(i == 0, "B-").otherwise("I-"), value["path"]).alias("label")))
+
+    return found.withColumn("marks", F.flatten(F.transform("_claims", of))).drop("_claims")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for page, rows in zip(f[page_col], f["found"], strict=True):
-                paths = {r["which"]: r["path"] for r in rows}
-                out += [(page, paths[w], start, size) for w, start, size in claim([(r["which"], r["start"], r["size"]) for r in rows])]
-            yield pd.DataFrame(out, columns=[page_col, "path", "start", "size"])
 
-    return pages.mapInPandas(run, f"`{page_col}` {kind}, path string, start int, size int")
+def label_pages(pages: DataFrame, page_col: str = "page_id") -> DataFrame:
+    """(page, idx, label) of the tokens that values claim, from rows that hold a page each: its ``words``, and its ``values`` as (path, value)."""
+    rows = pages.where(f"`{page_col}` is not null").select(page_col, F.transform("words", bare).alias("bare"), _wanted(F.col("values")).alias("wanted")).where(F.size("wanted") > 0)
+    return _marks(rows, F.col("bare")).select(page_col, F.inline("marks").alias("idx", "label"))
 
 
 def label_tokens(words: DataFrame, values: DataFrame, page_col: str = "page_id") -> DataFrame:
     """All columns of ``words`` (page, idx, text and others), with ``label``."""
-    spelled = placed(words, page_col)
-    runs = claims(spelled, values, page_col).select(page_col, "path", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("i", "pos"))
-    marks = runs.select(page_col, "pos", F.concat(F.when(F.col("i") == 0, "B-").otherwise("I-"), "path").alias("label"))
-    labelled = spelled.join(marks, [page_col, "pos"], "left").withColumn("label", F.coalesce("label", F.lit("O")))
+    token = F.struct("pos", "bare", "row")
+    by_place = lambda a, b: (a["pos"] - b["pos"]).cast("int")
+    pages = placed(words, page_col).groupBy(page_col).agg(F.array_sort(F.collect_list(token), by_place).alias("tokens"))
+    known = values.where(f"`{page_col}` is not null").groupBy(page_col).agg(_wanted(F.collect_list(F.struct("path", "value"))).alias("wanted"))
+    marked = _marks(pages.join(known, page_col, "left"), F.transform("tokens", lambda t: t["bare"]))
+    named = F.map_from_entries(F.coalesce("marks", F.array().cast("array<struct<pos:int,label:string>>")))
+    labelled = marked.select(named.alias("named"), F.inline("tokens")).select("row.*", F.coalesce(F.try_element_at("named", F.col("pos").cast("int")), F.lit("O")).alias("label"))
     nowhere = words.where(f"`{page_col}` is null").withColumn("label", F.lit("O"))
-    return labelled.select("row.*", "label").unionByName(nowhere)
+    return labelled.unionByName(nowhere)
 
 
 def values_of(records: DataFrame, page_col: str = "page_id", record_col: str = "truth") -> DataFrame:

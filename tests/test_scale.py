@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from claimweave.functions import similarity
-from claimweave.operators import adjudicate, extract, needles
+from claimweave.operators import adjudicate, distant, extract, needles
 
 
 def plan_of(df):
@@ -74,3 +74,15 @@ def test_bills_are_read_by_their_letters_first():
             label = "".join(rng.choice("gros amunt/.#19xé") for _ in range(rng.randrange(1, 14)))
             for floor in (extract.COLUMN_FLOOR, extract.LABEL_FLOOR, extract.LABEL_AS_VALUE):
                 assert (names.reached(label, floor) is not None) == (names.best(label)[1] >= floor)
+
+
+def test_tokens_are_dealt_by_page_once(spark):
+    words = spark.createDataFrame([(p, i, w) for p in range(3) for i, w in enumerate(["a", "b", "a", "b", "c"])], "page_id int, idx int, text string")
+    values = spark.createDataFrame([(p, "patient.name", "a b c") for p in range(2)] + [(0, "hospital.city", "b")], "page_id int, path string, value string")
+    made = distant.label_tokens(words, values)
+    want = ["O", "B-hospital.city", "B-patient.name", "I-patient.name", "I-patient.name"]
+    assert [r["label"] for r in made.where("page_id = 0").orderBy("idx").collect()] == want
+    assert plan_of(made).count("Exchange hashpartitioning") <= 2  # tokens and values, each once
+    pages = words.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda t: t["text"]).alias("words"))
+    pages = pages.join(values.groupBy("page_id").agg(F.collect_list(F.struct("path", "value")).alias("values")), "page_id")
+    assert sorted(map(tuple, distant.label_pages(pages).collect())) == sorted(map(tuple, made.where("label <> 'O'").select("page_id", "idx", "label").collect()))
