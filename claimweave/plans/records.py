@@ -86,7 +86,8 @@ def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey)""",
 )
 def extract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _bills(spark, sf_dir).select("doc_id", extract.extract_rules(F.col("text")).alias("d"))
+    wanted = ("hospital.name", "hospital.gstin", "patient.name", "patient.uhid", "patient.age", "patient.sex", "patient.admission_date", "totals.gross_amount")
+    read = _bills(spark, sf_dir).select("doc_id", extract.extract_rules(F.col("text"), wanted).alias("d"))
     return read.select(
         "doc_id", F.col("d.hospital.name").alias("hospital"), "d.hospital.gstin", F.col("d.patient.name").alias("patient"), "d.patient.uhid", "d.patient.age", "d.patient.sex",
         F.col("d.patient.admission_date").alias("admitted"), F.col("d.totals.gross_amount").alias("gross"),
@@ -95,7 +96,7 @@ def extract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extract_rows", f"WITH {td.ITEMS_SQL} SELECT doc_id, line_index, (line_index + 1)::VARCHAR AS serial_no, description, qty::VARCHAR AS quantity, {_MONEY} AS amount FROM items")
 def extract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _bills(spark, sf_dir).select("doc_id", extract.extract_rows(extract.printed_lines(F.col("text"))).alias("r"))
+    read = _bills(spark, sf_dir).select("doc_id", extract.extract_rows(extract.printed_lines(F.col("text")), ("serial_no", "description", "quantity", "amount")).alias("r"))
     return read.select("doc_id", F.posexplode("r").alias("line_index", "i")).select("doc_id", "line_index", "i.serial_no", "i.description", "i.quantity", "i.amount")
 
 
