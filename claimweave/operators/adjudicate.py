@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, share_of
+from ..functions.text import let
 from ..shared import maybe_broadcast
 from .needles import holding
 
 STAGES = ("non_payable", "sub_limits", "room_rent_cap", "deductible", "co_pay")
 OWN = ("deductible", "co_pay")  # taken of a claim's sum
 ICU_WARDS = ("icu", "iccu", "nicu", "picu")
+#: Needles that are compiled to a chain of tests.
+LONGEST_CHAIN = 16
 ROOM_CLAUSE = "Policy schedule - room rent capping with proportionate deduction"
 
 
@@ -100,6 +103,11 @@ def match_rule(description: Column, category: Column, rules: list[Rule], pick=la
     hinted = F.lit(None).cast("string")
     for r in reversed([r for r in rules if r.category_hint]):
         hinted = F.when(category == r.category_hint, pick(r)).otherwise(hinted)
+    if len(needles) > LONGEST_CHAIN:
+        # A chain of so many tests is a method too long to be compiled to machine code; a list of needles is gone through instead.
+        table = F.array(*(F.struct(F.lit(n).alias("needle"), F.lit(pick(rules[i])).alias("of")) for n, i in needles))
+        first = let(text, lambda t: F.try_element_at(F.filter(table, lambda x: F.contains(t, x["needle"])), F.lit(1)))
+        return F.coalesce(first["of"], F.when(text == "", hinted))
     out = F.when(text == "", hinted)
     for needle, i in reversed(needles):
         out = F.when(F.contains(text, F.lit(needle)), pick(rules[i])).otherwise(out)

@@ -86,3 +86,19 @@ def test_tokens_are_dealt_by_page_once(spark):
     pages = words.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda t: t["text"]).alias("words"))
     pages = pages.join(values.groupBy("page_id").agg(F.collect_list(F.struct("path", "value")).alias("values")), "page_id")
     assert sorted(map(tuple, distant.label_pages(pages).collect())) == sorted(map(tuple, made.where("label <> 'O'").select("page_id", "idx", "label").collect()))
+
+
+def test_rows_run_a_pattern_once_and_long_rule_tables_are_lists(spark):
+    lines = ["1  Tea: hot   2  10.00  20.00", "2. Food tray   Rs. 5/-", " 3  Bed   01/02/2024  1  1,000.00  1,000.00", "Gross Amount : 5", "4  Net total   5", "7 none", ""]
+    df = spark.createDataFrame([("\n".join(lines),)], "text string")
+    whole, some = (df.select(extract.extract_rows(extract.printed_lines(F.col("text")), w).alias("r")) for w in (None, ("description", "amount")))
+    got = [(r["serial_no"], r["description"], r["service_date"], r["quantity"], r["unit_rate"], r["amount"], r["category"], r["is_payable"]) for r in whole.first()["r"]]
+    assert got == [("1", "Tea: hot", None, "2", "10.00", "20.00", None, "Y"), ("2", "Food tray", None, None, None, "Rs. 5/-", "non_medical", "N"), ("3", "Bed", "01/02/2024", "1", "1,000.00", "1,000.00", None, "Y")]
+    assert [{k: v for k, v in r.asDict().items() if v is not None} for r in some.first()["r"]] == [{"description": d, "amount": a} for _, d, *_, a, _, _ in got]
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 0  # each field ran its pattern again before
+    rules = [adjudicate.Rule(f"R{i}", "c", "r", (f"needle{i}", f"x{i}y"), "pharmacy" if i == 3 else None) for i in range(30)] + [adjudicate.Rule("LONG", "c", "r", ("a needle7 b",))]
+    said = spark.createDataFrame([("A NEEDLE7 b", "q"), ("needle12", "q"), ("x4y needle5", "q"), ("", "pharmacy"), (None, "pharmacy"), ("zzz", "pharmacy")], "d string, c string")
+    found = said.select(adjudicate.match_rule(F.col("d"), F.col("c"), rules).alias("r"))
+    assert [r["r"] for r in found.collect()] == ["LONG", "R12", "R5", "R3", "R3", None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 2
