@@ -21,7 +21,9 @@ def _without_currency(text: Column) -> Column:
 def parse_decimal(text: Column, currency: bool) -> Column:
     """The number that a printed string stands for, or null: grouped, negative by
     parentheses or sign, with a trailing slash or dash."""
-    return let(prepare(text), lambda whole: let(_without_currency(whole) if currency else whole, lambda body: _number(whole, body, currency)))
+    read = lambda t: let(prepare(t), lambda whole: let(_without_currency(whole) if currency else whole, lambda body: _number(whole, body, currency)))
+    # Digits with a point at most are what they say.
+    return let(text.cast("string"), lambda t: F.when(F.regexp_like(t, F.lit(r"^\d+(?:\.\d+)?$")), t.try_cast(PARSED)).otherwise(read(t)))
 
 
 def _number(whole: Column, body: Column, currency: bool) -> Column:

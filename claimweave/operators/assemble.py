@@ -72,9 +72,11 @@ def _conflicts(blocks: Column, name: str) -> list[Column]:
 
 def assemble(fragments: DataFrame) -> DataFrame:
     """doc_id, document (raw), n_pages, n_rows_raw, n_rows, missing_blocks, conflicts."""
-    page = F.struct("page_index", *BLOCKS, _keyed(F.col("line_items")).alias("rows"))
+    items = RAW_SCHEMA["line_items"].dataType
+    page = F.struct("page_index", *BLOCKS, F.coalesce(F.col("line_items").cast(items), F.array().cast(items)).alias("line_items"))
     docs = fragments.select("doc_id", page.alias("page")).groupBy("doc_id").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    docs = docs.withColumn("rows", fold_pages(F.col("pages"), KEYED))
+    # Keys are made of what is gathered, so that who doesn't ask for rows doesn't pay for them.
+    docs = docs.withColumn("rows", fold_pages(F.transform("pages", lambda p: F.struct(_keyed(p["line_items"]).alias("rows"))), KEYED))
     for b in BLOCKS:
         docs = docs.withColumn(f"_{b}", F.filter(F.transform("pages", _getter(b)), lambda x: x.isNotNull()))
     blocks = {b: F.try_element_at(F.col(f"_{b}"), F.lit(1)) for b in BLOCKS}
@@ -84,7 +86,7 @@ def assemble(fragments: DataFrame) -> DataFrame:
     conflicts = F.array_compact(F.array(*(c for b in BLOCKS for c in _conflicts(F.col(f"_{b}"), b))))
     return docs.select(
         "doc_id", document.alias("document"), F.size("pages").alias("n_pages"), F.size("rows").alias("n_rows"),
-        F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p["rows"])).alias("n_rows_raw"), missing.alias("missing_blocks"), conflicts.alias("conflicts"),
+        F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p["line_items"])).alias("n_rows_raw"), missing.alias("missing_blocks"), conflicts.alias("conflicts"),
     )
 
 

@@ -6,8 +6,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from claimweave.functions import similarity
+from claimweave.functions import money, similarity
 from claimweave.operators import adjudicate, distant, extract, needles
+from claimweave.plans import registry
 
 
 def plan_of(df):
@@ -102,3 +103,11 @@ def test_rows_run_a_pattern_once_and_long_rule_tables_are_lists(spark):
     found = said.select(adjudicate.match_rule(F.col("d"), F.col("c"), rules).alias("r"))
     assert [r["r"] for r in found.collect()] == ["LONG", "R12", "R5", "R3", "R3", None]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 2
+
+
+def test_headers_are_assembled_without_keys_of_rows(spark):
+    df = registry.queries()["header_conflicts"](spark, "/root/testdata/sf0.001")
+    assert "decimal(38,6)" not in df._jdf.queryExecution().optimizedPlan().toString()  # amounts of rows were read before
+    said = spark.createDataFrame([(v,) for v in ("12", "12.50", " 12", "1.", ".5", "nil", "(3)", "9" * 40, "12\n", "x", "", None)], "a string")
+    got = [r[0] if r[0] is None else float(r[0]) for r in said.select(money.normalize_amount(F.col("a"))).collect()]
+    assert got == [12, 12.5, 12, 1, 0.5, 0, -3, None, 12, None, None, None]
