@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 DASHES = "‐‑‒–—―−"
 HONORIFICS = ("baby of", "b/o", "master", "mstr", "shri", "smt", "sri", "mrs", "miss", "mr", "ms", "dr")
 SPACE = r"(?U)\s+"
+#: What a text has that isn't printable ASCII with single spaces inside.
+UNEVEN = r"[^ -~]|  |^ | \z|^\z"
 
 
 def _wide(text: Column) -> Column:
@@ -60,7 +62,8 @@ def strip_edges(text: Column, characters: str) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    return let(prepare(text), casefold)
+    # Most values are plain, and only lose their capitals.
+    return let(text.cast("string"), lambda t: F.when(~F.regexp_like(t, F.lit(UNEVEN)), F.lower(t)).otherwise(let(prepare(t), casefold)))
 
 
 def normalize_org_name(text: Column) -> Column:

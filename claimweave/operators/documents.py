@@ -29,15 +29,28 @@ def _unless_null(normalizer, value: Column) -> Column:
     return F.when(value.isNotNull(), normalizer(value))
 
 
+def normalize_field(path: str, raw: Column) -> Column:
+    """One typed field of a raw document."""
+    block, name = path.split(".")
+    return _unless_null(NORMALIZERS[path], raw[block][name]).cast(TYPED_SCHEMA[block].dataType[name].dataType)
+
+
+def normalize_item_field(name: str, item: Column) -> Column:
+    return _unless_null(LINE_ITEM_NORMALIZERS[name], item[name]).cast(TYPED_SCHEMA["line_items"].dataType.elementType[name].dataType)
+
+
 def normalize_item(item: Column) -> Column:
-    kind = TYPED_SCHEMA["line_items"].dataType.elementType
-    return F.struct(*(_unless_null(LINE_ITEM_NORMALIZERS[n], item[n]).cast(kind[n].dataType).alias(n) for n in LINE_ITEM_FIELDS))
+    return F.struct(*(normalize_item_field(n, item).alias(n) for n in LINE_ITEM_FIELDS))
+
+
+def raw_items(raw: Column) -> Column:
+    return F.coalesce(raw["line_items"], F.array().cast(RAW_SCHEMA["line_items"].dataType))
 
 
 def normalize_document(raw: Column) -> Column:
     """The typed document of a raw one; a leaf that can't be read is null."""
-    blocks = {b: F.struct(*(_unless_null(NORMALIZERS[f"{b}.{n}"], raw[b][n]).cast(TYPED_SCHEMA[b].dataType[n].dataType).alias(n) for n in TYPED_SCHEMA[b].dataType.fieldNames())) for b in BLOCKS}
-    items = F.transform(F.coalesce(raw["line_items"], F.array().cast(RAW_SCHEMA["line_items"].dataType)), normalize_item)
+    blocks = {b: F.struct(*(normalize_field(f"{b}.{n}", raw).alias(n) for n in TYPED_SCHEMA[b].dataType.fieldNames())) for b in BLOCKS}
+    items = F.transform(raw_items(raw), normalize_item)
     return F.struct(*((items if n == "line_items" else blocks[n]).alias(n) for n in TYPED_SCHEMA.fieldNames()))
 
 

@@ -12,13 +12,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import best_row_pairs, tree, tree_accuracy
 from ..schema import FIELD_PATHS, LINE_ITEM_FIELDS, RAW_SCHEMA, long_fields
 from ..shared import kept
-from .documents import normalize_document, normalized
+from .documents import normalize_document, normalize_field, normalize_item_field, normalized, raw_items
 from .ranks import group_medians
 
 MATCH_FLOOR = 0.60
@@ -135,9 +136,15 @@ def score_documents(scores: DataFrame) -> DataFrame:
 
 def net_payable(document: Column) -> Column:
     """What the lines that are payable come to, or the stated net where no line has such an amount."""
-    fits = F.filter(document["line_items"], lambda i: i["amount"].isNotNull() & F.coalesce(i["is_payable"], F.lit(True)))
-    total = F.aggregate(fits, F.lit(0).cast("decimal(28,2)"), lambda s, i: (s + i["amount"]).cast("decimal(28,2)"))
-    return F.when(F.size(fits) > 0, total).otherwise(document["totals"]["net_amount"].cast("decimal(28,2)"))
+    return _payable(document["line_items"], document["totals"]["net_amount"])
+
+
+def _payable(items: Column, net: Column) -> Column:
+    """The sum in one pass; it stays null where no line counts."""
+    wide = "decimal(28,2)"
+    fits = lambda i: i["amount"].isNotNull() & F.coalesce(i["is_payable"], F.lit(True))
+    total = F.aggregate(items, F.lit(None).cast(wide), lambda s, i: F.when(fits(i), (F.coalesce(s, F.lit(0).cast(wide)) + i["amount"]).cast(wide)).otherwise(s))
+    return F.coalesce(total, net.cast(wide))
 
 
 def deduction_total(document: Column) -> Column:
@@ -183,20 +190,45 @@ def score_business(errors: DataFrame, material: str = MATERIAL) -> DataFrame:
 PREFERRED = ("source", "template", "pages", "scan_quality", "language")
 
 
+def _lists(arrays: pa.Array) -> Iterator[list[str]]:
+    """Lists of strings, null as empty, from one list of all of them."""
+    every = [x or "" for x in arrays.flatten().to_numpy(zero_copy_only=False)]
+    at = 0
+    for size in arrays.value_lengths().fill_null(0).to_numpy():
+        yield every[at : at + size]
+        at += size
+
+
 def document_measures(pairs: DataFrame, paths: tuple[str, ...] = FIELD_PATHS, trees: bool = True) -> DataFrame:
     """One row of numbers a document of (doc_id, pred, truth, meta): the shares of fields that are exact as printed and when normalised,
     line items (n_true, n_pred, n_matched), the error in hundredths, and with ``trees`` strict and ted; meta stays."""
+    read = trees or {"p", "t"} <= set(pairs.columns)
+    if read:  # documents are normalised once, for fields, line items, money and trees
+        typed = pairs if {"p", "t"} <= set(pairs.columns) else kept(typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed")
+    else:  # of line items only what is measured is normalised, each part where it is used
+        typed = pairs.select("doc_id", "meta", "pred", "truth")
+    raw = {"p": F.col("pred"), "t": F.col("truth")}
     of = lambda side, path: F.col(side)[path.split(".")[0]][path.split(".")[1]]
+    field = of if read else lambda side, path: normalize_field(path, raw[side])
     share = lambda tests: sum((t.cast("int") for t in tests), F.lit(0)) / F.lit(float(len(paths)))
     exact = share(F.coalesce(of("pred", p), F.lit("")) == F.coalesce(of("truth", p), F.lit("")) for p in paths)
-    same = share(of("p", p).eqNullSafe(of("t", p)) for p in paths)
-    # Documents are normalised once, for fields, line items, money and trees.
-    typed = pairs if {"p", "t"} <= set(pairs.columns) else kept(typed_pairs(pairs.select("doc_id", "meta", "pred", "truth")), "typed")
-    typed = typed.withColumns({"exact": exact, "normalized": same})
-    sides = item_descriptions(typed)
-    matched = matched_items(sides).groupBy("doc_id").agg(F.count("*").alias("n_matched"))
-    out = typed.select("doc_id", "meta", "exact", "normalized", F.size("t.line_items").alias("n_true"), F.size("p.line_items").alias("n_pred")).join(matched, "doc_id", "left").fillna(0, ["n_matched"])
-    out = out.join(business_errors(typed).select("doc_id", _gap().alias("error")), "doc_id")
+    # What is printed alike reads alike.
+    same = share(F.when(of("pred", p).eqNullSafe(of("truth", p)), True).otherwise(field("p", p).eqNullSafe(field("t", p))) for p in paths)
+    item = lambda i: F.struct(*((i[n] if read else normalize_item_field(n, i)).alias(n) for n in ("description", "amount", "is_payable")))
+    items = lambda side: F.transform(F.col(side)["line_items"] if read else raw_items(raw[side]), item).alias(f"{side}_items")
+    net = lambda side: cents(_payable(F.col(f"{side}_items"), F.col(f"{side}_net")))
+
+    @F.arrow_udf("bigint")
+    def matched(p: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array([len(best_row_pairs(a, b, MATCH_FLOOR)) for a, b in zip(_lists(p), _lists(t), strict=True)], pa.int64())
+
+    # Arrays in columns of their own are made once, however often they are used.
+    sides = typed.select("doc_id", "meta", exact.alias("exact"), same.alias("normalized"), *(c for s in "pt" for c in (items(s), field(s, "totals.net_amount").alias(f"{s}_net"))))
+    counted = sides.select(
+        "doc_id", "meta", "exact", "normalized", F.size("t_items").alias("n_true"), F.size("p_items").alias("n_pred"),
+        matched(F.col("p_items.description"), F.col("t_items.description")).alias("n_matched"), net("t").alias("true_payable"), net("p").alias("pred_payable"),
+    )
+    out = counted.select("doc_id", "meta", "exact", "normalized", "n_true", "n_pred", "n_matched", _gap().alias("error"))
     return out.join(document_scores(typed).select("doc_id", "strict", "ted"), "doc_id") if trees else out
 
 
