@@ -117,16 +117,21 @@ def attribute_scores(pairs: DataFrame, floor: float = MATCH_FLOOR) -> DataFrame:
 
 
 def document_scores(pairs: DataFrame) -> DataFrame:
-    """(doc_id, strict, ted, ted_raw): equality of the typed documents, tree accuracy of typed and raw ones."""
+    """(doc_id, strict, ted, ted_raw): equality of the typed documents, tree accuracy of typed and raw ones.
 
-    @F.pandas_udf("double")
-    def accuracy(p: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if a == b else tree_accuracy(tree(json.loads(a)), tree(json.loads(b))) for a, b in zip(p, t, strict=True)])
+    Equal documents have equal trees and are not written out; what is printed alike reads alike."""
 
-    return typed_pairs(pairs).select(
-        "doc_id", F.col("p").eqNullSafe(F.col("t")).alias("strict"),
-        accuracy(F.to_json("p"), F.to_json("t")).alias("ted"), accuracy(F.to_json("pred"), F.to_json("truth")).alias("ted_raw"),
-    )
+    @F.arrow_udf("double")
+    def accuracy(p: pa.Array, t: pa.Array) -> pa.Array:
+        return pa.array([1.0 if a == b else tree_accuracy(tree(json.loads(a)), tree(json.loads(b))) for a, b in zip(p.to_pylist(), t.to_pylist(), strict=True)], pa.float64())
+
+    typed = pairs.withColumn("alike", F.col("pred").eqNullSafe(F.col("truth")))
+    if not {"p", "t"} <= set(pairs.columns):
+        typed = typed.withColumns({"p": F.when(~F.col("alike"), normalize_document(F.col("pred"))), "t": F.when(~F.col("alike"), normalize_document(F.col("truth")))})
+    written = lambda side: F.when(~F.col("alike"), F.to_json(side))
+    strict = F.when(F.col("alike"), True).otherwise(F.col("p").eqNullSafe(F.col("t")))
+    sides = typed.select("doc_id", strict.alias("strict"), *(written(c).alias(f"_{c}") for c in ("p", "t", "pred", "truth")))
+    return sides.select("doc_id", "strict", accuracy(F.col("_p"), F.col("_t")).alias("ted"), accuracy(F.col("_pred"), F.col("_truth")).alias("ted_raw"))
 
 
 def score_documents(scores: DataFrame) -> DataFrame:
