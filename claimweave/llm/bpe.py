@@ -32,17 +32,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Encodings that a worker remembers: beside the pipeline's other work, and where nothing else runs.
 MEMO_ENTRIES = 110_000
+MEMO_ENTRIES_ALONE = 200_000
 MEMO_LENGTH = 40
 
 
 class ByteBPE:
     """Encoder and decoder for ``token bytes -> rank``; ids are ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int | None = None):
         import ahocorasick
         import regex
 
+        self.entries = MEMO_ENTRIES if entries is None else entries
         self.ranks = ranks
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -103,7 +106,7 @@ class ByteBPE:
                 deadline, a = a, a_halves[1]
             else:
                 deadline, b = b + 1, b_halves[0]
-        if len(self.fits) > MEMO_ENTRIES:
+        if len(self.fits) > self.entries:
             self.fits.clear()
         self.fits[left << 32 | right] = good
         return good
@@ -163,9 +166,9 @@ class ByteBPE:
         """A single space between two characters that aren't white space always begins a
         match, so what stands between such spaces is looked up as a whole."""
         first, *chunks = text.split(" ")
-        if len(self.words) > MEMO_ENTRIES:  # what is used goes on from the older half, the rest is forgotten
+        if len(self.words) > self.entries:  # what is used goes on from the older half, the rest is forgotten
             self.older, self.words = self.words, {}
-        if len(self.memo) > MEMO_ENTRIES // 2:
+        if len(self.memo) > self.entries // 2:
             self.older_memo, self.memo = self.memo, {}
         words, older = self.words, self.older
         for chunk in set(chunks).difference(words):
@@ -206,20 +209,20 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
 
 
-def encoder_of(data: bytes, pattern: str) -> ByteBPE:
+def encoder_of(data: bytes, pattern: str, entries: int | None = None) -> ByteBPE:
     """One encoder for each worker process, so that what it remembers outlives a task."""
     kept = sys.modules.setdefault("_claimweave_bpe", types.ModuleType("_claimweave_bpe")).__dict__
-    key = hashlib.sha256(data).hexdigest() + pattern
+    key = hashlib.sha256(data).hexdigest() + f"{entries} {pattern}"
     if key not in kept:
-        kept[key] = ByteBPE(parse_ranks(data), pattern)
+        kept[key] = ByteBPE(parse_ranks(data), pattern, entries)
     return kept[key]
 
 
-def _mapper(data, pattern: str, work, fields: list[pa.Field], keep: list[str], text_col: str):
+def _mapper(data, pattern: str, work, fields: list[pa.Field], keep: list[str], text_col: str, entries: int | None):
     """Rows of ``keep`` with what ``work(encoder, text)`` gives, in slices of a few MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(data.value, pattern)
+        encoder = encoder_of(data.value, pattern, entries)
         for batch in batches:
             at, texts = 0, batch.column(text_col)
             while at < batch.num_rows:
@@ -237,12 +240,12 @@ def _mapper(data, pattern: str, work, fields: list[pa.Field], keep: list[str], t
     return run
 
 
-def _apply(docs: DataFrame, work, added: str, fields: list[pa.Field], keep: list[str], text_col: str, path: str | None, pattern: str | None) -> DataFrame:
+def _apply(docs: DataFrame, work, added: str, fields: list[pa.Field], keep: list[str], text_col: str, path: str | None, pattern: str | None, entries: int | None = None) -> DataFrame:
     import public_tokenizers
 
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
     keep = [c for c in dict.fromkeys(keep) if c not in {f.name for f in fields}]
-    run = _mapper(data, pattern or public_tokenizers.PATTERN, work, fields, keep, text_col)
+    run = _mapper(data, pattern or public_tokenizers.PATTERN, work, fields, keep, text_col, entries)
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return rows.mapInArrow(run, f"{kept}, {added}" if kept else added)
@@ -277,10 +280,10 @@ def digest(encoder: ByteBPE, text: str) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
 
 
-def round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None, pattern: str | None = None, entries: int | None = None) -> DataFrame:
     """``keep`` columns, n_tokens and the digests of the ids and of what they decode to."""
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    return _apply(docs, digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", fields, keep, text_col, path, pattern)
+    return _apply(docs, digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", fields, keep, text_col, path, pattern, entries)
 
 
 def _checked(encoder: ByteBPE, text: str) -> tuple[int, np.ndarray, bool]:
@@ -295,4 +298,4 @@ def tokenize(docs: DataFrame, keep: list[str], text_col: str = "text", path: str
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"], entries=MEMO_ENTRIES_ALONE)

@@ -289,3 +289,13 @@ def test_a_long_text_is_scored_in_slices(spark, monkeypatch):
         results.append(lm._scorer(pa.int64())(rows, every).to_pylist())
     assert [{k: v for k, v in r.items() if k != "score"} for r in results[0]] == [{k: pytest.approx(v) for k, v in r.items() if k != "score"} for r in results[1]]
     assert [r["score"] for r in results[0]] == pytest.approx([r["score"] for r in results[1]])
+
+
+def test_encoders_remember_as_much_as_they_are_told():
+    import public_tokenizers
+
+    data = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    small, large = (bpe.encoder_of(data, public_tokenizers.PATTERN, n) for n in (10, 100_000))
+    texts = [say(40, f"word{k}") + "  two" for k in range(6)] + [say(40, "word0")] * 2
+    assert small is not large and [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert len(small.words) <= 60 and len(large.words) > len(small.words)
