@@ -247,8 +247,10 @@ def _plain(hundredths: Column) -> Column:
     return money(hundredths).cast("string")
 
 
-def deductions(rows: DataFrame, rules: list[Rule], policy: Policy, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, stage_no, line_index, rule_id, clause, reason, amount): every amount taken, with its grounds."""
+def deductions(rows: DataFrame, rules: list[Rule], policy: Policy, keys: tuple[str, ...] = ("doc_id",), grounds: bool = True) -> DataFrame:
+    """(keys, stage_no, line_index, rule_id, clause, reason, amount): every amount taken, with its grounds (clause and reason), if they are asked for.
+
+    What is taken of a claim's sum goes with one row of the claim, so the stages run once."""
     order = {s: i for i, s in enumerate(policy.order)}
     of_rule = lambda what: _first([(F.col("rule_id") == r.id, what(r)) for r in rules], F.lit(None).cast("string"))
     of_limit = lambda what: _first([(F.col("limit") == i, F.lit(what(s))) for i, s in enumerate(policy.sub_limits)], F.lit(None).cast("string"))
@@ -263,23 +265,22 @@ def deductions(rows: DataFrame, rules: list[Rule], policy: Policy, keys: tuple[s
         F.lit("ROOM_RENT_CAP"), F.lit(ROOM_CLAUSE),
         F.concat(F.lit("Room rate "), rate, F.lit("/day exceeds the eligible "), _plain(F.col("day_cap")), F.lit("/day; this charge is reduced proportionately by factor "), factor),
     )
-    lines = F.array(*(
-        F.struct(F.lit(order[s]).alias("stage_no"), id_.alias("rule_id"), clause.alias("clause"), reason.alias("reason"), F.col(f"took_{s}").alias("took"))
-        for s, (id_, clause, reason) in taken.items() if s in order
-    ))
-    per_line = rows.select(*keys, "line_index", F.inline(lines)).where("took > 0")
-    own = [
-        ("deductible", "DEDUCTIBLE", "Policy schedule - deductible", F.lit(f"Policy deductible of {policy.deductible} applied"), "deductible_taken"),
-        ("co_pay", "CO_PAY", "Policy schedule - co-payment", F.concat(F.lit(f"Co-payment of {policy.co_pay_percent}% applied to the admissible amount of "), _plain(F.col("remaining"))), "co_pay_taken"),
-    ]
-    whole = F.array(*(
-        F.struct(F.lit(order[s]).alias("stage_no"), F.lit(i).alias("rule_id"), F.lit(c).alias("clause"), r.alias("reason"), F.col(t).alias("took"))
-        for s, i, c, r, t in own if s in order
-    ))
-    per_doc = rows.groupBy(*keys).agg(*(F.max(c).alias(c) for c in ("deductible_taken", "co_pay_taken", "remaining")))
-    per_doc = per_doc.select(*keys, F.lit(None).cast("int").alias("line_index"), F.inline(whole)).where("took > 0")
-    every = per_line.withColumn("line_index", F.col("line_index").cast("int")).unionByName(per_doc)
-    return every.select(*keys, "stage_no", "line_index", "rule_id", "clause", "reason", money(F.col("took")).alias("amount"))
+    own = {
+        "deductible": (F.lit("DEDUCTIBLE"), F.lit("Policy schedule - deductible"), F.lit(f"Policy deductible of {policy.deductible} applied")),
+        "co_pay": (F.lit("CO_PAY"), F.lit("Policy schedule - co-payment"), F.concat(F.lit(f"Co-payment of {policy.co_pay_percent}% applied to the admissible amount of "), _plain(F.col("remaining")))),
+    }
+
+    def row(stage: str, line: Column, id_: Column, clause: Column, reason: Column, took: str) -> Column:
+        told = [clause.alias("clause"), reason.alias("reason")] if grounds else []
+        return F.struct(F.lit(order[stage]).alias("stage_no"), line.cast("int").alias("line_index"), id_.alias("rule_id"), *told, F.col(took).alias("took"))
+
+    of_line = F.array(*(row(s, F.col("line_index"), *about, f"took_{s}") for s, about in taken.items() if s in order))
+    of_claim = F.array(*(row(s, F.lit(None), *about, f"{s}_taken") for s, about in own.items() if s in order))
+    marked = rows.withColumn("_row", F.monotonically_increasing_id())
+    marked = marked.withColumn("_first", F.col("_row") == F.min("_row").over(Window.partitionBy(*keys)))
+    found = [a for a, stages in ((of_line, taken), (F.filter(of_claim, lambda x: F.col("_first")), own)) if set(stages) & set(order)]
+    every = marked.select(*keys, F.inline(F.filter(F.concat(*found), lambda x: x["took"] > 0)))
+    return every.select(*keys, "stage_no", "line_index", "rule_id", *(("clause", "reason") if grounds else ()), money(F.col("took")).alias("amount"))
 
 
 def by_rule(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -80,7 +80,7 @@ def claim_deductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("deductions_by_rule", f"WITH {DEDUCTIONS_SQL} SELECT doc_id, rule_id, sum(took)::BIGINT AS hundredths FROM ded GROUP BY ALL")
 def deductions_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adj.by_rule(_deductions(spark, sf_dir)).select("doc_id", "rule_id", adj.cents(F.col("amount")).alias("hundredths"))
+    return adj.by_rule(adj.deductions(_waterfall(spark, sf_dir), td.RULES, td.POLICY, grounds=False)).select("doc_id", "rule_id", adj.cents(F.col("amount")).alias("hundredths"))
 
 
 @query(
