@@ -296,6 +296,6 @@ def test_encoders_remember_as_much_as_they_are_told():
 
     data = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     small, large = (bpe.encoder_of(data, public_tokenizers.PATTERN, n) for n in (10, 100_000))
-    texts = [say(40, f"word{k}") + "  two" for k in range(6)] + [say(40, "word0")] * 2
+    texts = [say(40, f"word{k}x") for k in range(6)] + [say(40, "word0x")] * 2
     assert small is not large and [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
-    assert len(small.words) <= 60 and len(large.words) > len(small.words)
+    assert len(small.words) <= 60 < len(large.words)
