@@ -20,8 +20,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-import types
 from array import array
 from collections.abc import Iterator
 
@@ -29,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import remembered, table
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Encodings that a worker remembers: beside the pipeline's other work, and where nothing else runs.
-MEMO_ENTRIES = 110_000
+MEMO_ENTRIES = 60_000
 MEMO_ENTRIES_ALONE = 200_000
 MEMO_LENGTH = 40
 
@@ -210,8 +208,8 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 def encoder_of(data: bytes, pattern: str, entries: int | None = None) -> ByteBPE:
-    """One encoder for each worker process, so that what it remembers outlives a task."""
-    kept = sys.modules.setdefault("_claimweave_bpe", types.ModuleType("_claimweave_bpe")).__dict__
+    """One encoder for each worker process, so that what it remembers outlives a task, until another operator takes the worker."""
+    kept = remembered("bpe")
     key = hashlib.sha256(data).hexdigest() + f"{entries} {pattern}"
     if key not in kept:
         kept[key] = ByteBPE(parse_ranks(data), pattern, entries)

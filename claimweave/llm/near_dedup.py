@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fits, forget, private, table, text_key, without, words, written
+from .common import fits, forget, private, remembered, table, text_key, without, words, written
 from .components import components
 
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     """id, key (which text), n_shingles, set_key (128 bits of the sorted set) and bands; the last two null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("near_dedup")
         a, b = _constants()
         for batch in batches:
             n, keys, bands = [], [], []
@@ -130,6 +131,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     both = first.join(sets.select(F.col("node").alias("hub"), F.col("h").alias("hub_h")), "hub").select("hub", "node", "hub_h", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("near_dedup")
         last, hub_set = object(), None
         for batch in batches:
             keep = []
@@ -205,6 +207,7 @@ def _compare_blocks(k: int, percent: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("near_dedup")
         key, ids, comps, sets, first = None, [], [], [], 0
 
         def done() -> pa.RecordBatch:

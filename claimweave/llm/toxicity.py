@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fits, fold, private, table, written
+from .common import fits, fold, private, remembered, table, written
 
 MAX_SAMPLE = 20_000
 MIN_ODDS = 12.0
@@ -129,6 +129,7 @@ def _counted(count, wanted_label: int | None):
     """Partial counts of what ``count`` gives for each row, a flush before they grow large."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("toxicity")
         sums: Counter = Counter()
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
@@ -197,6 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weigh = first.matcher
 
     def weights(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered("toxicity")
         of = weigh()
         for f in frames:
             found = [of(t) for t in f["text"]]
@@ -259,6 +261,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold:
 
     @F.pandas_udf(DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered("toxicity")
         weigh = lexicon.matcher()
         for texts in batches:
             found = [weigh(t) for t in texts]

@@ -26,3 +26,24 @@ def test_stages(spark, rows):
     if rows:
         left = [(r["doc_id"], r["text"]) for r in docs.collect()]
         assert all(left.count(x) == 1 for x in [(-1, None), (-2, ""), (-3, long), (None, "a text without an id that stays"), (-5, "the same row"), (-5, "an id twice")])
+
+
+# Workers are used again, and what one stage left in them stood beside the memory of the next
+
+
+def test_a_worker_remembers_for_one_operator_at_a_time():
+    import public_tokenizers
+
+    from claimweave.llm import bpe, toxicity
+
+    data = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    first = bpe.encoder_of(data, public_tokenizers.PATTERN)
+    assert bpe.encoder_of(data, public_tokenizers.PATTERN) is first
+    list(toxicity._counted(toxicity._beginnings, None)(iter([])))
+    assert bpe.encoder_of(data, public_tokenizers.PATTERN) is not first
+
+
+def test_stages_with_whole_texts_in_python_hand_over_few_rows_at_a_time(spark):
+    docs = common.table(spark, SF, "documents").limit(20)
+    for name in ("toxicity", "byte-level bpe"):
+        assert "written_to" in vars(dict(corpus_pipeline.STAGES)[name](spark, docs, SF)), name
