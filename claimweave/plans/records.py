@@ -68,15 +68,22 @@ def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A printed bill for each order with lines."""
+    """A printed bill for each order with lines, which are dealt by order once and sorted there as ``td.line_items`` numbers them."""
     orders = td.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("total"))
-    lines = td.line_items(spark, sf_dir).select("doc_id", "line_index", F.format_string("%d  %s   %d  %s  %s", F.col("line_index") + 1, "description", F.col("quantity").cast("int"), F.lit("10.00"), F.col("amount").cast("string")).alias("row"))
-    rows = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "row"))), lambda x: x["row"]), "\n").alias("rows"))
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    lines = td.table(spark, sf_dir, "lineitem").select("l_orderkey", *order)
+    parts = td.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    quantity, amount = F.col("l_quantity").cast("decimal(18,4)").cast("int"), F.round("l_extendedprice", 2).cast("decimal(18,2)")
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    printed = F.concat(F.lit("  "), said(F.col("p_name")), F.lit("   "), said(quantity), F.lit("  10.00  "), said(amount))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.struct(*order, printed.alias("row")).alias("line"))
+    numbered = F.transform(F.sort_array(F.collect_list("line")), lambda x, i: F.concat((i + 1).cast("string"), x["row"]))
+    bills = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(numbered, "\n").alias("rows"))
     head = F.concat(
         F.lit("City Hospital\nPatient Name : P"), F.col("o_orderkey").cast("string"), F.lit("   UHID : U"), F.col("o_orderkey").cast("string"),
         F.lit("\nAge / Sex : 45 / M\nAdmission : "), F.col("d"), F.lit("\nGSTIN 27AAPFU0939F1ZV\n"), F.col("rows"), F.lit("\nGross Amount : "), F.col("total"), F.lit("\n"),
     )
-    return orders.join(rows, F.col("o_orderkey") == F.col("doc_id")).select("doc_id", head.alias("text"))
+    return orders.join(bills, F.col("o_orderkey") == F.col("doc_id")).select("doc_id", head.alias("text"))
 
 
 @query(
